@@ -2,10 +2,14 @@
 
 from docloom.llm.fingerprint import op9_fingerprint
 from docloom.llm.mixing import op8_mixing
+from docloom.llm.piece_codec import op2_piece_codec
 from docloom.llm.sharding import op4_sharding
+from docloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
+    "op2_piece_codec": op2_piece_codec,
     "op4_sharding": op4_sharding,
+    "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
 }
