@@ -1,6 +1,7 @@
 """The queries of this subpackage, by the names under which they are run."""
 
 from docloom.llm.fingerprint import op9_fingerprint
+from docloom.llm.html_text import op10_html_text
 from docloom.llm.mixing import op8_mixing
 from docloom.llm.piece_codec import op2_piece_codec
 from docloom.llm.sharding import op4_sharding
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
