@@ -4,10 +4,12 @@ from docloom.llm.fingerprint import op9_fingerprint
 from docloom.llm.html_text import op10_html_text
 from docloom.llm.mixing import op8_mixing
 from docloom.llm.piece_codec import op2_piece_codec
+from docloom.llm.quality import op1_quality
 from docloom.llm.sharding import op4_sharding
 from docloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_piece_codec": op2_piece_codec,
     "op4_sharding": op4_sharding,
     "op7_token_counts": op7_token_counts,
