@@ -7,10 +7,12 @@ from docloom.llm.piece_codec import op2_piece_codec
 from docloom.llm.quality import op1_quality
 from docloom.llm.sharding import op4_sharding
 from docloom.llm.token_counts import op7_token_counts
+from docloom.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_piece_codec": op2_piece_codec,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
