@@ -2,6 +2,7 @@
 
 from docloom.llm.fingerprint import op9_fingerprint
 from docloom.llm.html_text import op10_html_text
+from docloom.llm.image_copies import op5_image_copies
 from docloom.llm.jaccard_join import op6_jaccard_join
 from docloom.llm.mixing import op8_mixing
 from docloom.llm.piece_codec import op2_piece_codec
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_piece_codec": op2_piece_codec,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_image_copies": op5_image_copies,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
