@@ -15,7 +15,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -135,52 +135,67 @@ def library(path: str):
 
 
 class Coder:
-    """Encodes batches of texts with the rebuilt pipeline, and compares.
+    """Encodes batches of texts with the rebuilt pipeline, decodes, compares.
 
     If no piece crosses from one run of a word to the next (true of BPE models
     whose pieces have the marker only in front), the distinct runs of a batch
-    are encoded, and compared with the sentencepiece library, once each; a
-    text's ids are those of its runs in order. Runs seen lately are kept, at
+    are encoded, decoded and compared with the sentencepiece library once each;
+    a text's ids are those of its runs in order. Runs seen lately are kept, at
     most `most` of them. Otherwise whole texts are encoded and compared.
     """
 
-    def __init__(self, path: str, threads: int, most: int = 400_000):
+    def __init__(self, path: str, threads: int, most: int = 250_000):
         self.tok, self.lib, self.threads, self.most = build(path), library(path), threads, most
-        self.by_run = self.tok.pre_tokenizer is not None and not parse(path)["map"]
         m = parse(path)
         self.keeps = not m["map"] and not m["squeeze"]
+        self.by_run = self.tok.pre_tokenizer is not None and self.keeps
         self.runs = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-        self.seen: dict[str, tuple[list[int], bool]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        alone = (self.tok.token_to_id(MARK),)
+        self.seen: dict[str, tuple[int, ...]] = {" ": alone, MARK: alone}
+        self.differ: set[str] = set()
+        self.lost: set[str] = set()
+
+    def _compare(self, text: str, ours: list[int], theirs: list[int], back: str) -> tuple[bool, bool]:
+        return ours == theirs, back == (text.replace(MARK, " ") if self.keeps else self.lib.decode(theirs))
+
+    def _whole(self, texts: list[str]):
+        ours = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return ours, [self._compare(*x) for x in zip(texts, ours, self.lib.encode(texts, num_threads=self.threads), self.tok.decode_batch(ours, skip_special_tokens=False), strict=True)]
 
     def _look_up(self, runs: set[str]) -> None:
-        new = [r for r in runs if r not in self.seen]
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = list(runs)
+        if len(self.seen) + len(runs) > self.most:
+            self._forget()
+        new = runs.difference(self.seen)
         # 500 runs make one text; either library puts the first marker back. A
         # run of markers alone would join the next one, and is a text by itself
-        bare = [r for r in new if r.strip(f" {MARK}")]
-        parts = [bare[i : i + 500] for i in range(0, len(bare), 500)] + [[r] for r in new if len(r) > 1 and not r.strip(f" {MARK}")]
-        self.seen |= {r: ([self.tok.token_to_id(MARK)], True) for r in (" ", MARK)}
+        bare = [r for r in new if r[-1] != " " and r[-1] != MARK]
+        parts = [bare[i : i + 500] for i in range(0, len(bare), 500)] + [[r] for r in new if r[-1] in (" ", MARK)]
         texts = ["".join(p)[1:] for p in parts]
+        coded = self.tok.encode_batch(texts, add_special_tokens=False)
         theirs = self.lib.encode(texts, num_threads=self.threads)
-        for part, e, other in zip(parts, self.tok.encode_batch(texts, add_special_tokens=False), theirs, strict=True):
-            ids, start = e.ids, 0
-            agree = ids == other
-            for r, of in zip(part, groupby(e.word_ids), strict=True):
-                end = start + sum(1 for _ in of[1])
-                same = agree or ids[start:end] == self.lib.encode(r[1:])
-                self.seen[r] = (ids[start:end], same)
-                start = end
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        back = self.tok.decode_batch([e.ids for e in coded], skip_special_tokens=False)
+        for part, text, e, other, b in zip(parts, texts, coded, theirs, back, strict=True):
+            ids, words = e.ids, e.word_ids
+            starts = [0] + [i for i in range(1, len(words)) if words[i] != words[i - 1]] + [len(words)]
+            self.seen.update(zip(part, (tuple(ids[i:j]) for i, j in pairwise(starts)), strict=True))
+            if self._compare(text, ids, other, b) != (True, True):
+                for r in part:
+                    same, kept = self._whole([r[1:]])[1][0]
+                    self.differ |= set() if same else {r}
+                    self.lost |= set() if kept else {r}
+
+    def code(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        """Ids, whether they are the library's, and whether they decode."""
         if not self.by_run:
-            ours = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            return ours, [a == b for a, b in zip(ours, self.lib.encode(texts, num_threads=self.threads), strict=True)]
+            ids, flags = self._whole(texts)
+            return ids, [a for a, _ in flags], [b for _, b in flags]
         cuts = [self.runs.findall(" " + t) if t else [] for t in texts]
         self._look_up(set().union(*cuts))
-        found = [[self.seen[r] for r in c] for c in cuts]
-        return [list(chain.from_iterable(x[0] for x in f)) for f in found], [all(x[1] for x in f) for f in found]
+        ids = [list(chain.from_iterable(map(self.seen.__getitem__, c))) for c in cuts]
+        return ids, [not self.differ or self.differ.isdisjoint(c) for c in cuts], [not self.lost or self.lost.isdisjoint(c) for c in cuts]
 
 
 @functools.cache
@@ -209,16 +224,24 @@ def encode(docs: DataFrame, path: str, threads: int = 2, id_col: str = "doc_id",
             out = []
             for i in range(0, len(texts), 512):
                 part = list(texts[i : i + 512])
-                ids, same = coder.encode(part)
-                ours = coder.tok.decode_batch(ids, skip_special_tokens=False)
-                theirs = [t.replace(MARK, " ") for t in part] if coder.keeps else coder.lib.decode(ids)
-                out.append(pd.DataFrame({"piece_ids": ids, "parity": same, "round_trip": [a == b for a, b in zip(ours, theirs, strict=True)]}))
+                ids, same, back = coder.code(part)
+                out.append(pd.DataFrame({"piece_ids": ids, "parity": same, "round_trip": back}))
             yield pd.concat(out) if out else pd.DataFrame({"piece_ids": [], "parity": [], "round_trip": []})
 
     code = F.pandas_udf(coded, "struct<piece_ids:array<int>,parity:boolean,round_trip:boolean>")
     return packed.withColumn("c", code("text")).select("row.*", "c.piece_ids", F.size("c.piece_ids").cast("long").alias("n_pieces"), "c.parity", "c.round_trip")
 
 
+def decode(coded: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "text") -> DataFrame:
+    """coded with a column of the texts that the ids stand for (null: empty)."""
+
+    @F.pandas_udf("string")
+    def text_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(build(path).decode_batch([[] if x is None else list(x) for x in ids], skip_special_tokens=False))
+
+    return coded.withColumn(into, text_of(ids_col))
+
+
 def op2_piece_codec(spark, sf_dir):
     import public_tokenizers
 
