@@ -41,31 +41,33 @@ def hashed(word: str, words: frozenset[str] = frozenset()) -> tuple[list[int], i
     return [zlib.crc32(x.encode()) & mask for x in own], zlib.crc32(f"before {word}".encode()) & mask, zlib.crc32(f"behind {word}".encode()) & mask
 
 
-def marginals(u: np.ndarray, on: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over rows of windows.
+def marginals(u: np.ndarray, on: np.ndarray, trans: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Forward-backward over windows, which are the columns of u.
 
     u: log odds of the toxic state from the features; on: where tokens are;
     trans: scores of the moves [clean, toxic] x [clean, toxic]. Returns the
-    toxic state's marginal at each token and the expected number of moves.
+    toxic state's marginal at each token and, if asked, the expected number of
+    moves. With two states the messages are single numbers, the odds of the
+    toxic state, here of what precedes (r) and of what follows (s).
     """
-    n, t = u.shape
-    m = np.exp(trans - trans.max())
-    e = np.ones((n, t, 2))
-    e[:, :, 1] = np.exp(np.clip(u, -30, 30))
-    e /= e.sum(2, keepdims=True)
-    a, b = np.empty((n, t, 2)), np.ones((n, t, 2))
-    for i in range(t):
-        x = e[:, i] * (a[:, i - 1] @ m if i else np.array([[0.5, 0.5]]))
-        a[:, i] = x / x.sum(1, keepdims=True)
+    t = len(u)
+    m = np.exp(trans - trans.max()).astype(u.dtype)
+    e = np.exp(np.clip(u, -25, 25))
+    r, s = np.empty_like(u), np.ones_like(u)
+    r[0] = e[0]
+    for i in range(1, t):
+        x = r[i - 1]
+        r[i] = np.clip(e[i] * ((m[0, 1] + m[1, 1] * x) / (m[0, 0] + m[1, 0] * x)), 1e-12, 1e12)
     for i in range(t - 2, -1, -1):
-        x = (b[:, i + 1] * e[:, i + 1]) @ m.T
-        x /= x.sum(1, keepdims=True)
-        b[:, i] = np.where(on[:, i + 1, None], x, 1.0)
-    p = a * b
-    p /= p.sum(2, keepdims=True)
-    pair = a[:, :-1, :, None] * m[None, None] * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-    pair /= pair.sum((2, 3), keepdims=True)
-    return p[:, :, 1] * on, (pair * on[:, 1:, None, None]).sum((0, 1))
+        x = e[i + 1] * s[i + 1]
+        s[i] = np.where(on[i + 1], (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x), 1)
+    p = r * s
+    p = p / (1 + p) * on
+    if not moves:
+        return p, None
+    before, after = r[:-1], e[1:] * s[1:]
+    pair = np.array([[m[0, 0] + 0 * before, m[0, 1] * after], [m[1, 0] * before, m[1, 1] * before * after]])
+    return p, (pair / pair.sum((0, 1)) * on[1:]).sum((2, 3))
 
 
 def amount(m: np.ndarray) -> float:
@@ -92,20 +94,21 @@ class Tagger:
         if len(self.cache) > 400_000:
             self.cache, self.values = {}, self.values[:0]
         cache = self.cache
-        new = [t for t in dict.fromkeys(tokens) if t not in cache]
+        new = [t for t in set(tokens).difference(cache)]
         if new:
             found = [hashed(t.lower(), self.words) for t in new]
             v = [(self.w[own].sum(), self.w[p], self.w[n]) for own, p, n in found]
             at = len(self.values)
             self.values = np.concatenate([self.values, np.array(v, np.float32)])
             cache.update((t, at + i) for i, t in enumerate(new))
-        return self.values[[cache[t] for t in tokens]]
+        return self.values[np.fromiter(map(cache.__getitem__, tokens), np.int32, len(tokens))]
 
     def tag(self, docs: list[list[str]], batch: int = 4096) -> list[np.ndarray]:
         """Toxic marginals of every token; chains run over windows of tokens."""
         u = []
-        for tokens in docs:
-            v = self.look_up(tokens) if tokens else np.zeros((0, 3), np.float32)
+        values = self.look_up([t for tokens in docs for t in tokens])
+        ends = np.cumsum([len(tokens) for tokens in docs])
+        for v in np.split(values, ends[:-1]) if docs else []:
             s = v[:, 0].copy()
             s[1:] += v[:-1, 1]
             s[:-1] += v[1:, 2]
@@ -117,7 +120,8 @@ class Tagger:
             on[r:].reshape(-1)[: len(x)] = True
         out = np.zeros(grid.shape, np.float32)
         for i in range(0, len(grid), batch):
-            out[i : i + batch] = marginals(grid[i : i + batch], on[i : i + batch], self.trans)[0]
+            u_, on_ = (np.ascontiguousarray(x[i : i + batch].T) for x in (grid, on))
+            out[i : i + batch] = marginals(u_, on_, self.trans, moves=False)[0].T
         return [out[r:].reshape(-1)[: len(x)] for x, r in zip(u, rows, strict=False)]
 
     def score(self, expected: np.ndarray) -> np.ndarray:
@@ -137,23 +141,44 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return cut(joined.withColumn("_group", least).dropDuplicates(["_group", "toxic"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic"))
 
 
+class _Marks:
+    """Reads single bits of a broadcast array."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def __getitem__(self, i: int) -> bool:
+        return bool(self.shared.value[i >> 3] & (128 >> (i & 7)))
+
+
 def lexicon(sample: DataFrame, most: int = 20_000) -> set[str]:
     """Words and beginnings that mark toxic documents: at least 19 in 20 of the
     documents with one are toxic, and by a binomial bound that is no chance,
     with all entries tried taken into account. A beginning that mostly stands
     for one longer entry is left out for that."""
 
-    def entries(batches):
-        for b in batches:
-            found = [{p for w in set(re.findall(r"\w+", t.lower())) for p in parts(w)} for t in b["text"]]
-            yield pd.DataFrame({"entry": [p for f in found for p in f], "toxic": np.repeat(b["toxic"].to_numpy(), [len(f) for f in found])})
-
-    counts = sample.mapInPandas(entries, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter("n >= 3")
+    def entries(toxic: bool, wanted: _Marks | None = None):
+        def of(batches):
+            for b in batches:
+                found = [{p for w in set(re.findall(r"\w+", t.lower())) for p in parts(w)} for t in b["text"]]
+                rows = [p for f in found for p in f if wanted is None or wanted[zlib.crc32(p.encode()) >> 8]]
+                yield pd.DataFrame({"entry": rows})
+
+        return sample.filter(F.col("toxic") == int(toxic)).mapInPandas(of, "entry string").groupBy("entry").agg(F.count("*").alias("n"))
+
+    # other documents' words matter only if toxic ones have them often enough:
+    # a table of 2**24 marks, by a hash of the entry, says which
+    bad = cut(entries(True).filter("n >= 5"))
+    wanted = np.zeros(1 << 24, bool)
+    wanted[[r.h for r in bad.select(F.shiftright(F.crc32("entry"), 8).alias("h")).distinct().collect()]] = True
+    shared = sample.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    other = entries(False, _Marks(shared))
+    counts = bad.select("entry", F.col("n").alias("bad")).join(other.withColumnRenamed("n", "good"), "entry", "left").select("entry", "bad", (F.col("bad") + F.coalesce("good", F.lit(0))).alias("n"))
     share = sample.agg(F.avg("toxic")).first()[0]
     if not share or share == 1:
         return set()
     counts = cut(counts)
-    tried = max(1, counts.count())
+    tried = max(1, 20 * counts.count())  # rarer entries were tried too
     p = F.least(F.col("bad") / F.col("n"), F.lit(1 - 1e-9))
     bound = F.col("n") * (p * F.log(p / share) + (1 - p) * F.log((1 - p) / (1 - share)))
     sure = counts.filter((F.col("bad") >= 0.95 * F.col("n")) & (bound > float(np.log(tried / 0.01))))
@@ -215,7 +240,8 @@ def train(tokens: list[list[str]], y: list[list[int]], words: set[str], steps: i
     w2, t2 = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8)
     for step in range(steps):
         u = np.bincount(where, w[which], size).reshape(n, WINDOW)
-        p, moves = marginals(u, on, trans)
+        p, moves = marginals(np.ascontiguousarray(u.T), on.T, trans)
+        p = p.T
         gw = np.bincount(which, (p - gold).reshape(-1)[where], 1 << BITS) / total + ridge * w / (1 << 10)
         gt = (moves - seen) / total + ridge * trans
         w2, t2 = 0.9 * w2 + 0.1 * gw * gw, 0.9 * t2 + 0.1 * gt * gt
