@@ -1,11 +1,10 @@
-"""Registry of the queries and of the SQL that checks them."""
+"""All queries of the reference's operators, and the flagship query."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from docloom.plans import relational  # noqa: F401  (modules register their queries)
+from docloom.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    return QUERIES["W02_stratified_sample"](spark, "/root/testdata/sf0.001")
