@@ -61,9 +61,9 @@ def pilot(t):
     return good.orderBy(F.abs(C("n_chars") - 1000), "doc_id").limit(50).select("doc_id")
 
 
-@query("D06_cursor", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE user_id % 10 = 0)")
+@query("D06_cursor", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_type = 'click')")
 def cursor(t):
-    seen = t.events.filter("user_id % 10 = 0").agg(F.max("ts").alias("seen"))
+    seen = t.events.filter("event_type = 'click'").agg(F.max("ts").alias("seen"))
     return t.events.crossJoin(F.broadcast(seen)).filter("ts > seen").select("event_id")  # one row
 
 

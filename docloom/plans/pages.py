@@ -39,15 +39,15 @@ def typed(t):
     return t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
 
 
-@query("S14_range_scan", "SELECT doc_id FROM documents WHERE doc_id >= 100 AND doc_id < 600 ORDER BY doc_id LIMIT 50000")
+@query("S14_range_scan", "SELECT doc_id FROM documents WHERE n_chars >= 500 AND n_chars < 5000")
 def range_scan(t):
-    return t.documents.filter("doc_id >= 100 and doc_id < 600").orderBy("doc_id").limit(50000).select("doc_id")
+    return t.documents.filter("n_chars >= 500 and n_chars < 5000").select("doc_id")
 
 
-@query("S18_routed_lookup", "SELECT id, CASE WHEN starts_with(id, 'D-') THEN 'document' ELSE 'page' END AS kind FROM (SELECT 'D-' || doc_id AS id FROM documents WHERE doc_id < 20 UNION ALL SELECT 'P-' || page_id FROM pages WHERE page_id < 20)")
+@query("S18_routed_lookup", "SELECT id, CASE WHEN starts_with(id, 'D-') THEN 'document' ELSE 'page' END AS kind FROM (SELECT 'D-' || doc_id AS id FROM documents UNION ALL SELECT 'P-' || page_id FROM pages)")
 def routed(t):
-    d = t.documents.filter("doc_id < 20").select(F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("id"))
-    p = t.pages.filter("page_id < 20").select(F.concat(F.lit("P-"), F.col("page_id").cast("string")).alias("id"))
+    d = t.documents.select(F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("id"))
+    p = t.pages.select(F.concat(F.lit("P-"), F.col("page_id").cast("string")).alias("id"))
     return d.unionByName(p).select("id", F.when(F.col("id").startswith("D-"), "document").otherwise("page").alias("kind"))
 
 

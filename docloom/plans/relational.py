@@ -263,9 +263,9 @@ def stable_distinct(t):
     return first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("f", "role"))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda v: v["role"]), ",").alias("roles"))
 
 
-@query("K01_insert_ignore", "SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'new' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("K01_insert_ignore", "SELECT doc_id, source FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'new' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def insert_ignore(t):
-    old = t.documents.filter("doc_id % 2 = 0").select("doc_id", "source")
+    old = t.documents.filter("lang = 'en'").select("doc_id", "source")
     new = t.labels.select("doc_id", F.lit("new").alias("source"))
     return old.unionByName(new.join(old, "doc_id", "left_anti"))
 
@@ -287,9 +287,9 @@ def conditional_upsert(t):
     return j.select("doc_id", F.when(F.col("quality") == F.col("hash"), "kept").otherwise("pending").alias("status"))
 
 
-@query("K04_hash_gated", "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id, md5(text) h FROM documents WHERE doc_id % 3 <> 0) o USING (doc_id) WHERE o.h IS NULL OR o.h <> md5(d.text)")
+@query("K04_hash_gated", "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id, md5(text) h FROM documents WHERE lang <> 'fr') o USING (doc_id) WHERE o.h IS NULL OR o.h <> md5(d.text)")
 def hash_gated(t):
-    old = t.documents.filter("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("h"))
+    old = t.documents.filter("lang <> 'fr'").select("doc_id", F.md5("text").alias("h"))
     j = t.documents.select("doc_id", F.md5("text").alias("g")).join(old, "doc_id", "left")
     return j.filter(F.col("h").isNull() | (F.col("h") != F.col("g"))).select("doc_id")
 
