@@ -100,9 +100,9 @@ def quantiles(t):
     return t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(F.avg((F.col("value") < 1).cast("int")), 4).alias("low_rate"))
 
 
-@query("A16_per_query_summary", "SELECT user_id, event_type, count(*) AS n, round(avg(value), 4) AS mean, round(max(value), 4) AS top FROM events GROUP BY ALL")
+@query("A16_per_query_summary", "SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 4) AS top FROM events GROUP BY ALL")
 def per_query(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("top"))
+    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 4).alias("top"))
 
 
 @query("A18_round_gate", "SELECT source, round(avg(quality), 4) AS pass_rate, avg(quality) >= 0.85 AND avg(toxic) <= 0.15 AS passes FROM documents JOIN labels USING (doc_id) GROUP BY 1")

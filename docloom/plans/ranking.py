@@ -29,7 +29,7 @@ def hits(t):
     return R.bm25(t.documents, asked(t), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
-@query("R01_bm25", f"{BM25} SELECT query_id, id, rank, round(score, 4) AS score FROM r WHERE rank <= 10")
+@query("R01_bm25", f"{BM25} SELECT query_id, id, rank, round(round(score, 6), 4) AS score FROM r WHERE rank <= 10")
 def bm25(t):
     return R.top_k(hits(t), 10).select("query_id", "id", C("rank").cast("long"), F.round("score", 4).alias("score"))
 
