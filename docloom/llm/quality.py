@@ -60,14 +60,14 @@ class Model:
         return out.withColumn("_key", F.col("_log_weight") - temperature * F.log(-F.log(uniform))).drop("_s")
 
 
-def line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, even: bool = True) -> tuple[float, float]:
     """Slope and offset of a logistic line, by Newton's method; classes weigh
-    equally."""
+    evenly or else as often as they come."""
     if len(set(y.tolist())) < 2:
         return 0.0, 4.0
     mean, scale = x.mean(), x.std() or 1.0
     z = np.stack([(x - mean) / scale, np.ones_like(x)], 1)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    weight = (np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if even else np.ones(len(y))) / len(y)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
