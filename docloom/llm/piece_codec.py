@@ -15,8 +15,9 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,8 +154,8 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        alone = (self.tok.token_to_id(MARK),)
-        self.seen: dict[str, tuple[int, ...]] = {" ": alone, MARK: alone}
+        alone = np.int32(self.tok.token_to_id(MARK)).tobytes()
+        self.seen: dict[str, bytes] = {" ": alone, MARK: alone}  # ids of four bytes, to be compact
         self.differ: set[str] = set()
         self.lost: set[str] = set()
 
@@ -180,21 +181,22 @@ class Coder:
         for part, text, e, other, b in zip(parts, texts, coded, theirs, back, strict=True):
             ids, words = e.ids, e.word_ids
             starts = [0] + [i for i in range(1, len(words)) if words[i] != words[i - 1]] + [len(words)]
-            self.seen.update(zip(part, (tuple(ids[i:j]) for i, j in pairwise(starts)), strict=True))
+            packed = np.array(ids, np.int32).tobytes()
+            self.seen.update(zip(part, (packed[4 * i : 4 * j] for i, j in pairwise(starts)), strict=True))
             if self._compare(text, ids, other, b) != (True, True):
                 for r in part:
                     same, kept = self._whole([r[1:]])[1][0]
                     self.differ |= set() if same else {r}
                     self.lost |= set() if kept else {r}
 
-    def code(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+    def code(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """Ids, whether they are the library's, and whether they decode."""
         if not self.by_run:
             ids, flags = self._whole(texts)
-            return ids, [a for a, _ in flags], [b for _, b in flags]
+            return [np.array(x, np.int32) for x in ids], [a for a, _ in flags], [b for _, b in flags]
         cuts = [self.runs.findall(" " + t) if t else [] for t in texts]
         self._look_up(set().union(*cuts))
-        ids = [list(chain.from_iterable(map(self.seen.__getitem__, c))) for c in cuts]
+        ids = [np.frombuffer(b"".join(map(self.seen.__getitem__, c)), np.int32) for c in cuts]
         return ids, [not self.differ or self.differ.isdisjoint(c) for c in cuts], [not self.lost or self.lost.isdisjoint(c) for c in cuts]
 
 
@@ -222,9 +224,8 @@ def encode(docs: DataFrame, path: str, threads: int = 2, id_col: str = "doc_id",
         coder = coder_of(path, threads)
         for texts in batches:
             out = []
-            for i in range(0, len(texts), 512):
-                part = list(texts[i : i + 512])
-                ids, same, back = coder.code(part)
+            for i in range(0, len(texts), 256):
+                ids, same, back = coder.code(list(texts[i : i + 256]))
                 out.append(pd.DataFrame({"piece_ids": ids, "parity": same, "round_trip": back}))
             yield pd.concat(out) if out else pd.DataFrame({"piece_ids": [], "parity": [], "round_trip": []})
 

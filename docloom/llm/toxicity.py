@@ -33,7 +33,7 @@ def parts(word: str) -> list[str]:
     return [word] + [f"{word[:n]}-" for n in BEGINNINGS if len(word) > n]
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=20_000)
 def hashed(word: str, words: frozenset[str] = frozenset()) -> tuple[list[int], int, int]:
     """Feature numbers of a word where it stands, before and behind a token."""
     mask = (1 << BITS) - 1
@@ -91,7 +91,7 @@ class Tagger:
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
         """Scores of each token: own, as the one before, as the one behind."""
-        if len(self.cache) > 400_000:
+        if len(self.cache) > 150_000:
             self.cache, self.values = {}, self.values[:0]
         cache = self.cache
         new = [t for t in set(tokens).difference(cache)]
