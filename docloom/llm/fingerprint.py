@@ -67,34 +67,43 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, k: int, bucket_bytes: int, most_buckets: int) -> DataFrame:
     """Each document with the text and sketch of the next one, descending id.
 
-    Ids are cut into ranges at approximate quantiles, so each range is one
-    window partition of about equal size. The first document of a range is also
-    put at the end of the range before, where it is the last one's next; the
-    very first goes to the end of the last range. Texts are shuffled once.
+    Ids are cut into ranges at approximate quantiles, about `bucket_bytes` of
+    text each and at most `most_buckets`, so each range is one window partition
+    of about equal size. The first document of a range is also put at the end
+    of the range before, where it is the last one's next; the very first goes
+    to the end of the last range. Texts are shuffled once.
     """
-    cuts = docs.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 10000).alias("c")).first().c or []
-    cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col("id"))))
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(min(most_buckets, max(8, total // bucket_bytes)))
+    cuts = docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first().c or []
+    cuts = sorted(set(cuts))
+    # two steps, each over the square root of the cuts: first a group, then in it
+    size = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    below = lambda c: F.size(F.filter(c, lambda x: x < F.col("id")))
+    longs = lambda x: F.lit(x).cast("array<bigint>") if x else F.array().cast("array<bigint>")
+    group = F.greatest(below(longs([g[0] for g in groups])), F.lit(1))
+    inside = F.get(F.array(*map(longs, groups)), group - 1) if groups else longs([])
+    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise((group - 1) * size + below(inside))
     docs = docs.withColumn("bucket", bucket)
     # one row for each bucket, which are bounded in number
     heads = sorted((r.bucket, r.head) for r in docs.groupBy("bucket").agg(F.max("id").alias("head")).collect())
-    before = {b: heads[(i + 1) % len(heads)][0] for i, (b, _) in enumerate(heads)}
-    of = {b: h for b, h in heads}
-    goes = F.create_map(*[F.lit(x) for b, to in before.items() for x in (b, to)]) if heads else F.create_map(F.lit(0), F.lit(0))
-    head = F.create_map(*[x for b, h in of.items() for x in (F.lit(b), F.lit(h).cast("long"))]) if heads else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    is_head = F.col("id").eqNullSafe(F.element_at(head, F.col("bucket")))
+    before = [(heads[i][0], heads[i][1], heads[(i + 1) % len(heads)][0]) for i in range(len(heads))]
+    heads = spark.createDataFrame(before, "bucket int, head long, goes int")
+    rows = docs.withColumn("mine", sketch(F.col("text"), k)).join(F.broadcast(heads), "bucket")
     own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest"))
-    other = F.struct(F.element_at(goes, F.col("bucket")).alias("b"), F.lit(True).alias("guest"))
-    rows = docs.withColumn("mine", sketch(F.col("text"), k)).withColumn("at", F.explode(F.when(is_head, F.array(own, other)).otherwise(F.array(own))))
+    other = F.struct(F.col("goes").alias("b"), F.lit(True).alias("guest"))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("id").eqNullSafe(F.col("head")), F.array(own, other)).otherwise(F.array(own))))
     rows = rows.select("id", "text", "mine", F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"))
     w = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), "text")
     return rows.withColumn("next", F.lead(F.struct("text", "mine")).over(w)).filter(~F.col("guest"))
 
 
-def fingerprint(docs: DataFrame, k: int = K, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, k: int = K, bucket_bytes: int = 1 << 20, most_buckets: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     A null text counts as empty. Rows that share an id (or have none) follow
@@ -103,7 +112,7 @@ def fingerprint(docs: DataFrame, k: int = K, buckets: int = 1024, id_col: str =
     empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows, k, buckets)
+    rows = with_next(rows, k, bucket_bytes, most_buckets)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
