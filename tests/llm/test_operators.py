@@ -106,7 +106,7 @@ def test_mixing(docs, none):
 def test_fingerprint(docs, none):
     from docloom.llm.fingerprint import fingerprint
 
-    rows = fingerprint(docs, buckets=8).collect()
+    rows = fingerprint(docs, bucket_bytes=200).collect()
     assert len(rows) == len(ROWS)
     order = sorted(((d, t or "") for d, t, *_ in ROWS), key=lambda x: (-math.inf if x[0] is None else x[0]), reverse=True)
     order.sort(key=lambda x: (0 if x[0] is None else -x[0] - 10**9, x[1]))
