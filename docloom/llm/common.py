@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows per Arrow batch for this session. Python workers hold a batch at
+    a time; with texts of many kilobytes the default of 10,000 takes hundreds
+    of megabytes in each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def hold_out(doc_id: Column) -> Column:
     """True for the third of the ids that no label may be learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

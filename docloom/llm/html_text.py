@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import bound_batches, table
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,6 +164,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows and ties give equal results, an empty table an empty result. Nothing
     is shuffled.
     """
+    bound_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def text_of(pages: pd.Series) -> pd.Series:

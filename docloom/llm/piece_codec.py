@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import bound_batches, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, path: str, threads: int = 2, id_col: str = "doc_id",
     an empty table give what they hold. Whole texts are encoded, in batches by
     `threads` threads in a task; rows stay where they are, nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "parity", "round_trip")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import bound_batches, table
 
 PARTS = "doc_id long, text_hash long, n_bytes long, own long, tokens array<string>, counts array<int>"
 
@@ -119,6 +119,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample: int = 30
     occur. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(common_pieces(docs, path, sample, common))
     parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")

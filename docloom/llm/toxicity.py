@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, hold_out, table
+from docloom.llm.common import bound_batches, cut, hold_out, table
 from docloom.llm.fingerprint import let
 
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -283,6 +283,7 @@ SCORED = "score double, n_toxic double, spans array<struct<start:int,end:int,cha
 
 def scored(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
     """docs with a struct column _toxic (score, n_toxic, spans)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def of(texts: pd.Series) -> pd.DataFrame:
