@@ -332,3 +332,26 @@ def test_image_copies(spark):
     assert (0, 0) in true and (50, 50) in true and (100, 7) in true and len(true) <= 4
     assert [q.n_same for q in out if (q.query_id, q.media_id) == (100, 7)] == [3]
     assert find_copies(spark.createDataFrame([], "vec_id long, embedding array<float>, media int")).count() == 0
+
+
+def test_image_copies_of_repeated_corners(spark):
+    """Every pair of descriptors within the distance is found, and pictures of
+    many equal corners give no rows but the pairs of pictures."""
+    from docloom.llm import image_copies as I
+
+    r = np.random.default_rng(1)
+    a = r.integers(0, 2**63, (4, 30), dtype=np.uint64)
+    b = np.concatenate([a, r.integers(0, 2**63, (4, 70), dtype=np.uint64)], 1)
+    for j in range(30):  # j + 11 flipped bits, in all words alike
+        for k in r.choice(256, j + 11, replace=False):
+            b[k // 64, j] ^= np.uint64(1) << np.uint64(k % 64)
+    d = sum(np.bitwise_count(a[w][:, None] ^ b[w][None]).astype(int) for w in range(4))
+    assert set(zip(*(x.tolist() for x in I.near(a, b, 40)), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= 40)), strict=True)) and (d <= 40).sum() >= 30
+    # turns on both sides of 0 are one model
+    q = np.array([[10.0 * i, 7.0 * i, 1, 1.0] for i in range(6)])
+    m = q + [5, 5, 0, 0] + np.array([[0, 0, 0, 0.01 * (-1) ** i] for i in range(6)])
+    assert [(x[0], x[1]) for x in I.consensus(q, m, np.full(6, 9), 5)] == [(9, 6)]
+    vectors = [(i, [float(x) for x in r.normal(size=64)]) for i in range(300)]
+    out = I.find_copies(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), every=10)
+    got = {(x.query_id, x.media_id) for x in out.collect()}
+    assert sum((i, i) in got for i in range(0, 300, 10)) >= 27 and sum(a != b for a, b in got) <= 3
