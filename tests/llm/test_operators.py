@@ -355,3 +355,29 @@ def test_image_copies_of_repeated_corners(spark):
     out = I.find_copies(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), every=10)
     got = {(x.query_id, x.media_id) for x in out.collect()}
     assert sum((i, i) in got for i in range(0, 300, 10)) >= 27 and sum(a != b for a, b in got) <= 3
+
+
+def test_image_copies_of_pictures(spark):
+    """Pictures as pixels and as files; and of the copies that are turned,
+    scaled or small crops, all that a brute-force join of descriptors finds."""
+    from docloom.llm import image_copies as I
+
+    r = np.random.default_rng(5)
+    images = [np.kron(r.random((40, 40)), np.ones((6, 6))) for _ in range(6)]  # detailed: many corners
+    assert len(I.describe(images[0])[0]) > 2 * 28
+    edits = {"turned": lambda a: np.rot90(a), "scaled": lambda a: I.resized(a, 0.7), "small crop": lambda a: a[90:150, 60:120]}
+    files = [b"P5\n# grey\n%d %d\n255\n" % a.shape[::-1] + np.rint(a * 255).astype(np.uint8).tobytes() for a in images]
+    library = spark.createDataFrame(list(enumerate(files)) + [(90, None), (91, b""), (92, files[2])], "id long, image binary")
+    for f in edits.values():
+        queries = [f(a) for a in images]
+        got = I.find_images(library, spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "id long, image array<array<double>>"), "id", "image").collect()
+        want = set()
+        for i, q in enumerate(queries):
+            qp, qd = I.describe(q)
+            for j, c in enumerate(files):
+                mp, md = I.describe(I.pixels(c))
+                a, b = np.nonzero(np.unpackbits(qd[:, None] ^ md[None], axis=2).sum(2) <= 40)
+                if len(a) and I.consensus(qp[a], mp[b], np.full(len(b), j), 5):
+                    want.add((i, j))
+        assert {(g.query_id, g.media_id) for g in got} == want and {(i, i) for i in range(6)} <= want
+        assert all(g.n_same == 1 + (g.media_id == 2) for g in got)
