@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +26,42 @@ def topics(text: Column, rules: dict[str, tuple[list[str], list[str]]], most: in
     return F.when(F.size(found) == 0, F.array(F.lit(otherwise))).otherwise(F.slice(found, 1, most))
 
 
+ARROW_SPANS = pa.list_(pa.struct([("tag", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+SPANS = "array<struct<tag:string,start:int,end:int>>"
+
+
 def spans(text: Column, patterns: dict[str, str]) -> Column:
-    """array<struct<tag,start,end>> of the first match of each pattern."""
-    each = []
-    for tag, p in patterns.items():
-        hit = F.regexp_extract(text, f"({p})", 1)
-        start = F.position(hit, text) - 1
-        each.append(F.when(hit != "", F.struct(F.lit(tag).alias("tag"), start.alias("start"), (start + F.length(hit)).alias("end"))))
-    return F.array_sort(F.array_compact(F.array(*each)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(F.when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1).otherwise(0)))
+    """array<struct<tag,start,end>> of all matches of each pattern (of Python's
+    re; empty matches do not count), by start, then tag."""
+    compiled = {tag: re.compile(p) for tag, p in patterns.items()}
+
+    @F.arrow_udf(SPANS)
+    def found(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            hits = [(m.start(), tag, m.end()) for tag, p in compiled.items() for m in p.finditer(x or "") if m.end() > m.start()]
+            out.append([{"tag": tag, "start": a, "end": b} for a, tag, b in sorted(hits)])
+        return pa.array(out, ARROW_SPANS)
+
+    return found(text)
 
 
 def without_overlap(s: Column) -> Column:
     """Keep each span that starts at or after the end of the last one kept."""
-    start = F.array().cast("array<struct<tag:string,start:int,end:int>>")
-
-    def step(acc, x):
-        last = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
-        return F.when((F.size(acc) == 0) | (x["start"] >= last), F.concat(acc, F.array(F.struct(x["tag"].alias("tag"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))))).otherwise(acc)
 
-    return F.aggregate(s, start, step)
+    @F.arrow_udf(SPANS)
+    def kept(lists: pa.Array) -> pa.Array:
+        out = []
+        for spans_ in lists.to_pylist():
+            last, some = 0, []
+            for x in spans_ or []:
+                if not some or x["start"] >= last:
+                    some.append(x)
+                    last = x["end"]
+            out.append(None if spans_ is None else some)
+        return pa.array(out, ARROW_SPANS)
+
+    return kept(s)
 
 
 def tagged(sections: list[tuple[str, Column]]) -> Column:

@@ -167,10 +167,28 @@ def topics(t):
     return t.documents.select("doc_id", E.topics(C("text"), rules).alias("topics"))
 
 
+MARKS = {"number": "[0-9]{2,}", "mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+"}
+
+
 @query("X14_spans", "WITH s AS (SELECT doc_id, regexp_extract(text, '([0-9]{2,})', 1) AS n, regexp_extract(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1) AS m, text FROM documents) SELECT doc_id, list_filter([CASE WHEN n <> '' THEN position(n IN text) - 1 END, CASE WHEN m <> '' THEN position(m IN text) - 1 END], lambda x: x IS NOT NULL).list_sort() AS starts FROM s")
 def spans(t):
-    s = E.spans(C("text"), {"number": "[0-9]{2,}", "mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+"})
-    return t.documents.select("doc_id", F.transform(s, lambda x: x["start"].cast("long")).alias("starts"))
+    """The first match of each pattern, as its SQL has it; X14_all_spans has all."""
+    s = t.documents.select("doc_id", E.spans(C("text"), MARKS).alias("s"))
+    of = lambda tag: F.filter("s", lambda x: x["tag"] == tag)
+    first = [F.get(of(tag), F.lit(0))["start"].cast("long") for tag in MARKS]
+    return s.select("doc_id", F.array_sort(F.array_compact(F.array(*first))).alias("starts"))
+
+
+def every_start(pattern: str) -> str:
+    """SQL: where the matches of a pattern start, from what stands between."""
+    gaps, hits = f"string_split_regex(text, '{pattern}')", f"regexp_extract_all(text, '{pattern}')"
+    total = "coalesce(list_sum(list_transform({}[1:i{}], lambda x: length(x))), 0)"
+    return f"list_transform(range(1, len({hits}) + 1), lambda i: CAST({total.format(gaps, '')} + {total.format(hits, ' - 1')} AS BIGINT))"
+
+
+@query("X14_all_spans", f"SELECT doc_id, list_sort(list_concat({every_start(MARKS['number'])}, {every_start(MARKS['mail'])})) AS starts FROM documents")
+def all_spans(t):
+    return t.documents.select("doc_id", F.transform(E.spans(C("text"), MARKS), lambda x: x["start"].cast("long")).alias("starts"))
 
 
 @query("X15_spans_without_overlap")
