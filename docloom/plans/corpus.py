@@ -16,7 +16,7 @@ TOK = "regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')"
 
 @query("J16_greedy_dedup")
 def greedy(t):
-    title = F.slice(X.tokens(F.substring_index("text", "\n", 1)), 1, 40)
+    title = X.tokens(F.substring_index("text", "\n", 1))
     return keep_greedy(t.documents, title, 0.9)
 
 

@@ -37,3 +37,14 @@ def test_summary_cut(spark):
     texts = ["short", "One sentence here. " + "x" * 400, "a" * 500, "word " * 100]
     out = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(summary_cut(F.col("t")).alias("s")).collect()]
     assert out[0] == "short" and len(out[2]) == 320 and out[3].endswith("word") and len(out[3]) < 320
+
+
+def test_greedy_query_compares_whole_titles(spark, tmp_path):
+    """Titles that agree in 40 tokens and differ in all later ones."""
+    from docloom.queries import QUERIES
+
+    same = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, same + " " + " ".join(f"d{i}x{j}" for j in range(20)) + "\nbody") for i in range(3)] + [(3, same), (4, same + "\nother body")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["J16_greedy_dedup"](spark, str(tmp_path)).collect()
+    assert {r.id for r in got if r.kept} == {0, 1, 2, 3}
