@@ -29,17 +29,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays."""
-    kept = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    # an id is one document; if rows share one, the first text of it stays
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept"))).drop("kept")
-    return rows.dropDuplicates(["doc_id"])
+    """Of each class of near copies one row stays: that of the least id (null
+    last); of rows with that id, by the texts' hashes, then the other columns."""
+    linked = join(docs, keys=True)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = linked.groupBy("root").agg(F.min(order).alias("kept")).select("kept.key", F.col("kept.doc_id").alias("kept"))
+    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, (F.col("_key") == F.col("key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept")))
+    return rows.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, without it if never."""
-    copies = mix(docs).select(F.col("doc_id").alias("of"), "copies").filter("copies > 0")
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("of")))
+    """Each row as often as the mix takes it, without it if never. Rows equal
+    in all columns stand for each other: they are taken as often as all of them
+    together."""
+    same = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    copies = mix(docs, keys=same).groupBy("key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = docs.withColumn("_key", same).join(copies, F.col("_key") == F.col("key")).dropDuplicates(["_key"])
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ aggregations. Rates are then rounded into whole copies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import cut, ordinal, table
@@ -60,8 +60,9 @@ def balance(cells: DataFrame, sources: DataFrame, tolerance: float = 1e-12, roun
     return sources.join(rate, "s")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), most: int = 3, spread: int = 192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, rate for every row.
+def mix(docs: DataFrame, weights=(5, 2, 1), most: int = 3, spread: int = 192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, rate for every row, and
+    with `keys`, which tells rows of one id apart, `key`.
 
     Sources in code point order, null last, weigh as `weights` repeating. A
     null or empty text has size 0 and is taken 0 words. Repeated rows are
@@ -72,19 +73,20 @@ def mix(docs: DataFrame, weights=(5, 2, 1), most: int = 3, spread: int = 192, id
     brings the source nearer to its target. No document exceeds `most` copies.
     An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    key = [] if keys is None else ["key"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[keys.alias(k) for k in key], F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = cut(rows)
     sources = rows.groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.when(F.col("size") > 0, 1)).alias("docs"), F.lit(0).alias("all"))
     sources = ordinal(sources, ["all"], [F.col("source").asc_nulls_last()], "s").drop("all")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("s") % len(weights) + 1).cast("int"))
     sources = cut(sources.withColumn("weight", weight.cast("double")))
     sources = cut(fill(sources, most))
-    keyed = cut(rows.join(sources.select(F.col("source").alias("its"), "s"), F.col("source").eqNullSafe(F.col("its"))).select("doc_id", "size", "s"))
+    keyed = cut(rows.join(sources.select(F.col("source").alias("its"), "s"), F.col("source").eqNullSafe(F.col("its"))).select("doc_id", *key, "size", "s"))
     cells = cut(keyed.groupBy("s", "size").agg(F.count("*").alias("n")))
     sources = cut(balance(cells, sources).select("s", "tokens", "docs", "target", "rate"))
 
     i = F.col("i")
-    placed = ordinal(keyed, ["s"], [F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id")], "i").join(sources, "s")
+    placed = ordinal(keyed, ["s"], [F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id"), *map(F.col, key)], "i").join(sources, "s")
     whole = F.floor("rate")
     part = F.col("rate") - whole
     dealt = F.floor(part * (i + 1) + 0.5) - F.floor(part * i + 0.5)
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), most: int = 3, spread: int = 192, id
 
     moves = rest.join(some, "s").select("s", F.explode(F.aggregate("some", start, move)["moves"]).alias("m")).select("s", F.col("m.i").alias("i"), F.col("m.more").alias("more"))
     out = placed.join(moves, ["s", "i"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-    return out.select("doc_id", "size", F.col("tokens").alias("source_size"), F.col("target").cast("double"), (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    return out.select("doc_id", "size", F.col("tokens").alias("source_size"), F.col("target").cast("double"), (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", *key)
 
 
 def op8_mixing(spark, sf_dir):

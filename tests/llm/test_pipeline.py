@@ -16,3 +16,56 @@ def test_run(spark):
     for (_, stage) in p.STAGES[2:3]:
         kept = stage(spark, docs, FOLDER)
         assert kept.columns == docs.columns and kept.count() == kept.select("text").distinct().count()
+
+
+ODD = (
+    [(None, f"no id {i} " + " ".join(f"w{i}x{j}" for j in range(40)), "en", "s0", 1) for i in range(4)]
+    + [(7, "shared id, first text " + "a b c d e f g " * 3, "en", "s0", 1), (7, "shared id, other text " + "h i j k l m n " * 3, "en", "s1", 1)]
+    + [(8, "a copy", "en", "s1", 1), (9, "a copy", "en", "s1", 1), (None, "a copy", "en", "s1", 1), (5, "twice", "en", "s1", 1), (5, "twice", "en", "s0", 1), (6, None, None, None, None), (4, "", "en", None, 0)]
+)
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_near_duplicates_keep_one_row_a_class(spark, odd):
+    """By brute force: no two texts here are near copies but equal ones."""
+    import corpus_pipeline as p
+
+    least = {}
+    for r in ODD:
+        k = r[1] or ""
+        order = (r[0] is None, r[0] or 0, tuple((v is not None, v) for v in r[1:]))
+        least[k] = min(least.get(k, (order, r)), (order, r), key=lambda x: x[0])
+    got = sorted(map(tuple, p.near_duplicates(spark, odd, FOLDER).collect()), key=repr)
+    assert got == sorted((r for _, r in least.values()), key=repr)
+
+
+def test_mixing_takes_rows_as_often_as_the_mix(spark, odd):
+    import collections
+
+    import corpus_pipeline as p
+    from docloom.llm.mixing import mix
+
+    want, got = collections.Counter(), collections.Counter(map(tuple, p.mixing(spark, odd, FOLDER).collect()))
+    for r in mix(odd, keys=p.F.to_json(p.F.struct(*odd.columns))).collect():
+        want[r.key] += r.copies
+    key = {r.k: tuple(r)[:-1] for r in odd.withColumn("k", p.F.to_json(p.F.struct(*odd.columns))).collect()}
+    assert set(got) <= set(ODD) and sum(got.values()) == sum(want.values()) and max(got.values()) <= 3
+    sizes = lambda c: collections.Counter({s: sum(n * len((r[1] or "").split()) for r, n in c.items() if r[3] == s) for s in ("s0", "s1")})
+    assert sizes(got) == sizes(collections.Counter({key[k]: n for k, n in want.items()}))
+
+
+@pytest.mark.parametrize("stage", [0, 1])
+def test_filters_keep_rows_by_their_own_text(spark, odd, stage):
+    """Whatever its id, each row that stays is one of the input, as often."""
+    import collections
+
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*p.COLUMNS).unionByName(odd.select(*p.COLUMNS))
+    given = collections.Counter(map(tuple, docs.collect()))
+    got = collections.Counter(map(tuple, p.STAGES[stage][1](spark, docs, FOLDER).collect()))
+    assert got and all(n <= given[r] for r, n in got.items())
