@@ -145,6 +145,35 @@ def substring_lookup(t):
     return p.join(w, "needle").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
+@query("J14_substring_match", f"WITH p AS (SELECT item_id, array_to_string({TOK}, ' ') AS needle FROM benchmark), d AS (SELECT doc_id, array_to_string({TOK}, ' ') AS alias FROM documents), m AS (SELECT item_id, doc_id, length(needle) / length(alias) AS ratio FROM p JOIN d ON length(needle) >= 4 AND 2 * length(needle) >= length(alias) AND contains(alias, needle)) SELECT item_id, doc_id, round(ratio, 4) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ratio DESC, doc_id) AS rn FROM m) WHERE rn = 1")
+def substring_match(t):
+    """The document that each whole passage fills best, at least half of it.
+
+    An equality join on runs of g characters, exact: a needle that fills half
+    of an alias covers its middle, and if it has 2g characters, also the g
+    before the middle or the g behind it. An alias has these two keys for each
+    g that a needle of a fitting length can have; a needle has all its runs.
+    """
+    runs = (2, 4, 8, 16, 32, 64)
+    p = t.benchmark.select("item_id", F.array_join(X.tokens(C("text")), " ").alias("needle")).distinct().withColumn("n", F.length("needle")).filter("n >= 4")
+    g = F.lit(runs[0])
+    for size in runs[1:]:
+        g = F.when(C("n") >= 2 * size, size).otherwise(g)
+    p = p.withColumn("g", g)
+    of_p = p.select("item_id", "needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), C("n") - C("g") + 1), lambda i: F.xxhash64("g", F.substring(C("needle"), i, C("g")))))).alias("key"))
+    d = t.documents.select("doc_id", F.array_join(X.tokens(C("text")), " ").alias("alias")).withColumn("l", F.length("alias"))
+    m = F.floor(C("l") / 2).cast("int")
+    keys = []
+    for size in runs:
+        fits = (C("l") >= 2 * size) & (F.lit(size == runs[-1]) | (C("l") < 8 * size))
+        keys += [F.when(fits, F.xxhash64(F.lit(size), F.substring(C("alias"), at, F.lit(size)))) for at in (m - size + 1, m + 1)]
+    of_d = d.select("doc_id", "alias", "l", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    ratio = F.length("needle") / C("l")
+    hit = of_p.join(of_d, "key").filter((2 * F.length("needle") >= C("l")) & C("alias").contains(C("needle"))).select("item_id", "doc_id", ratio.alias("ratio"))
+    best = hit.groupBy("item_id").agg(F.max(F.struct("ratio", (-C("doc_id")).alias("low"))).alias("best"))
+    return best.select("item_id", (-C("best.low")).alias("doc_id"), F.round("best.ratio", 4).alias("ratio"))
+
+
 @query("J15_token_overlap", f"WITH p AS (SELECT item_id, list_distinct({TOK}) AS a FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents), e AS (SELECT item_id, len(a) AS n, unnest(a) AS term FROM p) SELECT item_id, doc_id, round(count(*) / any_value(n), 4) AS overlap FROM e JOIN w USING (term) GROUP BY ALL HAVING count(*) / any_value(n) >= 0.66")
 def overlap(t):
     """An equality join on single terms, counted: no pairing of all rows."""
