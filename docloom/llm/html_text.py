@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-The text nodes of a page are grouped by their path of tags from the root (with
-class and id). Text length and punctuation are smoothed over the nodes in page
-order, fused and averaged per path, and paths are compared with a threshold.
-Nodes under elements that never hold content (menus, forms, notices ...) weigh
-nothing. What passes is joined, block by block.
+The blocks of a page are grouped by their path of tags from the root (with
+classes, without ids). For each path, text length and punctuation are summed and
+divided by its number of blocks. These ratios are smoothed over the blocks in
+page order, fused, and paths are compared with a threshold. Names decide only
+where they say what an element is: elements that never hold content (menus,
+forms ...) and a few class names that are a role as they stand. What passes is
+joined, block by block.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,89 +24,140 @@ from docloom.llm.common import bound_batches, table
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select xmp noembed noframes".split())
-NEVER = RAW | frozenset("head nav footer aside form button dialog menu label option datalist fieldset canvas audio video map".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+NEVER = RAW | frozenset("head nav footer aside form button dialog menu label option select datalist fieldset noscript template canvas audio video map svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPES = frozenset("html body article section main div td th table ul ol dl blockquote aside nav header footer form figure".split())
 
-#: Words in a class or id that mark what is not the article's own text.
-NOISE = re.compile(
-    r"(?:^|[-_ ])(?:nav\w*|menu\w*|header|masthead|banner\w*|footer|foot|side-?bar\w*|aside|ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|"
-    r"share\w*|sharing|social\w*|related\w*|recommend\w*|comments?\w*|replies|reply|responses|disqus|respond|breadcrumbs?|pagination|pager|toolbar|widget\w*|search\w*|tags?|copyright|legal|disclaimer|skip\w*|hidden|toc|alert\w*|paywall)(?=$|[-_ ])",
-    re.I,
+#: Whole class names or ids that say by themselves that an element is not the
+#: article's own text. A name that only contains one of these says nothing.
+NOT_TEXT = frozenset(
+    "ad ads advert advertisement sponsored banner cookie cookies cookie-bar cookie-banner cookie-notice consent nav navbar navigation menu masthead header site-header page-header "
+    "footer site-footer page-footer sidebar comments comment comment-list respond disqus newsletter subscribe share social breadcrumb breadcrumbs pagination related login search popup modal overlay hidden".split()
 )
-MAIN = re.compile(r"(?:^|[-_ ])(?:article\w*|content|post-?(?:body|content|text)|entry-?(?:content|body)|main|story\w*|body-?text)(?=$|[-_ ])", re.I)
-ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu\w*")
+#: Roles of the accessibility standard.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 
 
-def text_nodes(page: str):
-    """(path, text, block) of each text node, in page order.
+class Page:
+    """The blocks of a page, and the tree of its paths.
 
-    path: the open elements as (tag, marks) from the root; block: a number that
-    changes wherever a block element starts or ends, or a line breaks.
+    Block elements have a path, a number; `up` is the path without its last
+    element, `tag` that element, `weight` what its names say: 0 is no content,
+    2 inside an article, 1 neither. blocks: (path, pieces of text, characters
+    in links), in page order; a block ends wherever a block element starts or
+    ends, or a line breaks. Each element is pushed and popped once.
     """
-    stack: list[tuple[str, str]] = []
-    block = 0
-    at = 0
-    n = len(page)
-    while at < n:
-        m = PIECE.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            yield tuple(stack), page[at:end], block
-        if not m:
-            return
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-            if tag not in INLINE:
-                block += 1
-            continue
-        if tag not in INLINE:
-            block += 1
-            closes = SELF_CLOSING.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes or stack[i][0] == "p" and tag in ENDS_P:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        if tag in VOID:
-            continue
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m[3])} if m[3].strip(" /") else {}
-        marks = " ".join(attrs.get(k, "") for k in ("class", "id")).strip()
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) or ROLES.fullmatch(attrs.get("role", "")):
-            marks += " hidden"
-        if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
-        stack.append((tag, marks))
-
-
-def prior(path: tuple[tuple[str, str], ...]) -> float:
-    """0 under what never holds content, 2 under an article, else 1."""
-    weight = 1.0
-    for i, (tag, marks) in enumerate(path):
-        if tag in ("article", "main") or tag not in ("html", "body") and marks and MAIN.search(marks):
-            weight = 2.0
-        if tag in NEVER or tag == "header" and weight < 2 or tag not in ("html", "body", "article", "main") and marks and NOISE.search(marks):
-            return 0.0
-        if tag == "article" and any(t == "article" for t, _ in path[:i]):
-            return 0.0  # an article within an article is a reader's comment
-    return weight
+
+    def __init__(self, page: str):
+        self.up, self.tag, self.weight, self.blocks = [-1], ["html"], [1], []
+        self._ids: dict = {}
+        self._stack: list[tuple[str, int, bool]] = []  # tag, path before it, whether a scope
+        self._open = [Counter()]  # open tags of each scope, innermost last
+        self._all: Counter = Counter()
+        self._path = 0
+        self._new = True
+        self._read(page)
+
+    def _child(self, tag: str, classes: str, weight: int) -> int:
+        key = (self._path, tag, classes, weight)
+        if key not in self._ids:
+            self._ids[key] = len(self.up)
+            self.up.append(self._path)
+            self.tag.append(tag)
+            self.weight.append(weight)
+        return self._ids[key]
+
+    def _push(self, tag: str, path: int) -> None:
+        scope = tag in SCOPES
+        self._stack.append((tag, self._path, scope))
+        self._all[tag] += 1
+        self._open[-1][tag] += 1
+        if scope:
+            self._open.append(Counter())
+        self._path = path
+
+    def _pop(self) -> str:
+        tag, self._path, scope = self._stack.pop()
+        if scope:
+            self._open.pop()
+        self._open[-1][tag] -= 1
+        self._all[tag] -= 1
+        return tag
+
+    def _weight_of(self, tag: str, attrs: dict) -> int:
+        """0 under what never holds content, 2 under an article, else 1. An
+        article within an article is a reader's comment; an article's own
+        header is its text."""
+        above = self.weight[self._path]
+        if above == 0 or tag in NEVER or tag == "article" and self._all["article"]:
+            return 0
+        if tag in ("html", "body"):
+            return above
+        role = attrs.get("role", "").lower()
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) or role in ROLES:
+            return 0
+        if tag in ("article", "main") or role in ("main", "article"):
+            return 2
+        names = {*attrs.get("class", "").lower().split(), attrs.get("id", "").lower()}
+        inside = above == 2
+        if tag == "header" and not inside or not names.isdisjoint(NOT_TEXT) and not (inside and "header" in names):
+            return 0
+        return above
+
+    def _text(self, text: str) -> None:
+        if self._new:
+            self.blocks.append((self._path, [], [0]))
+            self._new = False
+        _, pieces, linked = self.blocks[-1]
+        pieces.append(text)
+        if self._all["a"]:
+            linked[0] += len(text)
+
+    def _read(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            m = PIECE.search(page, at)
+            end = m.start() if m else n
+            if end > at:
+                self._text(page[at:end])
+            if not m:
+                return
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            block = tag not in INLINE
+            self._new |= block
+            if m[1]:
+                if self._all[tag] > 0:
+                    while self._pop() != tag:
+                        pass
+                continue
+            if block:
+                closes = SELF_CLOSING.get(tag, frozenset()) | ({"p"} if tag in ENDS_P else frozenset())
+                if any(self._open[-1][t] > 0 for t in closes):
+                    while self._pop() not in closes:
+                        pass
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = close.end() if close else n
+                continue
+            attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m[3])} if m[3].strip(" /") else {}
+            weight = self._weight_of(tag, attrs)
+            if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
+                continue
+            # an inline element is no part of a path, unless it is no content
+            changes = block or weight != self.weight[self._path]
+            self._push(tag, self._child(tag, attrs.get("class", "") if block else "", weight) if changes else self._path)
+            self._new |= changes
 
 
 def smooth(values: list[float], radius: int = 2) -> list[float]:
@@ -117,44 +170,56 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
+def path_ratios(blocks: list[tuple[int, str, int]]) -> dict[int, float]:
+    """The fused ratio of each path, from (path, text, characters not in links).
+
+    A path's length ratio is its characters outside links over its blocks, its
+    punctuation ratio one more than its marks over its blocks. Each is smoothed
+    over the blocks in page order; what a block is by its own path and what its
+    neighbours are count alike (their geometric mean), so that a short block
+    between long ones gains, and a notice beside a long one stays what it is.
+    Both fused are the product, and a path has the mean of its blocks.
+    """
+    n, chars, marks = Counter(), Counter(), Counter()
+    for path, t, free in blocks:
+        n[path] += 1
+        chars[path] += free
+        marks[path] += len(PUNCTUATION.findall(t))
+    series = [[chars[p] / n[p] for p, *_ in blocks], [1 + marks[p] / n[p] for p, *_ in blocks]]
+    fused = [1.0] * len(blocks)
+    for own in series:
+        fused = [f * math.sqrt(a * b) for f, a, b in zip(fused, own, smooth(own), strict=True)]
+    total = Counter()
+    for (path, *_), f in zip(blocks, fused, strict=True):
+        total[path] += f
+    return {p: total[p] / n[p] for p in n}
+
+
 def main_text(page: str | None, share: float = 0.1) -> str:
     """Content blocks of a page, one a line; "" if there are none.
 
-    A path's ratio is the mean over its blocks of the smoothed length times the
-    smoothed number of punctuation marks plus one, times the block's share of
-    text that is not in links. Paths
-    with at least `share` of the highest ratio are content, and so is whatever
-    else stands in the same container: headings, lists, short paragraphs. If
-    the page has article or main elements, nothing outside these counts.
+    Paths with at least `share` of the highest ratio are content, and so is
+    whatever else stands in the same container: headings, lists, short
+    paragraphs; but not, outside articles, text that stands right in such a
+    container if all of it is links. If the page has article or main elements
+    with text, nothing outside these counts.
     """
-    nodes = list(text_nodes(page or ""))
-    priors: dict = {}
-    for path, *_ in nodes:
-        if path not in priors:
-            priors[path] = prior(path)
-    top = max((priors[p] for p, t, _ in nodes if t.strip()), default=0)
-    # inline elements do not cut a block
-    blocks: dict[int, list] = {}
-    for path, text, block in nodes:
-        if top and priors[path] == top:
-            b = blocks.setdefault(block, [tuple(x for x in path if x[0] not in INLINE), "", 0])
-            b[1] += text
-            b[2] += len(text) * any(t == "a" for t, _ in path)
-    found = [(path, t, max(0, len(t) - linked)) for path, raw, linked in blocks.values() if (t := " ".join(html.unescape(raw).split()))]
+    p = Page(page or "")
+    clean = [(path, " ".join(html.unescape("".join(pieces)).split()), linked[0]) for path, pieces, linked in p.blocks if p.weight[path]]
+    top = max((p.weight[path] for path, t, _ in clean if t), default=0)
+    found = [(path, t, max(0, len(t) - linked)) for path, t, linked in clean if t and p.weight[path] == top]
     if not found:
         return ""
-    by_length = smooth([float(n) for _, _, n in found])
-    by_points = smooth([1.0 + len(PUNCTUATION.findall(t)) for _, t, _ in found])
-    ratios: dict = defaultdict(list)
-    for (path, t, n), a, b in zip(found, by_length, by_points, strict=True):
-        ratios[path].append(a * b * n / len(t))
-    fused = {p: sum(r) / len(r) for p, r in ratios.items()}
+    fused = path_ratios(found)
     most = max(fused.values())
-    content = [p for p, f in fused.items() if f >= share * most]
+    content = {x for x, f in fused.items() if f >= share * most}
     # a path that ends in a container is its own; else its parent is
-    inside = {p if p and p[-1][0] in SCOPES else p[:-1] for p in content}
-    kept = {p: any(p[: len(c)] == c for c in inside) or p in content for p in fused}
-    return "\n".join(t for path, t, _ in found if kept[path])
+    inside = {x if p.tag[x] in SCOPES else p.up[x] for x in content}
+    kept = [False] * len(p.up)
+    for x in range(len(p.up)):  # a path comes after the one it continues
+        kept[x] = x in inside or p.up[x] >= 0 and kept[p.up[x]]
+    links = {x for x in inside if top < 2 and fused.get(x) == 0}
+    return "\n".join(t for path, t, _ in found if path in content or kept[path] and path not in links)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -189,6 +189,79 @@ def test_html():
     assert main_text(f"<div><a href=1>a b c</a></div><div id=x><p>{body}</p></div>") == body.strip()
 
 
+def test_html_names_do_not_drop_text():
+    from docloom.llm.html_text import main_text
+
+    body = "A long sentence, with words; and signs. " * 8
+    page = f"<body><div class='menu'>Home. About, more.</div><article><div class='post-header'><h1>Title</h1></div><div class='legal-analysis'><p>{body}</p></div><div class='related-work'><p>{body}</p></div><p>{body}</p><div class='comments'>{body}</div></article></body>"
+    assert main_text(page) == "\n".join(["Title", *[body.strip()] * 3])
+
+
+def test_html_ratios_by_brute_force():
+    """Well-formed pages without names, through another parser and plain sums."""
+    from html.parser import HTMLParser
+
+    from docloom.llm.html_text import PUNCTUATION, SCOPES, main_text
+
+    class Blocks(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.path, self.out = [], []
+            self.feed(page)
+
+        def handle_starttag(self, tag, attrs):
+            self.path.append((tag, dict(attrs).get("class", "")))
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+
+        def handle_data(self, data):
+            linked = any(t == "a" for t, _ in self.path)
+            self.out.append((tuple(x for x in self.path if x[0] != "a"), " ".join(data.split()), linked))
+
+    r = np.random.default_rng(8)
+    some = lambda: " ".join(r.choice(WORDS, r.integers(1, 60))) + "." * int(r.integers(0, 3))
+    cut = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(r.integers(1, 5)):
+            inner = "".join(f"<{t}>{some()}</{t}>" for t in r.choice(["p", "h2", "pre"], r.integers(1, 5)))
+            parts.append(f"<div class='{r.choice(['a', 'b', 'c'])}' id='i{r.integers(1000)}'>{inner}</div>" if r.random() < 0.7 else f"<section><a>{some()}</a></section>")
+        page = f"<html><body>{''.join(parts)}</body></html>"
+        found = Blocks(page).out
+        paths = [p for p, *_ in found]
+        fused = []
+        values = []
+        for p in paths:
+            mine = [(0 if linked else len(t), len(PUNCTUATION.findall(t))) for q, t, linked in found if q == p]
+            values.append((sum(a for a, _ in mine) / len(mine), 1 + sum(b for _, b in mine) / len(mine)))
+        for i in range(len(found)):
+            f = 1.0
+            for k in (0, 1):
+                near = [(math.exp(-((j - i) ** 2) / 4), values[j][k]) for j in range(len(found)) if abs(j - i) <= 2]
+                f *= math.sqrt(values[i][k] * sum(w * v for w, v in near) / sum(w for w, _ in near))
+            fused.append(f)
+        ratio = {p: np.mean([f for q, f in zip(paths, fused, strict=True) if q == p]) for p in paths}
+        content = {p for p in paths if ratio[p] >= 0.1 * max(ratio.values())}
+        inside = {p if p[-1][0] in SCOPES else p[:-1] for p in content}
+        want = [t for p, t, _ in found if p in content or any(p[: len(c)] == c for c in inside)]
+        assert main_text(page) == "\n".join(want)
+        cut += len(want) < len(found)
+    assert cut >= 5
+
+
+def test_html_long_pages_take_time_in_proportion():
+    import time
+
+    from docloom.llm.html_text import main_text
+
+    body = "A long sentence, with words; and signs. "
+    start = time.process_time()
+    for page in ("".join(f"<section id=s{i}><p>{body}</section>" for i in range(8000)), "<div>" * 8000 + body + "</div>" * 8000, "<li>" + "<b>" * 8000 + "<table>" + "<i>" * 8000 + f"<li>{body}" * 8000):
+        assert main_text(page).split("\n")[-1] == body.strip()
+    assert time.process_time() - start < 10
+
+
 def test_html_extract(spark):
     from docloom.llm.html_text import extract
 
