@@ -2,10 +2,12 @@
 
 Two generative models share a table of buckets into which the words and word
 pairs of a text are hashed: one counts the texts marked as good (the target),
-one all texts (raw). A text's importance weight is the product over its n-grams
-of the ratio of both models. The texts kept are drawn without replacement in
+one all texts (raw). Either draws n-grams independently. So that a weight says
+nothing about length, a text stands for `draws` n-grams with the shares that
+they have in it: its log weight is `draws` times the mean over its n-grams of
+the log ratio of both models. The texts kept are drawn without replacement in
 proportion to their weights, by Gumbel top-k: the k largest of log weight plus
-Gumbel noise.
+standard Gumbel noise.
 """
 
 from __future__ import annotations
@@ -23,115 +25,82 @@ TOKEN = r"(?U)\w+|[^\w\s]+"
 
 
 def grams(text: Column, buckets: int) -> Column:
-    """Buckets of the words (and runs of signs) of a text and of their pairs.
-
-    Pairs of a word with itself share the last bucket, whatever the word, and
-    words that come again after one other the last but one: so the models
-    learn what repetition says about a text.
-    """
+    """Buckets of the words (and runs of signs) of a text and of their pairs."""
+    of = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
 
     def hashed(t: Column) -> Column:
-        one = F.transform(t, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets - 2)).cast("int"))
-        pair = lambda x, i: F.when(F.get(t, i) == x, buckets - 1).otherwise(F.pmod(F.xxhash64(F.get(t, i), x), F.lit(buckets - 2)).cast("int"))
-        two = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), pair)
-        again = F.filter(t, lambda x, i: (F.get(t, i - 2) == x) & (F.length(x) > 1))
-        return F.concat(one, two, F.transform(again, lambda x: F.lit(buckets - 2)))
+        pairs = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: of(F.get(t, i), x))
+        return F.concat(F.transform(t, lambda x: of(x)), pairs)
 
     return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0), hashed)
 
 
-class Model:
-    """Log ratios by bucket, and the line that turns their mean into a chance."""
-
-    def __init__(self, ratio: list[float], slope: float, offset: float):
-        self.ratio, self.slope, self.offset = ratio, slope, offset
-
-    def columns(self, docs: DataFrame, text_col: str, seed: int, temperature: float, id_col: str) -> DataFrame:
-        """docs with _n (n-grams), _log_weight, _chance and _key."""
-        table_of = F.array(*[F.lit(x) for x in self.ratio])
-        scored = let(grams(F.col(text_col), len(self.ratio)), lambda g: F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(table_of, b)).alias("w")))
-        out = docs.withColumn("_s", scored)
-        # tilted so that a text as good as bad has weight 1, whatever its length
-        tilt = self.offset / self.slope if self.slope else 0.0
-        log_weight = F.col("_s.w") + tilt * F.col("_s.n")
-        chance = 1 / (1 + F.exp(-(self.slope * F.col("_s.w") / F.greatest(F.col("_s.n"), F.lit(1)) + self.offset)))
-        uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        out = out.withColumn("_n", F.col("_s.n")).withColumn("_log_weight", log_weight).withColumn("_chance", chance)
-        return out.withColumn("_key", F.col("_log_weight") - temperature * F.log(-F.log(uniform))).drop("_s")
-
-
-def line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, even: bool = True) -> tuple[float, float]:
-    """Slope and offset of a logistic line, by Newton's method; classes weigh
-    evenly or else as often as they come."""
-    if len(set(y.tolist())) < 2:
-        return 0.0, 4.0
-    mean, scale = x.mean(), x.std() or 1.0
-    z = np.stack([(x - mean) / scale, np.ones_like(x)], 1)
-    weight = (np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if even else np.ones(len(y))) / len(y)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (weight * (p - y)) + ridge * w
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
-
-
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, most: int = 20_000) -> Model:
-    """Learn from the labelled rows outside the held-out third, at most `most`
-    of each class by hash of their id; the raw model counts all documents.
-    Only the ids of that sample are broadcast, and one count a bucket and one
-    number a sampled document reach the driver."""
+def keyed(docs: DataFrame, ratio: np.ndarray, seed: int | Column, draws: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _n (n-grams), _log_weight and _key, by the log ratios of the
+    buckets. The noise depends on seed, id and text alone."""
+    ratios = F.lit(np.asarray(ratio, float))  # one array in the plan
+    scored = let(grams(F.col(text_col), len(ratio)), lambda g: F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(ratios, b)).alias("w")))
+    out = docs.withColumn("_s", scored).withColumn("_n", F.col("_s.n"))
+    out = out.withColumn("_log_weight", draws * F.col("_s.w") / F.greatest("_n", F.lit(1)))
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    uniform = (F.pmod(F.xxhash64(seed, F.col(id_col), F.col(text_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return out.withColumn("_key", F.col("_log_weight") - F.log(-F.log(uniform))).drop("_s")
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, most: int = 20_000) -> tuple[np.ndarray, float]:
+    """The log ratios, and the share of good rows among the labelled rows of
+    docs, all outside the held-out third.
+
+    The target model is learned from at most `most` good rows, by hash of their
+    id; the raw model counts all documents. Only the ids of that sample are
+    broadcast, and one count a bucket reaches the driver. Without labels of both
+    classes the share is 1.
+    """
     known = labels.filter(~hold_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
-    sample = cut(some[0].unionByName(some[1]).withColumnRenamed("doc_id", "_id"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left")
-    n = marked.select(F.explode(grams(F.col("text"), buckets)).alias("b"), F.coalesce(F.col("quality") == 1, F.lit(False)).cast("long").alias("good"))
-    counts = n.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = np.full(buckets, 1.0), np.full(buckets, 1.0)
-    for r in counts:
+    known = cut(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    good = known.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(cut(good)), F.col("doc_id") == F.col("_id"), "left")
+    n = marked.select(F.explode(grams(F.col("text"), buckets)).alias("b"), F.col("_id").isNotNull().cast("long").alias("good"))
+    raw, target = np.full(buckets, 1.0), np.full(buckets, 1.0)
+    for r in n.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect():
         raw[r.b] += r.raw
-        good[r.b] += r.good
-    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
-    model = Model([round(float(x), 6) for x in ratio], 1.0, 0.0)
-    pairs = model.columns(marked.filter("quality is not null"), "text", 0, 0.0, "doc_id").select((F.col("_log_weight") / F.greatest("_n", F.lit(1))).alias("x"), "quality").collect()
-    pairs = [p for p in pairs if p.x is not None]
-    model.slope, model.offset = line(np.array([p.x for p in pairs]), np.array([p.quality for p in pairs])) if pairs else (0.0, 4.0)
-    return model
-
-
-def least_key(scored: DataFrame) -> float:
-    """The k-th largest key, k being the number of texts likelier good than
-    not; found by ranking the keys in ranges, never in one task."""
-    k = scored.filter("_chance >= 0.5").count()
+        target[r.b] += r.good
+    share = known.agg(F.avg("quality")).first()[0]
+    return np.log(target / target.sum()) - np.log(raw / raw.sum()), float(share) if share else 1.0
+
+
+def least_key(scored: DataFrame, share: float) -> float:
+    """The k-th largest key, k being that share of the rows; found by ranking
+    the keys in ranges, never in one task."""
+    k = round(share * scored.count())
     if not k:
         return math.inf
     ranked = ordinal(scored.select("_key"), [], [F.col("_key").desc()], "_rank")
     return ranked.filter(F.col("_rank") == k - 1).first()._key
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = 0.2, seed: int = 7) -> DataFrame:
-    """doc_id, n_grams, log_weight, quality, gumbel_key, selected for each row.
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, draws: float = 100, seed: int = 7) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key, selected for each row.
 
-    temperature scales the Gumbel noise: 1 draws exactly in proportion to the
-    weights, less keeps closer to the largest. A null or empty text has no
-    n-grams and a log weight of 0. Equal rows have equal keys, and ties at the
-    last key are all kept. Without labels of both classes every text is taken
-    as good. An empty table gives an empty result.
+    share: k as a share of all rows; if not given, the share of good rows among
+    the labelled rows of docs that are not held out. draws: how many n-grams a
+    text stands for; the more, the less chance decides between unlike texts. A
+    null or empty text has no n-grams and a log weight of 0. Equal rows have
+    equal keys, and ties at the last key are all kept. Without labels of both
+    classes every text is kept. An empty table gives an empty result.
     """
-    model = fit(docs, labels)
-    scored = cut(model.columns(docs.select("doc_id", "text"), "text", seed, temperature, "doc_id").drop("text"))
-    return scored.select(
-        "doc_id", F.col("_n").cast("long").alias("n_grams"), F.col("_log_weight").alias("log_weight"), F.col("_chance").alias("quality"), F.col("_key").alias("gumbel_key"), (F.col("_key") >= least_key(scored)).alias("selected")
-    )
+    ratio, good = fit(docs, labels)
+    scored = cut(keyed(docs.select("doc_id", "text"), ratio, seed, draws).drop("text"))
+    selected = F.col("_key") >= least_key(scored, good if share is None else share)
+    return scored.select("doc_id", F.col("_n").cast("long").alias("n_grams"), F.col("_log_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), selected.alias("selected"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, temperature: float = 0.2, seed: int = 7) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, share: float | None = None, draws: float = 100, seed: int = 7) -> DataFrame:
     """The selected rows of docs with their columns. Keys are computed once to
     find the last one kept and again to filter: texts are never shuffled."""
-    model = fit(docs, labels)
-    keys = cut(model.columns(docs.select("doc_id", "text"), "text", seed, temperature, "doc_id").select("_chance", "_key"))
-    return model.columns(docs, "text", seed, temperature, "doc_id").filter(F.col("_key") >= least_key(keys)).select(*docs.columns)
+    ratio, good = fit(docs, labels)
+    keys = cut(keyed(docs.select("doc_id", "text"), ratio, seed, draws).select("_key"))
+    return keyed(docs, ratio, seed, draws).filter(F.col("_key") >= least_key(keys, good if share is None else share)).select(*docs.columns)
 
 
 def op1_quality(spark, sf_dir):

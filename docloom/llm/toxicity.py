@@ -2,15 +2,16 @@
 
 Labels are per document, so tokens are labelled first: a word or word
 beginning that stands in labelled toxic documents far oftener than chance lets,
-and hardly in others, marks its tokens as toxic. A two-state chain over hashed
-features of the word and its neighbours is then trained on windows of these
-tokens. Its forward-backward marginals over every whole text give the offending
+and hardly in others, labels its tokens as toxic in the training texts. A
+two-state chain over hashed features of the tokens (the word, its beginnings
+and endings, its shape, the words around it) is then trained on windows of these
+labelled tokens; the list that labelled them is no feature and is not kept. The
+chain's forward-backward marginals over every whole text give the offending
 spans; their sum, through a logistic line, the document's score.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 
@@ -23,51 +24,110 @@ from docloom.llm.common import bound_batches, cut, hold_out, table
 from docloom.llm.fingerprint import let
 
 TOKEN = re.compile(r"\w+|[.!?\n]")
-BITS = 18
+BITS = 21
 WINDOW = 64
 BEGINNINGS = (4, 5, 6, 7, 8)
+ENDINGS = (3, 4)
 
 
 def parts(word: str) -> list[str]:
-    """The word itself and its beginnings, as lexicon entries."""
+    """The word itself and its beginnings, as entries of the training list."""
     return [word] + [f"{word[:n]}-" for n in BEGINNINGS if len(word) > n]
 
 
-@functools.lru_cache(maxsize=20_000)
-def hashed(word: str, words: frozenset[str] = frozenset()) -> tuple[list[int], int, int]:
-    """Feature numbers of a word where it stands, before and behind a token."""
-    mask = (1 << BITS) - 1
-    own = ["bias", f"is {word}"] + [f"marked {p}" for p in parts(word) if p in words]
-    return [zlib.crc32(x.encode()) & mask for x in own], zlib.crc32(f"before {word}".encode()) & mask, zlib.crc32(f"behind {word}".encode()) & mask
+def shape(token: str) -> str:
+    return "capital" if token.istitle() else "capitals" if token.isupper() else "word" if token.isalpha() else "number" if token.isdigit() else "mixed" if token[0].isalnum() else "sign"
 
 
-def marginals(u: np.ndarray, on: np.ndarray, trans: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """Forward-backward over windows, which are the columns of u.
+def features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers of each token where it stands (a row each), as the one
+    before another and as the one behind."""
+    words = [t.lower() for t in tokens]
+    own = [words, *[[w[:n] for w in words] for n in BEGINNINGS], *[[w[-n:] for w in words] for n in ENDINGS], list(map(shape, tokens))]
+    hashes = [pd.util.hash_array(np.array(x, object), categorize=False).astype(np.uint64) for x in own]
+    number = lambda h, kind: (((h ^ np.uint64(0x9E3779B97F4A7C15 * kind % 2**64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
+    rows = np.stack([np.zeros(len(tokens), np.int64)] + [number(h, i + 1) for i, h in enumerate(hashes)], 1)
+    return rows, number(hashes[0], 101), number(hashes[0], 102)
 
-    u: log odds of the toxic state from the features; on: where tokens are;
-    trans: scores of the moves [clean, toxic] x [clean, toxic]. Returns the
-    toxic state's marginal at each token and, if asked, the expected number of
-    moves. With two states the messages are single numbers, the odds of the
-    toxic state, here of what precedes (r) and of what follows (s).
+
+def step(e: np.ndarray, m: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The odds of the toxic state at a token, from its own and the last odds."""
+    return np.clip(e * ((m[0, 1] + m[1, 1] * x) / (m[0, 0] + m[1, 0] * x)), 1e-12, 1e12)
+
+
+def step_back(e: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """What the next token, of odds e, and all behind it say of the odds here."""
+    x = e * s
+    return (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+
+
+def messages(u: np.ndarray, on: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, close: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """e, m and the messages r (of what precedes and the token itself) and s (of
+    what follows) of chains cut into windows, the columns of u.
+
+    u: log odds of the toxic state from the features; on: where tokens are (all
+    but a chain's last window are full); trans: scores of the moves [clean,
+    toxic] x [clean, toxic]; before: the column that each one continues, or -1.
+    With two states a message is one number, the odds of the toxic state. A
+    window is passed as if it stood alone, then again from its border for as
+    long as the message that arrives there changes anything.
     """
-    t = len(u)
+    n = len(u)
     m = np.exp(trans - trans.max()).astype(u.dtype)
     e = np.exp(np.clip(u, -25, 25))
     r, s = np.empty_like(u), np.ones_like(u)
     r[0] = e[0]
-    for i in range(1, t):
-        x = r[i - 1]
-        r[i] = np.clip(e[i] * ((m[0, 1] + m[1, 1] * x) / (m[0, 0] + m[1, 0] * x)), 1e-12, 1e12)
-    for i in range(t - 2, -1, -1):
-        x = e[i + 1] * s[i + 1]
-        s[i] = np.where(on[i + 1], (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x), 1)
+    for i in range(1, n):
+        r[i] = step(e[i], m, r[i - 1])
+    for i in range(n - 2, -1, -1):
+        s[i] = np.where(on[i + 1], step_back(e[i + 1], m, s[i + 1]), 1)
+    if before is None:
+        return e, m, r, s
+    todo = np.flatnonzero(before >= 0)
+    last = before[todo]
+    follower = np.full(u.shape[1], -1)
+    follower[last] = todo
+    while len(todo):
+        x, live = r[-1, before[todo]], todo
+        for i in range(n):
+            new = step(e[i, live], m, x)
+            far = np.abs(new - r[i, live]) > close * new
+            r[i, live] = new
+            live, x = live[far], new[far]
+            if not len(live):
+                break
+        todo = follower[live]  # the border itself has changed for these
+        todo = todo[todo >= 0]
+    todo = last
+    while len(todo):
+        nxt = follower[todo]
+        x, live = step_back(e[0, nxt], m, s[0, nxt]), todo
+        for i in range(n - 1, -1, -1):
+            new = x if i == n - 1 else step_back(e[i + 1, live], m, x)
+            far = np.abs(new - s[i, live]) > close * new
+            s[i, live] = new
+            live, x = live[far], new[far]
+            if not len(live):
+                break
+        todo = before[live]
+        todo = todo[todo >= 0]
+    return e, m, r, s
+
+
+def marginals(u: np.ndarray, on: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The toxic state's marginal at each token; see messages."""
+    _, _, r, s = messages(u, on, trans, before)
+    p = r * s
+    return p / (1 + p) * on
+
+
+def expectations(u: np.ndarray, on: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals, and the expected number of moves, of windows apart."""
+    e, m, r, s = messages(u, on, trans)
     p = r * s
-    p = p / (1 + p) * on
-    if not moves:
-        return p, None
     before, after = r[:-1], e[1:] * s[1:]
     pair = np.array([[m[0, 0] + 0 * before, m[0, 1] * after], [m[1, 0] * before, m[1, 1] * before * after]])
-    return p, (pair / pair.sum((0, 1)) * on[1:]).sum((2, 3))
+    return p / (1 + p) * on, (pair / pair.sum((0, 1)) * on[1:]).sum((2, 3))
 
 
 def amount(m: np.ndarray) -> float:
@@ -78,8 +138,7 @@ def amount(m: np.ndarray) -> float:
 class Tagger:
     """Weights of the chain, and the line from expected toxic tokens to score."""
 
-    def __init__(self, words: set[str] = frozenset()):
-        self.words = frozenset(words)
+    def __init__(self):
         self.w = np.zeros(1 << BITS, np.float32)
         self.trans = np.zeros((2, 2))
         self.slope, self.offset = 0.0, -3.0
@@ -94,35 +153,35 @@ class Tagger:
         if len(self.cache) > 150_000:
             self.cache, self.values = {}, self.values[:0]
         cache = self.cache
-        new = [t for t in set(tokens).difference(cache)]
+        new = list(set(tokens).difference(cache))
         if new:
-            found = [hashed(t.lower(), self.words) for t in new]
-            v = [(self.w[own].sum(), self.w[p], self.w[n]) for own, p, n in found]
+            own, ahead, behind = features(new)
             at = len(self.values)
-            self.values = np.concatenate([self.values, np.array(v, np.float32)])
-            cache.update((t, at + i) for i, t in enumerate(new))
+            self.values = np.concatenate([self.values, np.stack([self.w[own].sum(1), self.w[ahead], self.w[behind]], 1)])
+            cache.update(zip(new, range(at, at + len(new)), strict=True))
         return self.values[np.fromiter(map(cache.__getitem__, tokens), np.int32, len(tokens))]
 
-    def tag(self, docs: list[list[str]], batch: int = 4096) -> list[np.ndarray]:
-        """Toxic marginals of every token; chains run over windows of tokens."""
-        u = []
+    def tag(self, docs: list[list[str]]) -> list[np.ndarray]:
+        """Toxic marginals of every token; each text is one chain."""
         values = self.look_up([t for tokens in docs for t in tokens])
-        ends = np.cumsum([len(tokens) for tokens in docs])
-        for v in np.split(values, ends[:-1]) if docs else []:
-            s = v[:, 0].copy()
-            s[1:] += v[:-1, 1]
-            s[:-1] += v[1:, 2]
-            u.append(s)
-        rows = np.concatenate([[0], np.cumsum([-(-len(x) // WINDOW) for x in u])]).astype(int)
+        lengths = np.array([len(tokens) for tokens in docs], int)
+        ends = np.cumsum(lengths)
+        u = values[:, 0].copy()
+        first = np.zeros(len(u) + 1, bool)
+        first[ends - lengths] = True
+        first = first[:-1]
+        u[1:] += values[:-1, 1] * ~first[1:]
+        u[:-1] += values[1:, 2] * ~first[1:]
+        rows = np.concatenate([[0], np.cumsum(-(-lengths // WINDOW))]).astype(int)
+        # where each token stands in the grid of windows
+        place = np.arange(len(u)) + np.repeat(rows[:-1] * WINDOW - (ends - lengths), lengths)
         grid, on = np.zeros((rows[-1], WINDOW), np.float32), np.zeros((rows[-1], WINDOW), bool)
-        for x, r in zip(u, rows, strict=False):
-            grid[r:].reshape(-1)[: len(x)] = x
-            on[r:].reshape(-1)[: len(x)] = True
-        out = np.zeros(grid.shape, np.float32)
-        for i in range(0, len(grid), batch):
-            u_, on_ = (np.ascontiguousarray(x[i : i + batch].T) for x in (grid, on))
-            out[i : i + batch] = marginals(u_, on_, self.trans, moves=False)[0].T
-        return [out[r:].reshape(-1)[: len(x)] for x, r in zip(u, rows, strict=False)]
+        grid.reshape(-1)[place] = u
+        on.reshape(-1)[place] = True
+        before = np.arange(-1, rows[-1] - 1)
+        before[rows[:-1][lengths > 0]] = -1
+        out = marginals(np.ascontiguousarray(grid.T), np.ascontiguousarray(on.T), self.trans, before).T.reshape(-1)[place]
+        return np.split(out, ends[:-1]) if docs else []
 
     def score(self, expected: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log(expected + 0.01) + self.offset, -30, 30)))
@@ -130,15 +189,15 @@ class Tagger:
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """text, toxic of labelled documents outside the held-out third: by hash
-    of their id at most `most` toxic and 3 * `most` others, one of each set of
-    texts that share their least shingle (copies, mostly)."""
+    of their id at most `most` toxic and 3 * `most` others, the first in order of
+    each set of texts that share their least shingle (copies, mostly)."""
     known = labels.filter(~hold_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for q, n in ((1, most), (0, 3 * most))]
     some = cut(some[0].unionByName(some[1]).withColumnRenamed("doc_id", "_id"))
     joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
     least = let(words, lambda w: F.array_min(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
-    return cut(joined.withColumn("_group", least).dropDuplicates(["_group", "toxic"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic"))
+    return cut(joined.groupBy(least.alias("_group"), "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "toxic"))
 
 
 class _Marks:
@@ -188,67 +247,64 @@ def lexicon(sample: DataFrame, most: int = 20_000) -> set[str]:
 
 
 def windows(sample: DataFrame, words: set[str], most: int) -> tuple[list[list[str]], list[list[int]]]:
-    """Training windows with token labels, at most `most` of either kind."""
-    rate = min(1.0, 3.0 * most / max(1, sample.count()))
+    """Training windows with token labels: of all windows that hold labelled
+    tokens of toxic documents, and of all of the other documents, at most `most`
+    each, by hash. Other windows of toxic documents say nothing for sure."""
 
     def cuts(batches):
         for b in batches:
             out = []
             for t, toxic in zip(b["text"], b["toxic"], strict=True):
-                tokens = [w.lower() for w in TOKEN.findall(t)]
-                y = [int(any(p in words for p in parts(w))) for w in tokens]
-                at = [i for i in range(0, len(tokens), WINDOW)]
-                marked = [i for i in at if any(y[i : i + WINDOW])]
-                clean = [i for i in at if not any(y[i : i + WINDOW])]
-                for i in marked[:3] if toxic else clean[:: max(1, len(clean) // 2)][:2]:
-                    out.append((tokens[i : i + WINDOW], y[i : i + WINDOW], bool(toxic)))
+                tokens = TOKEN.findall(t)
+                y = [int(toxic and any(p in words for p in parts(w.lower()))) for w in tokens]
+                for i in range(0, len(tokens), WINDOW):
+                    if any(y[i : i + WINDOW]) or not toxic:
+                        out.append((tokens[i : i + WINDOW], y[i : i + WINDOW], bool(toxic)))
             yield pd.DataFrame(out, columns=["tokens", "y", "toxic"])
 
-    found = sample.sample(rate, seed=1).mapInPandas(cuts, "tokens array<string>, y array<int>, toxic boolean")
+    found = sample.mapInPandas(cuts, "tokens array<string>, y array<int>, toxic boolean")
     rows = [r for q in (True, False) for r in found.filter(F.col("toxic") == q).orderBy(F.xxhash64("tokens")).limit(most).collect()]
     return [list(r.tokens) for r in rows], [list(r.y) for r in rows]
 
 
-def train(tokens: list[list[str]], y: list[list[int]], words: set[str], steps: int = 80, ridge: float = 1e-4) -> Tagger:
+def train(tokens: list[list[str]], y: list[list[int]], steps: int = 60, ridge: float = 1e-4) -> Tagger:
     """Conditional likelihood by adaptive gradient steps; numpy, on windows
     whose number is bounded."""
-    tagger = Tagger(words)
+    tagger = Tagger()
     if not any(map(any, y)):
         return tagger
     n = len(tokens)
-    on, gold = np.zeros((n, WINDOW), bool), np.zeros((n, WINDOW))
-    where, which = [], []
-    for i, (ws, ys) in enumerate(zip(tokens, y, strict=True)):
-        on[i, : len(ws)] = True
-        gold[i, : len(ws)] = ys
-        for j, w in enumerate(ws):
-            f = list(hashed(w, tagger.words)[0])
-            if j:
-                f.append(hashed(ws[j - 1])[1])
-            if j + 1 < len(ws):
-                f.append(hashed(ws[j + 1])[2])
-            where += [i * WINDOW + j] * len(f)
-            which += f
-    where, which = np.array(where), np.array(which)
-    size = n * WINDOW
+    lengths = np.array(list(map(len, tokens)))
+    on = np.arange(WINDOW) < lengths[:, None]
+    gold = np.zeros((n, WINDOW))
+    gold[on] = np.concatenate(y)
+    names, which = np.unique(np.array([w for ws in tokens for w in ws], object), return_inverse=True)
+    own, ahead, behind = features(list(names))
+    word = np.zeros((n, WINDOW), int)
+    word[on] = which
+    at = np.flatnonzero(on.reshape(-1))
+    follows = on[:, 1:]
+    here = np.arange(n * WINDOW).reshape(n, WINDOW)
+    where = np.concatenate([np.repeat(at, own.shape[1]), here[:, 1:][follows], here[:, :-1][follows]])
+    which = np.concatenate([own[word[on]].reshape(-1), ahead[word[:, :-1][follows]], behind[word[:, 1:][follows]]])
+    used, which = np.unique(which, return_inverse=True)  # train only weights that occur
     g = gold.astype(int)
     seen = np.zeros((2, 2))
-    both = on[:, 1:]
-    np.add.at(seen, (g[:, :-1][both], g[:, 1:][both]), 1)
+    np.add.at(seen, (g[:, :-1][follows], g[:, 1:][follows]), 1)
     total = on.sum()
-    w, trans = np.zeros(1 << BITS), np.zeros((2, 2))
-    w2, t2 = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8)
-    for step in range(steps):
-        u = np.bincount(where, w[which], size).reshape(n, WINDOW)
-        p, moves = marginals(np.ascontiguousarray(u.T), on.T, trans)
-        p = p.T
-        gw = np.bincount(which, (p - gold).reshape(-1)[where], 1 << BITS) / total + ridge * w / (1 << 10)
+    w, trans = np.zeros(len(used)), np.zeros((2, 2))
+    w2, t2 = np.full(len(used), 1e-8), np.full((2, 2), 1e-8)
+    for i in range(steps):
+        u = np.bincount(where, w[which], n * WINDOW).reshape(n, WINDOW)
+        p, moves = expectations(np.ascontiguousarray(u.T), on.T, trans)
+        gw = np.bincount(which, (p.T - gold).reshape(-1)[where], len(used)) / total + ridge * w / (1 << 10)
         gt = (moves - seen) / total + ridge * trans
         w2, t2 = 0.9 * w2 + 0.1 * gw * gw, 0.9 * t2 + 0.1 * gt * gt
-        rate = 0.3 / (1 + step / 20)
+        rate = 0.3 / (1 + i / 20)
         w -= rate * gw / (np.sqrt(w2) + 1e-7)
         trans -= rate * gt / (np.sqrt(t2) + 1e-7)
-    tagger.w, tagger.trans = w.astype(np.float32), np.clip(trans, -4, 4)
+    tagger.w[used] = w
+    tagger.trans = np.clip(trans, -4, 4)
     return tagger
 
 
@@ -263,18 +319,31 @@ def expected(sample: DataFrame, tagger: Tagger) -> tuple[np.ndarray, np.ndarray]
     return np.array([r.e for r in rows]), np.array([r.toxic for r in rows])
 
 
+def line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset of a logistic line, by Newton's method."""
+    if len(set(y.tolist())) < 2:
+        return 0.0, 4.0
+    mean, scale = x.mean(), x.std() or 1.0
+    z = np.stack([(x - mean) / scale, np.ones_like(x)], 1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        g = z.T @ (p - y) / len(y) + ridge * w
+        h = (z * (p * (1 - p))[:, None]).T @ z / len(y) + ridge * np.eye(2)
+        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, most_windows: int = 4000) -> Tagger:
     """Learn from at most `most` toxic and three times as many other labelled
     documents, none of the held-out third."""
-    from docloom.llm.quality import line
-
     sample = sampled(docs, labels, most)
     if sample.groupBy("toxic").count().count() < 2:
         return Tagger()
     words = lexicon(sample)
-    tagger = train(*windows(sample, words, most_windows), words)
+    tagger = train(*windows(sample, words, most_windows))
     e, toxic = expected(sample, tagger)
-    tagger.slope, tagger.offset = line(np.log(e + 0.01), toxic, even=False)  # toxic texts are a quarter of the sample: rare, as in the corpus
+    tagger.slope, tagger.offset = line(np.log(e + 0.01), toxic)  # toxic texts are a quarter of the sample: rare, as in the corpus
     return tagger
 
 

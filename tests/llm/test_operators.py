@@ -351,12 +351,12 @@ def test_toxicity(spark, none):
 def test_marginals_equal_enumeration():
     import itertools
 
-    from docloom.llm.toxicity import marginals
+    from docloom.llm.toxicity import expectations
 
     r = np.random.default_rng(0)
     u, on, tr = r.normal(size=(5, 3)), np.ones((5, 3), bool), r.normal(size=(2, 2))
     on[3:, 1] = False
-    p, moves = marginals(u, on, tr)
+    p, moves = expectations(u, on, tr)
     total = np.zeros((2, 2))
     for c in range(3):
         n = int(on[:, c].sum())
@@ -372,15 +372,173 @@ def test_marginals_equal_enumeration():
     assert np.allclose(total, moves)
 
 
+def tagger_of(seed: int):
+    from docloom.llm.toxicity import BITS, Tagger
+
+    r = np.random.default_rng(seed)
+    t = Tagger()
+    t.w = r.normal(size=1 << BITS).astype(np.float32) * 0.6
+    t.w[0] = -0.5
+    t.trans = np.array([[1.5, -1.0], [-1.0, 1.5]])
+    t.slope, t.offset = 1.3, 0.4
+    return t
+
+
+def test_toxicity_scores_by_enumeration(spark):
+    """Scores and spans of short texts from all labellings of their tokens."""
+    import itertools
+
+    from docloom.llm.toxicity import TOKEN, features, scored
+
+    t = tagger_of(4)
+    texts = [text(i, i % 9) for i in range(30)] + [None, "", "One, TWO 3! a1", "x", "x"]
+    rows = scored(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string"), t).select("doc_id", "_toxic.*").collect()
+    marked = 0
+    for row in rows:
+        x = texts[row.doc_id] or ""
+        found = list(TOKEN.finditer(x))
+        n = len(found)
+        p = np.zeros(n)
+        if n:
+            own, ahead, behind = features([f[0] for f in found])
+            u = t.w[own].sum(1)
+            u[1:] += t.w[ahead][:-1]
+            u[:-1] += t.w[behind][1:]
+            z = 0.0
+            for y in itertools.product((0, 1), repeat=n):
+                w = math.exp(sum(float(u[i]) * y[i] for i in range(n)) + sum(t.trans[y[i], y[i + 1]] for i in range(n - 1)))
+                z += w
+                p += w * np.array(y)
+            p /= z
+        e = p[p >= 0.1].sum()
+        assert abs(row.n_toxic - e) < 1e-3 and abs(row.score - 1 / (1 + math.exp(-(1.3 * math.log(e + 0.01) + 0.4)))) < 1e-3
+        spans = []
+        for i in np.flatnonzero(p >= 0.5):
+            if spans and spans[-1][2] == i - 1:
+                spans[-1] = [spans[-1][0], found[i].end(), i]
+            else:
+                spans.append([found[i].start(), found[i].end(), i])
+        assert [[s.start, s.end] for s in row.spans] == [s[:2] for s in spans]
+        marked += len(spans)
+    assert marked > 10
+
+
+def test_messages_pass_whole_texts():
+    """Chains of many windows against plain recursion over each text."""
+    from docloom.llm.toxicity import features
+
+    t = tagger_of(5)
+    t.trans = np.array([[3.0, -3.0], [-3.0, 3.0]])  # what is said far away matters
+    docs = [text(i, n).split() for i, n in enumerate([0, 1, 63, 64, 65, 128, 129, 1000, 0, 5000])]
+    m = np.exp(t.trans)
+    for tokens, got in zip(docs, t.tag(docs), strict=True):
+        if not tokens:
+            assert not len(got)
+            continue
+        own, ahead, behind = features(tokens)
+        u = t.w[own].sum(1).astype(float)
+        u[1:] += t.w[ahead][:-1]
+        u[:-1] += t.w[behind][1:]
+        e = np.stack([np.ones_like(u), np.exp(u)], 1)
+        f, b = np.zeros_like(e), np.ones_like(e)
+        for i in range(len(u)):
+            f[i] = e[i] * (f[i - 1] @ m if i else 1)
+            f[i] /= f[i].sum()
+        for i in range(len(u) - 2, -1, -1):
+            b[i] = m @ (e[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        p = f * b
+        assert np.allclose(got, p[:, 1] / p.sum(1), atol=2e-4)
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    """The sf0.1 table: recall, false alarms and order on labels held out."""
+    from docloom.llm.toxicity import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    out = toxicity(spark.read.parquet(f"{folder}/documents.parquet").repartition(8), labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    bad, good = out[out.toxic == 1], out[out.toxic == 0]
+    rank = out.score.rank()[bad.index].sum() - len(bad) * (len(bad) + 1) / 2
+    assert rank / len(bad) / len(good) >= 0.917
+    assert bad.predicted.mean() >= 0.84 and good.predicted.mean() <= 0.013
+
+
 def test_quality(spark, none):
     from docloom.llm.quality import keep_good, resample
 
     docs, labels = labelled(spark)
-    rows = {r.doc_id: r for r in resample(docs, labels).collect() if r.doc_id < 600}
+    rows = {r.doc_id: r for r in resample(docs, labels, share=0.8).collect() if r.doc_id < 600}
     assert sum(rows[i].selected == (i % 5 != 0) for i in range(600)) >= 590
+    rows = {r.doc_id: r for r in resample(docs, labels).collect() if r.doc_id < 600}  # k by the share of good labels outside the held-out third
+    assert sum(rows[i].selected == (i % 5 != 0) for i in range(600)) >= 580
     kept = keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect() if r.doc_id < 600} == {i for i, r in rows.items() if r.selected}
     assert resample(none, labels).count() == 0
+    assert resample(docs, labels, share=0.5).filter("selected").count() in (301, 302)  # half of 603; equal rows share a key
+    assert resample(docs, labels.limit(0)).filter("not selected").count() == 0
+
+
+def test_quality_weights_by_brute_force(spark):
+    """Log weights from plain counts of n-grams, for nulls, empty, long and
+    repeated texts too; held-out labels teach nothing."""
+    from docloom.llm.quality import grams, resample
+
+    rows = [(i, text(i, 30 + i) + " good" * (i % 3), -1.0) for i in range(60)] + [(100, None, 0.0), (101, "", 0.0), (102, " ~~ " + text(1, 20_000), 0.0), (3, text(3, 33), 0.0), (3, text(3, 33), 0.0), (None, "é É", 0.0)]
+    marks = [(i, int(i % 3 > 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key double")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    n = 10_000
+    of = [list(r.g) for r in docs.select(grams(F.col("text"), n).alias("g")).collect()]
+    good = {i for i, q in marks if q and not held(i)}
+    raw, target = np.ones(n), np.ones(n)
+    for (i, *_), g in zip(rows, of, strict=True):
+        np.add.at(raw, g, 1)
+        if i in good:
+            np.add.at(target, g, 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = sorted((-1 if i is None else i, len(g), round(100 * float(ratio[g].mean()) if g else 0.0, 6)) for (i, *_), g in zip(rows, of, strict=True))
+    got = resample(docs, labels).collect()
+    assert np.allclose(np.array(sorted((-1 if r.doc_id is None else r.doc_id, r.n_grams, r.log_weight) for r in got)), np.array(want), atol=1e-5)
+    t = re.findall(r"\w+|[^\w\s]+", (rows[0][1] or "").lower())
+    assert len(of[0]) == 2 * len(t) - 1
+    k = round(len([i for i in good]) / len([i for i, _ in marks if not held(i)]) * len(rows))
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert all(r.selected == (r.gumbel_key >= keys[k - 1]) for r in got)
+
+
+def test_quality_inclusion_follows_weights(spark):
+    """Over many seeds, texts are among the first one and the first two as
+    often as drawing without replacement by weight has it."""
+    import itertools
+
+    from docloom.llm.quality import keyed
+
+    ratio = np.linspace(-1.5, 1.5, 64)
+    docs = spark.createDataFrame([(i, text(i, 12)) for i in range(6)], "doc_id long, text string").crossJoin(spark.range(6000).withColumnRenamed("id", "seed"))
+    rows = keyed(docs, ratio, F.col("seed"), 3.0).select("seed", "doc_id", "_log_weight", "_key").toPandas()
+    w = np.exp(rows.groupby("doc_id")["_log_weight"].first().to_numpy())
+    w /= w.sum()
+    rank = rows.sort_values("_key", ascending=False).groupby("seed").cumcount()
+    first = rows[rank.reindex(rows.index) == 0].groupby("doc_id").size().reindex(range(6), fill_value=0).to_numpy() / 6000
+    two = rows[rank.reindex(rows.index) <= 1].groupby("doc_id").size().reindex(range(6), fill_value=0).to_numpy() / 6000
+    both = np.zeros(6)
+    for a, b in itertools.permutations(range(6), 2):
+        both[[a, b]] += w[a] * w[b] / (1 - w[a])
+    assert w.max() > 3 * w.min() and np.abs(first - w).max() < 0.03 and np.abs(two - both).max() < 0.03
+
+
+def test_quality_keeps_good_documents(spark):
+    """Held-out labels of the sf0.1 table: what is kept of either class."""
+    from docloom.llm.common import hold_out
+    from docloom.llm.quality import resample
+
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = resample(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels.filter(hold_out(F.col("doc_id"))), "doc_id")
+    kept = {r.quality: r.kept for r in out.filter("quality is not null").groupBy("quality").agg(F.avg(F.col("selected").cast("int")).alias("kept")).collect()}
+    assert kept[1] >= 0.97 and kept[0] <= 0.15
 
 
 def test_ordinal(spark):
