@@ -287,7 +287,11 @@ def train(tokens: list[list[str]], y: list[list[int]], steps: int = 60, ridge: f
     here = np.arange(n * WINDOW).reshape(n, WINDOW)
     where = np.concatenate([np.repeat(at, own.shape[1]), here[:, 1:][follows], here[:, :-1][follows]])
     which = np.concatenate([own[word[on]].reshape(-1), ahead[word[:, :-1][follows]], behind[word[:, 1:][follows]]])
-    used, which = np.unique(which, return_inverse=True)  # train only weights that occur
+    occurs = np.zeros(1 << BITS, bool)
+    occurs[which] = True
+    used = np.flatnonzero(occurs)  # only weights that occur are trained
+    which = (np.cumsum(occurs) - 1)[which]
+    del own, ahead, behind, here, word, at, names
     g = gold.astype(int)
     seen = np.zeros((2, 2))
     np.add.at(seen, (g[:, :-1][follows], g[:, 1:][follows]), 1)

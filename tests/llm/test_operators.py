@@ -280,7 +280,7 @@ def test_jaccard_join(spark, none):
         w[3 * i] = "changed"
         rows.append((1000 + i, " ".join(w), "en", "s"))
     df = spark.createDataFrame([r + (0, 0, "k", 0, 0.0) for r in rows], SCHEMA)
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.n_links, r.n_copies) for r in join(df, tile=16, small=8).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.n_links, r.n_copies) for r in join(df, tile=16).collect())
     sets = []
     for _, t, *_ in rows:
         w = (t or "").lower().split()
@@ -311,6 +311,95 @@ def test_jaccard_join(spark, none):
     assert join(none).count() == 0
 
 
+def test_prefix_is_shortened_until_the_recall_is_met():
+    from docloom.llm.jaccard_join import prefix_length, recalls
+
+    r = np.random.default_rng(2)
+    true = r.choice([0.81, 0.84, 0.93], 40_000)  # likenesses of pairs; what is seen of them
+    seen = true[r.random(len(true)) < recalls(true, 32, 10)[:, -1]]
+    k = prefix_length(0.8, 32, 10, 0.9995, seen)
+    measured = [np.array([recalls(true[true < 0.85], 32, 10)[:, i].mean(), recalls(true[true > 0.9], 32, 10)[:, i].mean()]).min() for i in range(10)]
+    assert k == max(i for i in range(10) if measured[i] >= 0.9995) + 1 < 10
+    assert prefix_length(0.8, 32, 10, 0.9995, np.full(9, 0.97)) > k  # like pairs only: longer prefixes do
+    none = prefix_length(0.8, 32, 10, 0.9995, np.zeros(0))
+    assert recalls(np.array([0.8]), 32, 10)[0, none - 1] >= 0.9995 > recalls(np.array([0.8]), 32, 10)[0, none]
+    assert prefix_length(0.8, 1, 4, 1.0, seen) == 1
+
+
+def test_subtrees_across_partitions(spark):
+    """5,000 texts in one subtree, over many partitions, are one component; so
+    are those of a subtree that fills no more than a border."""
+    from docloom.llm.jaccard_join import components, subtree_edges
+
+    rows = [(bytes([0, 7, 7, i % 3]), i) for i in range(5000)] + [(bytes([1, 7, 7, i % 5]), 10_000 + i) for i in range(20)] + [(bytes([1, 7, 8 + i, 0]), 20_000 + i) for i in range(9)]
+    for n in (1, 7, 40):
+        tries = spark.createDataFrame(rows, "path binary, key long").repartitionByRange(n, "path", "key").sortWithinPartitions("path", "key")
+        found = {}
+        for r in components(subtree_edges(tries, 2)).collect():
+            found.setdefault(r.root, set()).add(r.node)
+        assert found == {0: set(range(5000)), 10_000: set(range(10_000, 10_020))}
+
+
+def classes_by_brute_force(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, class_id, n_links) with links from shared shingles, which are
+    all counted; shingles as sets of words."""
+    import collections
+
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(t or "", []).append(i)
+    names = list(texts)
+    sets, owners = [], collections.defaultdict(list)
+    for k, t in enumerate(names):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        for x in sets[-1]:
+            owners[x].append(k)
+    root, links = list(range(len(names))), [0] * len(names)
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a in range(len(names)):
+        shared = collections.Counter(b for x in sets[a] for b in owners[x] if b < a)
+        for b, n in shared.items():
+            if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+                links[a] += len(texts[names[b]])
+                links[b] += len(texts[names[a]])
+                root[find(a)] = find(b)
+    low = {}
+    for k, t in enumerate(names):
+        low[find(k)] = min([low.get(find(k), math.inf), *texts[t]])
+    return sorted((i, low[find(k)], links[k]) for k, t in enumerate(names) for i in texts[t])
+
+
+def test_jaccard_join_finds_all_links_of_the_table(spark):
+    """The whole sf0.1 table against all pairs that share a shingle."""
+    from docloom.llm.jaccard_join import join
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in join(docs.repartition(8)).collect())
+    assert got == classes_by_brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_jaccard_join_of_a_large_group(spark):
+    """2,000 near copies of one text, so that most labels are equal."""
+    from docloom.llm.jaccard_join import join
+
+    base, r = text(60, 120).split(), np.random.default_rng(6)
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for j in r.choice(120, r.integers(1, 4), replace=False):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == classes_by_brute_force(rows)
+
+
 def labelled(spark):
     rows, labels = [], []
     for i in range(600):
