@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which all executors share; a
-    temporary one only where none is set, as in tests."""
+    """The checkpoint folder of the session, which all executors share. Where
+    none is set, a temporary one, but only on a local master: executors
+    elsewhere would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docloom-"))
     return sc.getCheckpointDir()
 
 
@@ -33,9 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows per Arrow batch for this session. Python workers hold a batch at
-    a time; with texts of many kilobytes the default of 10,000 takes hundreds
-    of megabytes in each."""
+    """Rows per Arrow batch for this session, from here on: Spark reads the
+    setting when a plan runs, after the operator has returned. Python workers
+    hold a batch at a time; with texts of many kilobytes the default of 10,000
+    takes hundreds of megabytes in each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -44,6 +49,13 @@ def hold_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column `times` says, without that column; in
+    steps of 65,536, so that no long array is built."""
+    some = df.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col(times) - 1, F.lit(1 << 16))))
+    return some.withColumn("_from", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (1 << 16), F.col(times)) - 1))).drop(times, "_from")
+
+
 def ordinal(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """Add `name`: the position from 0 of each row inside its `by` group.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import cut, ordinal, repeated, table
 
 K = 128
 WORDS = 5
@@ -67,58 +67,66 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, k: int, bucket_bytes: int, most_buckets: int) -> DataFrame:
-    """Each document with the text and sketch of the next one, descending id.
+def with_next(docs: DataFrame, bucket_bytes: int, least_buckets: int = 64) -> DataFrame:
+    """id, text, next (the next document's text, in order of falling id and, for
+    one id, falling hash of the text) and times, how often that is a row.
 
-    Ids are cut into ranges at approximate quantiles, about `bucket_bytes` of
-    text each and at most `most_buckets`, so each range is one window partition
-    of about equal size. The first document of a range is also put at the end
-    of the range before, where it is the last one's next; the very first goes
-    to the end of the last range. Texts are shuffled once.
+    Rows of equal id and text are made one first, so that they cannot make one
+    range hot; all but the last of them are followed by their like. Positions
+    of the rows (ids and hashes only) then give bounds of ranges with equally
+    many rows, about `bucket_bytes` of text each: null or shared ids are split
+    by the hash. A range is a window partition; the row at its upper bound is
+    also put into the range above, where it is the lowest one's next, and the
+    highest of all into the lowest. The bounds, some 32 bytes for each
+    `bucket_bytes` of text, are broadcast.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(most_buckets, max(8, total // bucket_bytes)))
-    cuts = docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    # two steps, each over the square root of the cuts: first a group, then in it
-    size = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
-    below = lambda c: F.size(F.filter(c, lambda x: x < F.col("id")))
-    longs = lambda x: F.lit(x).cast("array<bigint>") if x else F.array().cast("array<bigint>")
-    group = F.greatest(below(longs([g[0] for g in groups])), F.lit(1))
-    inside = F.get(F.array(*map(longs, groups)), group - 1) if groups else longs([])
-    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise((group - 1) * size + below(inside))
-    docs = docs.withColumn("bucket", bucket)
-    # one row for each bucket, which are bounded in number
-    heads = sorted((r.bucket, r.head) for r in docs.groupBy("bucket").agg(F.max("id").alias("head")).collect())
-    before = [(heads[i][0], heads[i][1], heads[(i + 1) % len(heads)][0]) for i in range(len(heads))]
-    heads = spark.createDataFrame(before, "bucket int, head long, goes int")
-    rows = docs.withColumn("mine", sketch(F.col("text"), k)).join(F.broadcast(heads), "bucket")
-    own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest"))
-    other = F.struct(F.col("goes").alias("b"), F.lit(True).alias("guest"))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("id").eqNullSafe(F.col("head")), F.array(own, other)).otherwise(F.array(own))))
-    rows = rows.select("id", "text", "mine", F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"))
-    w = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), "text")
-    return rows.withColumn("next", F.lead(F.struct("text", "mine")).over(w)).filter(~F.col("guest"))
-
-
-def fingerprint(docs: DataFrame, k: int = K, bucket_bytes: int = 1 << 20, most_buckets: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    key = F.struct(F.col("id").isNotNull().alias("has"), F.coalesce("id", F.lit(0)).alias("id"), F.col("h").alias("h"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    placed = docs.groupBy("id", "h").agg(F.first(F.octet_length("text")).alias("bytes")).withColumn("key", key)
+    placed = cut(ordinal(placed, [], [F.col("key")], "rank").select("key", "rank", "bytes"))
+    all_ = placed.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    n = max(1, min(all_.n, max(least_buckets, (all_.bytes or 0) // bucket_bytes)))
+    step = -(-all_.n // n) or 1
+    n = -(-all_.n // step) or 1
+    size = max(1, int(n**0.5))
+    bounds = placed.filter((F.col("rank") % step == step - 1) | (F.col("rank") == all_.n - 1))
+    groups = bounds.groupBy(F.floor(F.col("rank") / step / size).cast("int").alias("group")).agg(F.sort_array(F.collect_list("key")).alias("bounds"))
+    groups = cut(groups)
+    # two steps, each over the square root of the bounds: first a group, then in it
+    last = [r.last for r in groups.orderBy("group").select(F.element_at("bounds", -1).alias("last")).collect()]
+    below = lambda c: F.size(F.filter(c, lambda x: x < F.col("key")))
+    lasts = F.array(*[F.struct(F.lit(x.has).alias("has"), F.lit(x.id).cast("long").alias("id"), F.lit(x.h).cast("long").alias("h")) for x in last])
+
+    rows = docs.groupBy("id", "h").agg(F.first("text").alias("text"), F.count("*").alias("times")).withColumn("key", key)
+    rows = rows.withColumn("group", below(lasts) if last else F.lit(0)).join(F.broadcast(groups), "group")
+    rows = rows.withColumn("at", below(F.col("bounds")))
+    bucket = F.col("group") * size + F.col("at")
+    own, other = F.struct(bucket.alias("b"), F.lit(False).alias("guest")), F.struct(((bucket + 1) % n).alias("b"), F.lit(True).alias("guest"))
+    to = F.when(F.get("bounds", F.col("at")) == F.col("key"), F.array(own, other)).otherwise(F.array(own))
+    rows = rows.select("key", "id", "text", "times", F.explode(to).alias("to")).select("key", "id", "text", "times", "to.b", "to.guest")
+    w = Window.partitionBy("b").orderBy(F.col("guest").desc(), "key")
+    rows = rows.withColumn("next", F.lag("text").over(w)).filter(~F.col("guest"))
+    both = F.array(F.struct(F.col("next"), F.lit(1).cast("long").alias("times")), F.struct(F.col("text").alias("next"), (F.col("times") - 1).alias("times")))
+    return rows.select("id", "text", F.explode(both).alias("x")).select("id", "text", "x.next", "x.times").filter("times > 0")
+
+
+def fingerprint(docs: DataFrame, k: int = K, bucket_bytes: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     A null text counts as empty. Rows that share an id (or have none) follow
-    each other by text; a single document is its own next. Empty texts have an
-    empty fingerprint, and two of these are alike (1). An empty table gives an
-    empty result.
+    each other by the texts' hashes; a single document is its own next. Empty
+    texts have an empty fingerprint, and two of these are alike (1). Repeated
+    rows are returned as often as they occur. An empty table gives an empty
+    result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows, k, bucket_bytes, most_buckets)
+    rows = with_next(rows, bucket_bytes)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "mine", F.col("next.mine").alias("next"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
+    rows = rows.select("id", "times", n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text"), k).alias("mine"), sketch(F.col("next"), k).alias("next"))
     rows = rows.withColumn("theirs", sketch(F.col("edited"), k)).withColumn("edited_sha256", F.sha2("edited", 256))
-    return rows.select(
+    out = rows.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         "edited_sha256",
@@ -128,7 +136,9 @@ def fingerprint(docs: DataFrame, k: int = K, bucket_bytes: int = 1 << 20, most_b
         resemblance(F.col("mine"), F.col("next"), k).alias("near_next"),
         distinct_shingles(F.col("mine"), k).alias("n_shingles"),
         containment(F.col("mine"), F.col("theirs"), k).alias("contained_in_edited"),
+        "times",
     )
+    return repeated(out, "times")
 
 
 def op9_fingerprint(spark, sf_dir):

@@ -45,7 +45,8 @@ def balance(cells: DataFrame, sources: DataFrame, tolerance: float = 1e-12, roun
 
     cells has the tokens of each source by size; a step is one aggregation of
     gradient and curvature over them, and one row tells how far off they are.
-    Targets of nothing need no iteration: their rate is 0.
+    Targets of nothing need no iteration: their rate is 0. If the rounds do not
+    suffice, it is an error.
     """
     dual = cut(sources.select("s", "target", F.lit(0.0).alias("l")))
     for _ in range(rounds):
@@ -56,6 +57,8 @@ def balance(cells: DataFrame, sources: DataFrame, tolerance: float = 1e-12, roun
         dual = cut(has.select("s", "target", (F.col("l") + F.least(F.greatest(step, F.lit(-2.0)), F.lit(2.0))).alias("l"), F.abs(step).alias("off")))
         if (dual.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"the dual did not settle in {rounds} rounds")
     rate = dual.select("s", F.when(F.col("target") > 0, F.round(F.exp("l"), 9)).otherwise(0.0).alias("rate"))
     return sources.join(rate, "s")
 

@@ -4,8 +4,13 @@ The model file (a protocol buffer) is parsed here: pieces with scores and
 kinds, trainer and normaliser settings. From these a tokenizers pipeline is
 rebuilt: the compiled normalisation map, the white space marker, unigram
 scores or, for a BPE model, the merges that its scores imply, byte fallback and
-the decoder. Batches are encoded by the library's threads, and every document
-is compared with the sentencepiece library itself.
+the decoder. Batches are encoded by the library's threads.
+
+Where no piece crosses from one run of a word to the next, as is checked, a
+text's ids are those of its runs one after another. Then each distinct run is
+encoded, decoded and compared with the sentencepiece library, and the parity of
+a document is that of its runs; whole documents are not compared. With other
+models they are.
 """
 
 from __future__ import annotations
@@ -206,17 +211,21 @@ def coder_of(path: str, threads: int) -> Coder:
 
 
 def encode(docs: DataFrame, path: str, threads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every column of docs, then piece_ids, n_pieces, parity, round_trip.
-
-    parity: the ids are those of the sentencepiece library. round_trip: they
-    decode to what that library decodes them to. A null text counts as empty: no ids, both
-    true. A model without normalisation must give the text itself (the marker
-    character as a space). Columns of these four names in docs are replaced. Repeated rows and
-    an empty table give what they hold. Whole texts are encoded, in batches by
-    `threads` threads in a task; rows stay where they are, nothing is shuffled.
+    """Every column of docs, then piece_ids, n_pieces, run_parity,
+    run_round_trip.
+
+    run_parity: the ids of all runs of the text (of the whole text, where runs
+    cannot be told apart; see Coder) are those of the sentencepiece library.
+    run_round_trip: they decode to what that library decodes them to. A null
+    text counts as empty: no ids, both true. A model without normalisation must
+    give the text itself (the marker character as a space). Columns of these
+    four names in docs are replaced. Repeated rows and an empty table give what
+    they hold. Texts get the ids of all their runs, none is cut; new runs are
+    encoded in batches by `threads` threads in a task. Rows stay where they are,
+    nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "parity", "round_trip")]
+    keep = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "run_parity", "run_round_trip")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -231,11 +240,12 @@ def encode(docs: DataFrame, path: str, threads: int = 2, id_col: str = "doc_id",
             yield pd.concat(out) if out else pd.DataFrame({"piece_ids": [], "parity": [], "round_trip": []})
 
     code = F.pandas_udf(coded, "struct<piece_ids:array<int>,parity:boolean,round_trip:boolean>")
-    return packed.withColumn("c", code("text")).select("row.*", "c.piece_ids", F.size("c.piece_ids").cast("long").alias("n_pieces"), "c.parity", "c.round_trip")
+    return packed.withColumn("c", code("text")).select("row.*", "c.piece_ids", F.size("c.piece_ids").cast("long").alias("n_pieces"), F.col("c.parity").alias("run_parity"), F.col("c.round_trip").alias("run_round_trip"))
 
 
-def decode(coded: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "text") -> DataFrame:
-    """coded with a column of the texts that the ids stand for (null: empty)."""
+def decode(coded: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "decoded") -> DataFrame:
+    """coded with the column `into`, the texts that the ids stand for (null:
+    empty); a column of that name is replaced."""
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:

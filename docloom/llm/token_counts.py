@@ -7,9 +7,11 @@ pre-token of the whole corpus; the counts are joined to the frequencies.
 
 Most of a text's words are among a few common ones. Their piece counts are
 found first, from a bounded sample of documents, and given to the tasks as a
-small table (at most `common` pre-tokens of at most 32 characters); only the
-other pre-tokens of a document go through the join. The sample decides only
-which words take which of the two ways, never a count.
+small table (at most `common` pre-tokens of at most LONG characters); only the
+other pre-tokens of a document go through the join. So a pre-token that stands
+in a good part of the documents is no hot key of it. Pre-tokens of more than
+LONG characters are counted where they stand. The sample decides only which
+words take which way, never a count.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bound_batches, table
+from docloom.llm.common import bound_batches, repeated, table
+
+#: Characters; longer pre-tokens are neither shuffled nor broadcast.
+LONG = 256
 
 PARTS = "doc_id long, text_hash long, n_bytes long, own long, tokens array<string>, counts array<int>"
 
@@ -84,14 +89,14 @@ def piece_count(path: str):
     @F.pandas_udf("int")
     def count(tokens: pd.Series) -> pd.Series:
         tok = load(path)[0]
-        return tokens.map(lambda t: pieces_of(tok, t) if t is not None and t[:1] != " " else 0)
+        return tokens.map(lambda t: pieces_of(tok, t))
 
     return count
 
 
 def common_pieces(docs: DataFrame, path: str, sample: int, common: int) -> dict[str, int]:
     """Piece counts of the most frequent short pre-tokens of about `sample`
-    documents; at most `common` entries of at most 32 characters."""
+    documents; at most `common` entries of at most LONG characters."""
     n = docs.count()
     some = docs.filter(F.abs(F.xxhash64("doc_id")) % max(1, n // sample) == 0).select("text")
 
@@ -104,7 +109,7 @@ def common_pieces(docs: DataFrame, path: str, sample: int, common: int) -> dict[
                     c.update(pre_tokens(*tools, t)[0])
             yield pd.DataFrame({"token": list(c), "n": list(c.values())})
 
-    seen = some.mapInPandas(words, "token string, n long").filter(F.length("token") <= 32)
+    seen = some.mapInPandas(words, "token string, n long").filter(F.length("token") <= LONG)
     top = seen.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(common)
     tok = load(path)[0]
     return {r.token: pieces_of(tok, r.token) for r in top.collect()}
@@ -134,6 +139,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample: int = 30
                 rest = Counter()
                 for w, k in Counter(words).items():
                     p = known.get(w)
+                    if p is None and len(w) > LONG:
+                        p = pieces_of(tools[0], w)
                     if p is None:
                         rest[w] = k
                     else:
@@ -144,19 +151,19 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample: int = 30
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "n_bytes": b["n_bytes"], "own": own, "tokens": tokens, "counts": counts})
 
     parts = parts.mapInPandas(split, PARTS)
-    # the document itself rides along under a name that no pre-token can have
-    itself = F.struct(F.concat(F.lit(" "), F.hex("text_hash")).alias("token"), F.lit(0).alias("n"))
-    rest = F.zip_with("tokens", "counts", lambda t, n: F.struct(t.alias("token"), n.alias("n")))
-    rows = parts.select("doc_id", "text_hash", "n_bytes", "own", F.explode(F.concat(F.array(itself), rest)).alias("x"))
-    rows = rows.select("doc_id", "text_hash", F.col("x.token").alias("token"), F.col("x.n").alias("n"), *[F.when(F.col("x.n") == 0, F.col(c)).alias(c) for c in ("n_bytes", "own")])
+    # the document itself rides along: in that row alone n_bytes and own are
+    # set, and its token only spreads such rows
+    itself = F.struct(F.hex("text_hash").alias("token"), F.lit(0).alias("n"), F.col("n_bytes"), F.col("own"))
+    none = F.lit(None).cast("long")
+    rest = F.zip_with("tokens", "counts", lambda t, n: F.struct(t.alias("token"), n.alias("n"), none.alias("n_bytes"), none.alias("own")))
+    rows = parts.select("doc_id", "text_hash", F.explode(F.concat(F.array(itself), rest)).alias("x")).select("doc_id", "text_hash", "x.*")
     rows = rows.repartition("token")
-    pieces = rows.select("token").distinct().withColumn("pieces", piece_count(path)("token"))
-    found = rows.join(pieces, "token").groupBy("doc_id", "text_hash").agg(
-        F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce("own", F.lit(0)) + F.col("n") * F.col("pieces")).alias("sum"), F.count(F.when(F.col("n") == 0, 1)).alias("times")
+    pieces = rows.filter("own is null").select("token").distinct().withColumn("pieces", piece_count(path)("token"))
+    found = rows.join(pieces, "token", "left").groupBy("doc_id", "text_hash").agg(
+        F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce(F.col("own"), F.col("n") * F.col("pieces"))).alias("sum"), F.count("own").alias("times")
     )
     n = (F.col("sum") / F.col("times")).cast("long")
-    out = found.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"))
-    return out.drop("time")
+    return repeated(found.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), "times"), "times")
 
 
 def op7_token_counts(spark, sf_dir):

@@ -72,6 +72,27 @@ def test_sharding(docs, none):
     assert shard(none).count() == 0
 
 
+def test_sharding_balances_bytes(spark):
+    """Loads against the greedy schedule of all groups on its own: within two
+    units (a thousandth of a shard each), or what one large group forces."""
+    from docloom.llm.sharding import schedule, shard
+
+    r = np.random.default_rng(9)
+    for huge in (0, 300_000):
+        texts = ["x" * int(n) + str(i) for i, n in enumerate(r.pareto(1.2, 3000) * 40)] + ["copy" * 50] * 400 + ["y" * huge, None, ""]
+        rows = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), 6).collect()
+        loads = np.zeros(6)
+        for x in rows:
+            loads[x.shard] += x.size
+        groups = {}
+        for t in texts:
+            groups[t] = groups.get(t, 0) + len(t or "") + 8
+        best = np.zeros(6)
+        for n, s in zip(groups.values(), schedule(list(groups.values()), 6), strict=True):
+            best[s] += n
+        assert loads.sum() == best.sum() and loads.max() <= best.max() + 2 * loads.sum() / 6000 + 2
+
+
 def test_mixing(docs, none):
     from docloom.llm.mixing import mix
 
@@ -103,26 +124,54 @@ def test_mixing(docs, none):
     assert mix(none).count() == 0
 
 
-def test_fingerprint(docs, none):
+def test_fingerprint(spark, docs, none):
+    """Order, edited texts, sketches and likeness by brute force, with null and
+    shared ids, repeated rows, one range and many."""
+    import xxhash
+
     from docloom.llm.fingerprint import fingerprint
 
-    rows = fingerprint(docs, bucket_bytes=200).collect()
-    assert len(rows) == len(ROWS)
-    order = sorted(((d, t or "") for d, t, *_ in ROWS), key=lambda x: (-math.inf if x[0] is None else x[0]), reverse=True)
-    order.sort(key=lambda x: (0 if x[0] is None else -x[0] - 10**9, x[1]))
-    order = [x for x in order if x[0] is not None] + [x for x in order if x[0] is None]
-    want = []
-    for i, (d, t) in enumerate(order):
-        n = order[(i + 1) % len(order)][1]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    hashes = lambda t: F.transform(t, lambda x: F.xxhash64(x))
+
+    def sketches(texts):
+        """Bottom 128 of the hashes of runs of five hashed words."""
+        runs = []
+        for t in texts:
+            w = [x for x in re.split(r"\s+", t.lower()) if x]
+            runs += [w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else []
+        hashed = spark.createDataFrame([(" ".join(x), x) for x in runs], "run string, words array<string>").distinct().withColumn("words", hashes("words"))
+        by = {r.run: r.h for r in hashed.select("run", F.xxhash64(*[F.get("words", i) for i in range(5)]).alias("h")).collect()}
+        out = {}
+        for t in texts:
+            w = [x for x in re.split(r"\s+", t.lower()) if x]
+            out[t] = sorted({by[" ".join(w[i : i + 5])] for i in range(max(1, len(w) - 4))} if w else set())[:128]
+        return out
+
+    def alike(a, b):
+        both = sorted({*a, *b})[:128]
+        return len({*both} & {*a} & {*b}) / len(both) if both else 1.0
+
+    more = [(None, f"no id {i} " + text(i, 30)) for i in range(40)] + [(None, "same, no id")] * 3 + [(77, text(i, 9)) for i in range(25)]
+    given = [(d, t) for d, t, *_ in ROWS] + more
+    order = sorted(((d is not None, d or 0, of(t or ""), d, t or "") for d, t in given), reverse=True)
+    edited, want = [], []
+    for i, (*_, d, t) in enumerate(order):
+        n = order[(i + 1) % len(order)][-1]
         half = len(t) // 2
-        e = t[: len(t) - half] + n[:half]
-        want.append((-1 if d is None else d, len(t), hashlib.sha256(e.encode()).hexdigest()))
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == sorted(want)
-    same = {r.fingerprint for r in rows if r.doc_id is not None and (200 <= r.doc_id < 206 or r.doc_id == 7)}
-    assert len(same) == 1
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
-    assert [r.near_next for r in rows if r.doc_id == 204] == [1.0]
+        edited.append((d, t, t[: len(t) - half] + n[:half], n))
+    known = sketches({x for _, t, e, n in edited for x in (t, e, n)})
+    code = lambda s: "".join(f"{x % (1 << 64):016X}" for x in s)
+    for d, t, e, n in edited:
+        want.append((-1 if d is None else d, len(t), hashlib.sha256(e.encode()).hexdigest(), code(known[t]), code(known[e]), round(alike(known[t], known[e]), 9), round(alike(known[t], known[n]), 9)))
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("rank", F.lit(2)).repartition(5)
+    for size in (1, 2000, 1 << 30):
+        rows = fingerprint(df, bucket_bytes=size).collect()
+        got = [(-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows]
+        assert sorted(got) == sorted(want)
     assert fingerprint(none).count() == 0
+    assert [(r.near_next, r.n_chars) for r in fingerprint(spark.createDataFrame([(1, "one text alone")], "doc_id long, text string")).collect()] == [(1.0, 14)]
 
 
 def test_sketch_estimates(spark):
@@ -149,6 +198,25 @@ def test_token_counts(docs, none):
     assert count_tokens(none, path).count() == 0
 
 
+def test_token_counts_of_a_byte_level_tokenizer(spark, tmp_path):
+    """A tokenizer whose pre-tokens start with a space, and pre-tokens too long
+    for the join."""
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    from docloom.llm.token_counts import count_tokens
+
+    alphabet = pre_tokenizers.ByteLevel.alphabet()
+    tok = Tokenizer(models.BPE({c: i for i, c in enumerate(sorted(alphabet))}, []))
+    tok.pre_tokenizer, tok.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+    path = str(tmp_path / "bytes.json")
+    tok.save(path)
+    rows = [(1, "hello world again"), (2, "hello world again"), (None, " a  b"), (3, "x" * 3000 + " y"), (3, "x" * 3000 + " y"), (4, None), (5, "")]
+    for common in (0, 2, 100):
+        out = count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, common=common).collect()
+        want = [(i or -1, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+        assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == sorted(want)
+
+
 @pytest.mark.parametrize("t", ["İstanbul ΣΑΣ ς", "a<|startoftext|>b<|ENDOFTEXT|>", "x́ é  y", "'s''ll I'M 12½²", "ǅ ß ẞ ſ K", "\x1c\x85 a​b", "😀👍🏽 日本語!"])
 def test_pre_tokens_equal_the_library(t):
     from docloom.llm.token_counts import load, pieces_of, pre_tokens
@@ -164,9 +232,9 @@ def test_piece_codec(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = encode(docs, path)
     assert set(docs.columns) < set(out.columns)
-    for r in decode(out, path, into="back").collect():
+    for r in decode(out, path).withColumnRenamed("decoded", "back").collect():
         assert list(r.piece_ids) == library(path).encode(r.text or "")
-        assert r.parity and r.round_trip and r.back == (r.text or "") and r.n_pieces == len(r.piece_ids)
+        assert r.run_parity and r.run_round_trip and r.back == (r.text or "") and r.n_pieces == len(r.piece_ids)
     assert encode(none, path).count() == 0
 
 
