@@ -68,12 +68,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each but the last is written to the
-    shared folder and read again, so no stage's work is repeated."""
+    shared folder and read again, so no stage's work is repeated. What a stage
+    wrote goes when the next one has; the last such folder stays, as the result
+    reads it."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
