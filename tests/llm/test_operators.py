@@ -379,6 +379,25 @@ def test_jaccard_join(spark, none):
     assert join(none).count() == 0
 
 
+def test_labels_agree_as_often_as_texts_are_alike():
+    import pandas as pd
+
+    from docloom.llm.jaccard_join import labels_of, shingles
+
+    r, share, true = np.random.default_rng(11), [], []
+    for i in range(150):
+        w = text(300 + i, 200).split()
+        v = list(w)
+        for j in r.choice(200, r.integers(1, 12), replace=False):
+            v[j] = f"x{j}"
+        x, y = labels_of(pd.Series([" ".join(w), " ".join(v)]), 32, 10)["labels"]
+        share.append((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean())
+        a, b = (set(shingles(" ".join(t)).tolist()) for t in (w, v))
+        true.append(len(a & b) / len(a | b))
+    off = np.array(share) - np.array(true)
+    assert abs(off.mean()) < 0.01 and off.std() < 0.035  # 320 draws: 0.028 at most
+
+
 def test_prefix_is_shortened_until_the_recall_is_met():
     from docloom.llm.jaccard_join import prefix_length, recalls
 
