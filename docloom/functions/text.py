@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 MARKED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
-#: Short function words of the corpus languages.
-STOP = sorted(set("a o as os de da do das dos e em no na para por com um uma que the of and to in is for on with by an be this that der die das und ein eine mit von le la les des et en un une que el los las y del al".split()))
+#: Short function words of English, German, French and Spanish.
+STOP = sorted(set("the a an of and to in is for on with by be this that it at or from are was der die das dem und ein eine mit von zu ist im nicht le la les des et en un une que dans pour pas est el los las y del al por con una de".split()))
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(x), MARKED, PLAIN)
+    """Lower case without accents; plain texts are not translated."""
+    low = F.lower(x)
+    return F.when(low.rlike(f"[{MARKED}]"), F.translate(low, MARKED, PLAIN)).otherwise(low)
 
 
 def tokens(x: Column) -> Column:
     return F.regexp_extract_all(fold(x), F.lit("[a-z0-9]+"), 0)
 
 
+def n_tokens(x: Column) -> Column:
+    """How many tokens there are; null of a null."""
+    return F.regexp_count(fold(x), F.lit("[a-z0-9]+"))
+
+
 def content_tokens(x: Column) -> Column:
     """Distinct tokens in order, without stop words."""
     return F.array_except(tokens(x), F.array(*map(F.lit, STOP)))

@@ -6,12 +6,14 @@ a small relation of terms, so scoring reads only their postings.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import tokens
+from docloom.functions.text import n_tokens, tokens
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -21,6 +23,24 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+#: Asked terms that are looked for inside the rows; more are joined.
+MOST_TERMS = 20_000
+
+
+def of_asked(words: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term): the words of array column w that are in asked(term), which
+    are letters, digits and spaces. Up to MOST_TERMS of them are named in the plan, so
+    other words are gone before rows are made of them; more are joined."""
+    terms = [r.term for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(terms) > MOST_TERMS or not all(re.fullmatch('[a-zA-Z0-9 ]+', x) for x in terms):
+        return words.select(*keep, F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").select(*keep, "term")
+    if not terms:
+        return words.select(*keep, F.explode("w").alias("term")).limit(0)
+    named = ", ".join(f"'{x}'" for x in sorted(terms))
+    # explode would filter by the array first, and so tokenize twice
+    return words.select(*keep, F.explode_outer(F.expr(f"filter(w, x -> x IN ({named}))")).alias("term")).filter("term is not null")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75, match_all: bool = False) -> DataFrame:
     """(query_id, id, score, matched) of every document with a query term.
 
@@ -28,9 +48,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: fl
     the filtered postings; document number and mean length are one row each.
     """
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    wanted = queries.select("term").distinct()
-    found = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
+    total = docs.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col(text_col))).alias("mean"))
+    found = of_asked(words.withColumn("len", F.size("w")), queries, "id", "len")
     found = found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     each = found.join(df, "term").crossJoin(F.broadcast(total))  # one row

@@ -11,8 +11,9 @@ from docloom.registry import query
 
 C = F.col
 TOK = "regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')"
-#: The queries: the first six words of each benchmark passage.
-ASKED = f"q AS (SELECT DISTINCT item_id AS query_id, unnest({TOK}[1:6]) AS term FROM benchmark)"
+STOP = ", ".join(f"'{w}'" for w in X.STOP)
+#: The queries: the words of each whole benchmark passage, without stop words.
+ASKED = f"q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) WHERE term NOT IN ({STOP}))"
 BM25 = f"""WITH {ASKED}, w AS (SELECT doc_id AS id, {TOK} AS w FROM documents), s AS (SELECT count(*) n, avg(len(w)) mean FROM w),
 f AS (SELECT id, term, count(*) tf, any_value(len) len FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 d AS (SELECT term, count(*) df FROM f GROUP BY 1),
@@ -21,8 +22,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 
 
 def asked(t):
-    words = F.explode(F.slice(X.tokens(C("text")), 1, 6)).alias("term")
-    return t.benchmark.select(C("item_id").alias("query_id"), words).distinct()
+    return t.benchmark.select(C("item_id").alias("query_id"), F.explode(X.content_tokens(C("text"))).alias("term")).distinct()
 
 
 def hits(t):
@@ -46,15 +46,27 @@ def should_match(t):
     return hits(t).join(n, "query_id").filter(C("matched") >= F.ceil(0.6 * C("asked"))).groupBy("query_id").agg(F.count("*").alias("found"))
 
 
-@query("R04_phrase", f"WITH p AS (SELECT item_id, ' ' || array_to_string({TOK}[1:4], ' ') || ' ' AS phrase FROM benchmark), d AS (SELECT doc_id, {TOK} AS w FROM documents), g AS (SELECT doc_id, ' ' || array_to_string(w[i:i+3], ' ') || ' ' AS gram FROM d, unnest(range(1, greatest(len(w) - 2, 1))) u(i)) SELECT DISTINCT item_id, doc_id FROM p JOIN g ON p.phrase = g.gram")
+@query("R04_phrase", f"WITH p AS (SELECT item_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS phrase FROM benchmark WHERE len({TOK}) > 0), d AS (SELECT doc_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS words FROM documents) SELECT DISTINCT item_id, doc_id FROM p JOIN d ON contains(words, phrase)")
 def phrase(t):
-    """Phrases of four words: an equality join on word runs, not a scan of all
-    texts for every phrase."""
+    """Whole passages as phrases: an equality join on their first words (four,
+    or all of a shorter one), then the rest is compared; not a scan of all texts
+    for every phrase."""
+    p = t.benchmark.select("item_id", X.tokens(C("text")).alias("w")).filter(F.size("w") > 0)
+    p = p.select("item_id", F.least(F.size("w"), F.lit(4)).alias("g"), "w")
+    lengths = [r.g for r in p.select("g").distinct().collect()]  # 1 to 4
+    of = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(4)])  # noqa: E731  (words past the end count for nothing)
+    p = p.select("item_id", of(F.slice("w", F.lit(1), C("g")), F.lit(0)).alias("gram"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("phrase"))
     w = t.documents.select("doc_id", X.tokens(C("text")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))
-    grams = w.select("doc_id", F.explode(F.array_distinct(runs)).alias("gram"))
-    asked_ = t.benchmark.select("item_id", F.array_join(F.slice(X.tokens(C("text")), 1, 4), " ").alias("gram"))
-    return asked_.join(grams, "gram").select("item_id", "doc_id").distinct()
+
+    def runs_of(g):
+        return F.transform("w", lambda x, i: F.xxhash64(x, *[F.get("w", i + j) for j in range(1, g)]))
+
+    runs = map(runs_of, lengths or [4])
+    all_runs = w.select("doc_id", F.array_distinct(F.flatten(F.array(*runs))).alias("gram"))
+    # explode would filter by the array first, and so compute it twice
+    found = p.join(all_runs.select("doc_id", F.explode_outer("gram").alias("gram")), "gram").select("item_id", "phrase", "doc_id")
+    texts = w.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("words"))
+    return found.join(texts, "doc_id").filter(C("words").contains(C("phrase"))).select("item_id", "doc_id").distinct()
 
 
 VECTORS = "q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> query_id), v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM n)"
@@ -96,11 +108,12 @@ def fusion_page(t):
     return R.top_k(fused(t), 30).filter("rank > 20").select("query_id", "id", C("rank").cast("long"))
 
 
-@query("R09_rerank", f"{BM25}, m AS (SELECT query_id, max(round(score, 6)) top FROM r GROUP BY 1) SELECT query_id, id, round(0.5 * round(score, 6) / top + 0.5 * matched / 6.0, 4) AS score FROM r JOIN m USING (query_id) WHERE rank <= 10")
+@query("R09_rerank", f"{BM25}, m AS (SELECT query_id, max(round(score, 6)) top FROM r GROUP BY 1), n AS (SELECT query_id, count(*) asked FROM q GROUP BY 1) SELECT query_id, id, round(0.5 * round(score, 6) / top + 0.5 * matched / asked, 4) AS score FROM r JOIN m USING (query_id) JOIN n USING (query_id) WHERE rank <= 10")
 def reranked(t):
-    top = R.top_k(hits(t), 10)
+    n = asked(t).groupBy("query_id").agg(F.count("*").alias("asked"))
+    top = R.top_k(hits(t), 10).join(n, "query_id")
     best = F.max("score").over(W.partitionBy("query_id"))
-    return top.select("query_id", "id", F.round(0.5 * C("score") / best + 0.5 * C("matched") / 6.0, 4).alias("score"))
+    return top.select("query_id", "id", F.round(0.5 * C("score") / best + 0.5 * C("matched") / C("asked"), 4).alias("score"))
 
 
 @query("R11_final_score", "SELECT doc_id, round(greatest(0, least(1, (0.5::DOUBLE * least(1, n_chars / 7000.0) + 0.3::DOUBLE * CAST(lang = 'en' AS INT) + 0.2::DOUBLE * CAST(source = 'src0' AS INT)) * CASE WHEN contains(text, '%%%') THEN 0.5 ELSE 1.0 END)), 4) AS score FROM documents")
@@ -176,9 +189,10 @@ def substring_match(t):
 
 @query("J15_token_overlap", f"WITH p AS (SELECT item_id, list_distinct({TOK}) AS a FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents), e AS (SELECT item_id, len(a) AS n, unnest(a) AS term FROM p) SELECT item_id, doc_id, round(count(*) / any_value(n), 4) AS overlap FROM e JOIN w USING (term) GROUP BY ALL HAVING count(*) / any_value(n) >= 0.66")
 def overlap(t):
-    """An equality join on single terms, counted: no pairing of all rows."""
+    """An equality join on single terms, counted: no pairing of all rows. Words
+    that no passage has are dropped inside the rows."""
     e = t.benchmark.select("item_id", F.array_distinct(X.tokens(C("text"))).alias("a")).select("item_id", F.size("a").alias("n"), F.explode("a").alias("term"))
-    w = t.documents.select("doc_id", F.explode(F.array_distinct(X.tokens(C("text")))).alias("term"))
+    w = R.of_asked(t.documents.select("doc_id", F.array_distinct(X.tokens(C("text"))).alias("w")), e, "doc_id")
     g = e.join(w, "term").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("o"))
     return g.filter("o >= 0.66").select("item_id", "doc_id", F.round("o", 4).alias("overlap"))
 

@@ -21,3 +21,26 @@ def test_all_spans(spark):
                 kept.append(h)
         assert [(x.start, x.tag, x.end) for x in r.w] == kept
     assert len([x for x in rows[0].s if x.tag == "number"]) == 3
+
+
+def test_spans_without_overlap_by_brute_force(spark):
+    """X15 on the whole table: of all matches, in order of start (the longest
+    first), those that do not overlap one kept before."""
+    import re
+
+    from docloom.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    patterns = {"number": "[0-9]{2,}", "word": "[A-Za-z]+", "mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+"}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in QUERIES["X15_spans_without_overlap"](spark, folder).collect():
+        found = [(m.start(), m.end(), tag) for tag, p in patterns.items() for m in re.finditer(p, texts[r.doc_id])]
+        got = [(s["start"], s["end"], s["tag"]) for s in r.spans]
+        assert set(got) <= set(found) and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        # whatever was left out overlaps one that was kept
+        kept = iter(got)
+        now = next(kept, None)
+        for f in sorted(found):
+            while now and now[1] <= f[0]:
+                now = next(kept, None)
+            assert f in got or now and now[0] < f[1]
