@@ -45,8 +45,8 @@ def features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = [t.lower() for t in tokens]
     own = [words, *[[w[:n] for w in words] for n in BEGINNINGS], *[[w[-n:] for w in words] for n in ENDINGS], list(map(shape, tokens))]
     hashes = [pd.util.hash_array(np.array(x, object), categorize=False).astype(np.uint64) for x in own]
-    number = lambda h, kind: (((h ^ np.uint64(0x9E3779B97F4A7C15 * kind % 2**64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
-    rows = np.stack([np.zeros(len(tokens), np.int64)] + [number(h, i + 1) for i, h in enumerate(hashes)], 1)
+    number = lambda h, kind: (((h ^ np.uint64(0x9E3779B97F4A7C15 * kind % 2**64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32)
+    rows = np.stack([np.zeros(len(tokens), np.int32)] + [number(h, i + 1) for i, h in enumerate(hashes)], 1)
     return rows, number(hashes[0], 101), number(hashes[0], 102)
 
 
@@ -282,15 +282,15 @@ def train(tokens: list[list[str]], y: list[list[int]], steps: int = 60, ridge: f
     own, ahead, behind = features(list(names))
     word = np.zeros((n, WINDOW), int)
     word[on] = which
-    at = np.flatnonzero(on.reshape(-1))
+    at = np.flatnonzero(on.reshape(-1)).astype(np.int32)
     follows = on[:, 1:]
-    here = np.arange(n * WINDOW).reshape(n, WINDOW)
+    here = np.arange(n * WINDOW, dtype=np.int32).reshape(n, WINDOW)
     where = np.concatenate([np.repeat(at, own.shape[1]), here[:, 1:][follows], here[:, :-1][follows]])
     which = np.concatenate([own[word[on]].reshape(-1), ahead[word[:, :-1][follows]], behind[word[:, 1:][follows]]])
     occurs = np.zeros(1 << BITS, bool)
     occurs[which] = True
     used = np.flatnonzero(occurs)  # only weights that occur are trained
-    which = (np.cumsum(occurs) - 1)[which]
+    which = (np.cumsum(occurs, dtype=np.int32) - 1)[which]
     del own, ahead, behind, here, word, at, names
     g = gold.astype(int)
     seen = np.zeros((2, 2))
