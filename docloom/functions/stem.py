@@ -22,5 +22,5 @@ def analysed(tokens: Column, stop: list[str], synonyms: dict[str, str]) -> Colum
     """Tokens without stop words, stemmed, with synonyms replaced."""
     kept = F.filter(tokens, lambda t: ~t.isin(stop))
     known = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv]) if synonyms else None
-    stems = F.transform(kept, stem)
+    stems = F.transform(kept, lambda t: stem(t))  # transform would give a second parameter the index
     return F.transform(stems, lambda t: F.coalesce(F.element_at(known, t), t)) if synonyms else stems
