@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators.ranks import hash_rank
 from docloom.registry import query
 
 
@@ -25,7 +26,8 @@ def three_way(t):
 
 
 def latest(df, keys, *order):
-    """The first row per key in the given order, by one aggregation."""
+    """The first row per key in the given order. Spark limits each group to one
+    row before the shuffle, so a hot key is not sorted in one task."""
     rn = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
@@ -69,8 +71,7 @@ def id_set(t):
 def bucket_residual(t):
     keys = ["o_orderstatus", "o_orderpriority"]
     alloc = t.orders.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("n"))
-    rn = F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey")).cast("long")
-    return t.orders.withColumn("rn", rn).join(alloc, keys).filter("rn <= n").select("o_orderkey", "rn")
+    return hash_rank(t.orders.select(*keys, "o_orderkey"), keys, "o_orderkey", alloc).select("o_orderkey", "rn")
 
 
 @query("J12_rank_list_merge", "WITH a AS (SELECT o_orderkey k, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) r FROM orders QUALIFY r <= 50), b AS (SELECT o_orderkey k, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) r FROM orders QUALIFY r <= 50) SELECT k AS o_orderkey, a.r AS price_rank, b.r AS date_rank FROM a FULL JOIN b USING (k)")
@@ -122,8 +123,7 @@ def latest_trace(t):
 
 @query("W01_stratum_rank", "SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents")
 def stratum_rank(t):
-    w = W.partitionBy("lang", "source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return t.documents.select("doc_id", F.row_number().over(w).cast("long").alias("rn"))
+    return hash_rank(t.documents.select("doc_id", "lang", "source"), ["lang", "source"], "doc_id").select("doc_id", "rn")
 
 
 @query("W02_stratified_sample", "WITH s AS (SELECT lang, source, count(*) c FROM documents GROUP BY ALL), a AS (SELECT lang, source, greatest(1, CAST(round(200.0 * c / (SELECT sum(c) FROM s)) AS BIGINT)) n FROM s), r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) rn FROM documents) SELECT doc_id, lang, source FROM r JOIN a USING (lang, source) WHERE rn <= n")
@@ -131,8 +131,7 @@ def stratified(t):
     strata = t.documents.groupBy("lang", "source").agg(F.count("*").alias("c"))
     total = strata.agg(F.sum("c").alias("total"))  # one row
     alloc = strata.crossJoin(F.broadcast(total)).select("lang", "source", F.greatest(F.lit(1), F.round(F.lit(200.0) * F.col("c") / F.col("total")).cast("long")).alias("n"))
-    w = W.partitionBy("lang", "source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return t.documents.select("doc_id", "lang", "source", F.row_number().over(w).alias("rn")).join(alloc, ["lang", "source"]).filter("rn <= n").select("doc_id", "lang", "source")
+    return hash_rank(t.documents.select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", alloc).select("doc_id", "lang", "source")
 
 
 @query("W03_deterministic_pick", "SELECT doc_id, md5('7:' || CAST(doc_id AS VARCHAR)) AS rank_hash FROM documents ORDER BY 2, 1 LIMIT 50")
