@@ -48,3 +48,22 @@ def test_greedy_query_compares_whole_titles(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["J16_greedy_dedup"](spark, str(tmp_path)).collect()
     assert {r.id for r in got if r.kept} == {0, 1, 2, 3}
+
+
+def test_greedy_query_equals_a_scan_of_the_table(spark):
+    """J16 on the whole table against the comparison of each title with all kept."""
+    import re
+
+    from docloom.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    fold = str.maketrans("áàâãäåçéèêëíìîïñóòôõöúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    titles = {r.doc_id: set(re.findall("[a-z0-9]+", r.text.split("\n")[0].lower().translate(fold))) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    kept = []
+    for i in sorted(titles):
+        s = titles[i]
+        if not s or not any(k and len(s & k) / len(s | k) >= 0.9 for k in (titles[j] for j in kept)):
+            kept.append(i)
+    got = QUERIES["J16_greedy_dedup"](spark, folder).collect()
+    assert {r.id for r in got if r.kept} == set(kept)
+    assert sorted(r.id for r in got) == sorted(titles)

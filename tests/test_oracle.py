@@ -48,6 +48,7 @@ def test_equals_sql(spark, duck, name):
     assert [r for r in zip(got, want) if r[0] != r[1]][:3] == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+def test_without_sql():
+    """These have no SQL; test_dedup and test_spans compare them with a plain
+    loop over the whole table."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"J16_greedy_dedup", "X15_spans_without_overlap"}
