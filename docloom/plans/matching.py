@@ -3,6 +3,7 @@ slop, weighted fields, trends with fallback and pins, marked hits, references.""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
@@ -175,3 +176,33 @@ def _stem_sql(x: str, least: int = 3) -> str:
 ORACLE_SQL["F05_analyzer"] = f"WITH w AS (SELECT unnest({TOK}) AS w FROM documents), s AS (SELECT {_stem_sql('w')} AS s FROM w WHERE w NOT IN ({STOP})) SELECT CASE s WHEN 'lawyer' THEN 'attorney' WHEN 'act' THEN 'law' ELSE s END AS term, count(*) AS n FROM s GROUP BY 1"
 ORACLE_SQL["F10_summary_cut"] = r"""WITH p AS (SELECT doc_id, text, length(regexp_extract(left(text, 320), '(?s)^(.*[.!?;:])', 1)) AS back, length(regexp_extract(left(text, 440), '(?s)^(.{320}[^.!?;:]*[.!?;:])', 1)) AS ahead, length(regexp_extract(left(text, 320), '(?s)^(.*)[ \t\n\x0B\f\r]', 1)) AS space FROM documents)
 SELECT doc_id, CASE WHEN length(text) <= 320 THEN text ELSE rtrim(left(text, CASE WHEN back >= 80 THEN back WHEN ahead > 0 THEN ahead WHEN space > 0 THEN space ELSE 320 END)) END AS summary FROM p"""
+
+
+_TIERS = "CASE WHEN o.number = q.number AND o.year = q.year THEN 60 + 20 + 6 ELSE 0 END + CASE WHEN o.number = q.number THEN CASE WHEN q.year IS NULL THEN 45 + 20 ELSE 35 + 12 END ELSE 0 END + CASE WHEN q.year IS NULL THEN 10 + CASE WHEN o.year = q.number THEN 24 ELSE 0 END ELSE 0 END"
+
+
+@query(
+    "R15_exact_name_tiers",
+    f"""WITH o AS (SELECT o_orderpriority AS kind, o_orderkey AS number, year(o_orderdate)::BIGINT AS year FROM orders),
+q AS (SELECT DISTINCT kind, CASE WHEN number % 100 = 0 THEN year ELSE number END AS number, CASE WHEN number % 100 <> 0 THEN year END AS year FROM o WHERE number % 50 = 0),
+s AS (SELECT q.kind, q.number, q.year, o.number AS o_orderkey, {_TIERS} AS score FROM q JOIN o ON o.kind = q.kind AND (q.year IS NULL OR o.number = q.number))
+SELECT kind, number, year, o_orderkey, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY kind, number, year ORDER BY score DESC, o_orderkey) AS rn FROM s) WHERE rn <= 5""",
+)
+def exact_name_tiers(t):
+    """The five orders that a name (kind, number, year) fits best; tiers add up:
+    kind, number and year 60, without the year asked 45, kind and number 35; the
+    name as a phrase 20, without its year 12, as asked 6; a number of four
+    digits without a year may be one: kind and year 24, kind alone 10.
+
+    Names are made of every fiftieth order, each once. Those with a year are
+    joined by number; those without (at most one a kind and year) by kind."""
+    o = t.orders.select(C("o_orderpriority").alias("kind"), C("o_orderkey").alias("number"), F.year("o_orderdate").cast("long").alias("year"))
+    bare = C("number") % 100 == 0
+    q = o.filter("number % 50 = 0").select("kind", F.when(bare, C("year")).otherwise(C("number")).alias("number"), F.when(~bare, C("year")).alias("year")).distinct().alias("q")
+    o = o.alias("o")
+    same = (C("o.kind") == C("q.kind")) & (C("o.number") == C("q.number"))
+    scored = [C("q.kind"), C("q.number"), C("q.year"), C("o.number").alias("o_orderkey"), F.expr(_TIERS).alias("score")]
+    s = q.filter("year is not null").join(o, same).select(*scored)
+    s = s.unionByName(q.filter("year is null").join(o, C("o.kind") == C("q.kind")).select(*scored))
+    best = F.row_number().over(Window.partitionBy("kind", "number", "year").orderBy(F.desc("score"), "o_orderkey"))
+    return s.withColumn("rn", best).filter("rn <= 5").drop("rn")
