@@ -7,6 +7,7 @@ names, so extra input columns never clash with the ones it adds.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder's path, not yet used, where all executors can write."""
+    return f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: as cut, but
+    compressed, and later readers take only the columns they need."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows per Arrow batch for this session, from here on: Spark reads the
     setting when a plan runs, after the operator has returned. Python workers

@@ -1,5 +1,7 @@
 """The queries of this subpackage, by the names under which they are run."""
 
+from docloom.llm.divergence import SQL as DIVERGENCE_SQL
+from docloom.llm.divergence import op13_divergence
 from docloom.llm.fingerprint import op9_fingerprint
 from docloom.llm.html_text import op10_html_text
 from docloom.llm.image_copies import op5_image_copies
@@ -22,6 +24,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
     "op10_html_text": op10_html_text,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_divergence": DIVERGENCE_SQL}
