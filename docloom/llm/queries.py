@@ -1,5 +1,6 @@
 """The queries of this subpackage, by the names under which they are run."""
 
+from docloom.llm.alignment import op12_alignment
 from docloom.llm.divergence import SQL as DIVERGENCE_SQL
 from docloom.llm.divergence import op13_divergence
 from docloom.llm.fingerprint import op9_fingerprint
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
     "op10_html_text": op10_html_text,
+    "op12_alignment": op12_alignment,
     "op13_divergence": op13_divergence,
 }
 
