@@ -7,6 +7,7 @@ from docloom.llm.fingerprint import op9_fingerprint
 from docloom.llm.html_text import op10_html_text
 from docloom.llm.image_copies import op5_image_copies
 from docloom.llm.jaccard_join import op6_jaccard_join
+from docloom.llm.language import op11_language
 from docloom.llm.mixing import op8_mixing
 from docloom.llm.piece_codec import op2_piece_codec
 from docloom.llm.quality import op1_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
     "op10_html_text": op10_html_text,
+    "op11_language": op11_language,
     "op12_alignment": op12_alignment,
     "op13_divergence": op13_divergence,
 }
