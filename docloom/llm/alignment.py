@@ -35,7 +35,7 @@ MARK = "▁"
 UNEVEN = re.compile(r"\s ")
 BETWEEN = re.compile(r"(?<=\S)(?= )")
 #: Characters of a batch that are aligned at once, and runs remembered at most.
-AT_ONCE, REMEMBERED = 2_000_000, 150_000
+AT_ONCE, REMEMBERED = 2_000_000, 300_000
 
 COLUMNS = "n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>, n array<int>"
 
@@ -114,18 +114,34 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Runs:
-    """What is known of distinct runs: counts, groups as text, linked pairs."""
+    """What is known of distinct runs: counts, groups as text, linked pairs (one a
+    group, those of all runs one after another), and how often they were met."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
         self.a_size, self.b_size = (np.array([len(x) for x in b], np.int64) for b in (pair.a_bytes, pair.b_bytes))
-        self.clear()
-
-    def clear(self):
         self.number: dict[str, int] = {}
         self.text: list[str] = []
-        self.links: list[np.ndarray] = []
+        self.links = np.zeros(0, np.int64)
         self.counts = np.zeros((0, 4), np.int64)  # tokens of a and of b, groups, whether the bytes agree
+        self.met = np.zeros(0, np.int64)
+
+    def links_of(self, runs: np.ndarray, links: np.ndarray) -> np.ndarray:
+        """What `links` has for each linked pair of these runs, one after another."""
+        n = self.counts[runs, 2]
+        begin = (np.cumsum(self.counts[:, 2]) - self.counts[:, 2])[runs]
+        return links[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def forget(self) -> None:
+        """Keep what was met more than once, at most half of what may be known."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: REMEMBERED // 2])
+        names = list(self.number)
+        self.number = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.text = [self.text[i] for i in keep.tolist()]
+        self.links = self.links_of(keep, self.links)
+        self.counts, self.met = self.counts[keep], self.met[keep] // 2
 
     def add(self, runs: list[str]) -> None:
         pair = self.pair
@@ -136,7 +152,7 @@ class Runs:
             good.append(b"".join([pair.a_bytes[i] for i in x]) == data and b"".join([pair.b_bytes[i] for i in y]) == data)
         some = np.flatnonzero(good)
         counts = np.zeros((len(runs), 4), np.int64)
-        text, links = [""] * len(runs), [np.zeros(0, np.int64)] * len(runs)
+        text, key = [""] * len(runs), np.zeros(0, np.int64)
         if len(some):
             xs, ys = (np.array([i for k in some for i in side[k]], np.int64) for side in (a, b))
             n_a, n_b = (np.array([len(side[k]) for k in some]) for side in (a, b))
@@ -156,18 +172,19 @@ class Runs:
             counts[some] = np.stack([n_a, n_b, n_groups, np.ones_like(n_a)], 1)
             before = 0
             for k, end in zip(some.tolist(), at.tolist(), strict=True):
-                text[k], links[k] = ";".join(parts[before:end]), key[before:end]
+                text[k] = ";".join(parts[before:end])
                 before = end
         n = len(self.number)
         self.number.update((r, n + i) for i, r in enumerate(runs))
         self.text += text
-        self.links += links
+        self.links = np.concatenate([self.links, key])
         self.counts = np.concatenate([self.counts, counts])
+        self.met = np.concatenate([self.met, np.zeros(len(runs), np.int64)])
 
     def align(self, texts: list[str | None]) -> pd.DataFrame:
         """A row of COLUMNS for each text."""
         if len(self.number) > REMEMBERED:
-            self.clear()
+            self.forget()
         cuts = [self.pair.runs(t) if t else [] for t in texts]
         new = list({r: None for c in cuts for r in c if r not in self.number})
         if new:
@@ -181,15 +198,9 @@ class Runs:
         doc, flat = doc[keep], flat[keep]
         sums = np.stack([np.bincount(doc, self.counts[flat, i], len(at)) for i in range(3)], 1).astype(np.int64)
         text = [hashlib.sha256(";".join([self.text[i] for i in x]).encode()).hexdigest() if len(x) and not no else "" for x, no in zip(at, bad, strict=True)]
-        used, inverse = np.unique(flat, return_inverse=True)
-        keys = np.concatenate([self.links[i] for i in used]) if len(used) else np.zeros(0, np.int64)
-        pairs, pair_of = np.unique(keys, return_inverse=True)
-        width = np.array([len(self.links[i]) for i in used], np.int64)
-        begin = np.cumsum(width) - width
-        # links of each run where it stands, as numbers of distinct pairs
-        n = width[inverse] if len(used) else np.zeros(0, np.int64)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        links = pair_of[np.repeat(begin[inverse], n) + inner] if len(used) else np.zeros(0, np.int64)
+        np.add.at(self.met, flat, 1)
+        pairs, pair_of = np.unique(self.links, return_inverse=True)
+        n, links = self.counts[flat, 2], self.links_of(flat, pair_of)
         found, times = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + links, return_counts=True)
         owner, which = found // max(1, len(pairs)), found % max(1, len(pairs))
         edge = np.searchsorted(owner, np.arange(len(at) + 1))
