@@ -8,9 +8,12 @@ are summed by group as (group, index, count), never as dense rows, and pairs of
 sources are compared in blocks of terms and tiles of sources.
 
 The vectoriser keeps its vocabulary on the driver and sends it to the tasks.
-What one model may hold is therefore bounded: the number of kept terms is
-estimated from a 64th of all terms by hash, and where it exceeds `most` the
-terms are dealt by hash to as many models as are needed, one after another.
+What one model may hold is therefore bounded by `most` terms. A kept term stands
+at least as often in the corpus as its least document frequency, so the number
+of words bounds that of kept terms. Where this bound is above `most`, the number
+is estimated from a 64th of all terms by hash, and the terms are dealt by hash
+to as many models as are needed, one after another. The terms of the documents
+are found once and stored, as fitting and counting both read them.
 """
 
 from __future__ import annotations
@@ -31,11 +34,15 @@ TILE, BLOCK = 256, 4096
 PROBE = 64
 
 
-def words(text: Column, lang: Column) -> Column:
-    """The terms of a text (letters A-Z in lower case, and all beyond ASCII), each
-    behind its language and a zero character, which no term contains."""
-    terms = F.filter(F.split(F.translate(text, UPPER, UPPER.lower()), BETWEEN), lambda x: x != "")
-    return F.transform(terms, lambda x: F.concat(lang, F.lit("\0"), x))
+def with_words(docs: DataFrame, text: Column, lang: Column, *keep: Column) -> DataFrame:
+    """keep, `words` and their number `n`: the terms of a text (letters A-Z in
+    lower case, and all beyond ASCII), each behind its language and a zero
+    character, which no term contains."""
+    cuts = docs.select(*keep, lang.alias("_lang"), F.split(F.translate(text, UPPER, UPPER.lower()), BETWEEN).alias("_w"))
+    first, last = ((F.get("_w", i) == "").cast("int") for i in (F.lit(0), F.size("_w") - 1))
+    terms = F.slice("_w", first + 1, F.greatest(F.size("_w") - first - last, F.lit(0)))  # only the ends may be empty
+    rows = cuts.select(*[c for c in cuts.columns if c != "_w"], terms.alias("_w"))
+    return rows.select(*[c for c in rows.columns if c[0] != "_"], F.transform("_w", lambda x: F.concat("_lang", F.lit("\0"), x)).alias("words"), F.size("_w").alias("n"))
 
 
 def share(word: Column, n: int, part: int) -> Column:
@@ -43,7 +50,10 @@ def share(word: Column, n: int, part: int) -> Column:
 
 
 def models_needed(docs: DataFrame, least: int, most: int) -> int:
-    """How many models hold the vocabulary with about `most` terms in each."""
+    """How many models hold the vocabulary with at most, or about, `most` terms
+    in each."""
+    if (docs.agg(F.sum("n")).first()[0] or 0) <= most * least:
+        return 1
     some = docs.select(F.explode(F.array_distinct(F.filter("words", lambda x: share(x, PROBE, 0)))).alias("word"))
     kept = some.groupBy("word").count().filter(F.col("count") >= least).count()
     return max(1, -(-kept * PROBE // most))
@@ -64,19 +74,20 @@ def vectors(docs: DataFrame, least: int, part: int, parts: int) -> tuple[DataFra
     fitted.write().save(folder)  # its vocabulary comes back as a table
     at = lambda i: F.lit(part << 32) + i
     vocabulary = spark.read.parquet(f"{folder}/data").select(F.posexplode("vocabulary").alias("i", "word")).filter("word <> ''")
-    return vocabulary.select(at(F.col("i")).alias("term_id"), "word"), fitted.transform(mine).withColumn("v", F.unwrap_udt("vector")).drop("vector", "words")
+    return vocabulary.select(at(F.col("i")).alias("term_id"), "word"), fitted.transform(mine).select("source", F.unwrap_udt("vector").alias("v"))
 
 
 def summed(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(term_id, lang, term) of the kept terms, and (lang, source, term_id, n) of
-    their occurrences, n > 0; both stored."""
+    """(term_id, lang, term) of the kept terms, and (source, term_id, n) of their
+    occurrences, n > 0; both stored. A term's id says its language."""
+    docs = stored(docs)
     parts = models_needed(docs, least, most)
     kept, sums = None, None
     for part in range(parts):
         vocabulary, rows = vectors(docs, least, part, parts)
-        each = rows.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
-        each = each.groupBy("lang", "source", (F.lit(part << 32) + F.col("x.indices")).alias("term_id")).agg(F.sum(F.col("x.values").cast("long")).alias("n"))
-        each = stored(each)
+        each = rows.select("source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
+        each = each.groupBy("source", F.col("x.indices").alias("i")).agg(F.sum(F.col("x.values").cast("long")).alias("n"))
+        each = stored(each.select("source", (F.lit(part << 32) + F.col("i")).alias("term_id"), "n"))
         kept, sums = (vocabulary, each) if kept is None else (kept.unionByName(vocabulary), sums.unionByName(each))
     cut_at = F.length(F.substring_index("word", "\0", -1))
     return stored(kept.select("term_id", F.expr("left(word, length(word) - length(substring_index(word, '\\0', -1)) - 1)").alias("lang"), F.right("word", cut_at).alias("term"))), sums
@@ -136,7 +147,7 @@ def pair_values(counts: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
     return both.select("lang", value.alias("value"), sides.alias("x")).select("lang", "x.source", "x.item", "value")
 
 
-def audit(docs: DataFrame, least: int = 30, top: int = 50, most: int = 2_000_000, tile: int = TILE, block: int = BLOCK, text_col: str = "text") -> DataFrame:
+def audit(docs: DataFrame, least: int = 30, top: int = 50, most: int = 5_000_000, tile: int = TILE, block: int = BLOCK, text_col: str = "text") -> DataFrame:
     """lang, source, part, item, value, rank.
 
     Part `pair`: for each group (a source within a language), every other source
@@ -148,11 +159,12 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, most: int = 2_000_000
     have no kept term is compared like any other; a language without kept terms
     gives pairs of value 0 and no terms. Ties are ranked by the item's bytes;
     repeated rows count as often as they occur. An empty table gives an empty
-    result. `most`: terms that one vocabulary on the driver holds, about.
+    result. most: terms that one vocabulary on the driver holds, 100 bytes each or so.
     """
     text_of = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), words(text_of(text_col), text_of("lang")).alias("words"))
+    rows = with_words(docs, text_of(text_col), text_of("lang"), text_of("source").alias("source"))
     kept, counts = summed(rows, least, most)
+    counts = counts.join(kept.select("term_id", "lang"), "term_id")
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     groups = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source")).distinct()
     groups = groups.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(v, "lang", "left").fillna(0, ["total", "v"])

@@ -74,9 +74,10 @@ def test_estimates_models(spark):
 
     from docloom.llm.divergence import models_needed
 
-    docs = spark.range(2).select(F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: F.concat(F.lit("en\0w"), i.cast("string"))).alias("words"))
+    docs = spark.range(2).select(F.lit(50_000).alias("n"), F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: F.concat(F.lit("en\0w"), i.cast("string"))).alias("words"))
     assert 4 <= models_needed(docs, 2, 10_000) <= 6
-    assert models_needed(docs, 3, 10_000) == 1
+    assert models_needed(docs, 3, 10_000) == 1  # no term in three documents
+    assert models_needed(docs.withColumn("words", F.lit(None).cast("array<string>")), 2, 50_000) == 1  # by the number of words alone
 
 
 def test_empty(spark):
