@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,44 +74,6 @@ def fuse(*ranked: DataFrame, constant: int = 60) -> DataFrame:
     return all_.groupBy("query_id", "id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = 4096) -> DataFrame:
-    """(query_id, id, score): the k vectors of highest cosine for each query,
-    itself excepted; scores to six decimals, ties by id, 0 for a zero vector.
-
-    queries: (query_id, q), a stated set of any size, taken in blocks of about
-    `block` by hash. A block, which is bounded, is given to all tasks; a task
-    keeps its k best of each query, so only these are shuffled. The vectors are
-    read once a block.
-    """
-    spark = vectors.sparkSession
-    n_blocks = -(-queries.count() // block)
-    found = None
-    for i in range(max(1, n_blocks)):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, n_blocks))) == i).collect()
-        ids = np.array([r.query_id for r in part], np.int64)
-        q = np.array([r.q for r in part], float).reshape(len(part), -1)
-        shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def best(batches, shared=shared):
-            ids, q = shared.value
-            for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                v = np.stack(b["v"].to_numpy()).astype(float)
-                own = b["id"].to_numpy()
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
-                s[ids[:, None] == own[None, :]] = -np.inf
-                for j in range(len(ids)):
-                    top = np.lexsort((own, -s[j]))[:k]
-                    top = top[np.isfinite(s[j][top])]
-                    yield pd.DataFrame({"query_id": ids[j], "id": own[top], "score": s[j][top]})
-
-        rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter("v is not null and id is not null")
-        hits = rows.mapInPandas(best, "query_id long, id long, score double")
-        found = hits if found is None else found.unionByName(hits)
-    return top_k(found, k)
-
-
 def gauss(age: Column, scale: float, offset: float, decay: float) -> Column:
     """1 within the offset, `decay` at offset plus scale, falling as a bell."""
     import math

@@ -248,11 +248,6 @@ def boundary(t):
     return E.split_at(t.documents, "doc_id", "text", r"\n").groupBy("id").agg(F.count("*").alias("parts"))
 
 
-@query("R31_embedding_batches", "SELECT doc_id, CASE WHEN n_chars < 10 THEN 'skipped' ELSE 'pending' END AS status FROM documents")
-def batches(t):
-    return t.documents.select("doc_id", F.when(C("n_chars") < 10, "skipped").otherwise("pending").alias("status"))
-
-
 @query("K05_keep_old", "SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'new' END, d.source) AS etag FROM documents d LEFT JOIN labels l USING (doc_id)")
 def keep_old(t):
     j = t.documents.select("doc_id", "source").join(t.labels.select("doc_id", F.when(C("toxic") == 1, "new").alias("n")), "doc_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import retrieval as R
+from docloom.operators.vectors import nearest_in_blocks
 from docloom.registry import query
 
 C = F.col
@@ -74,7 +75,7 @@ VECTORS = "q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE
 
 def neighbours(t):
     q = t.embeddings.filter("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
-    return R.nearest(t.embeddings, q, 10, "vec_id", "embedding")
+    return nearest_in_blocks(t.embeddings, q, 10, "vec_id", "embedding")
 
 
 @query("R05_cosine_top_k", f"WITH {VECTORS} SELECT query_id, id, rank, round(score, 4) AS score FROM v WHERE rank <= 10")
