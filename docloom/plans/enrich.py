@@ -225,12 +225,6 @@ def entity_density(t):
     return t.documents.groupBy("lang").agg(F.round(F.avg(F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)) / F.greatest(F.lit(1), C("n_chars"))), 6).alias("density"))
 
 
-@query("R13_weights", "SELECT event_type, round(count(*) / (SELECT count(*) FROM events), 6) AS weight FROM events GROUP BY 1")
-def weights(t):
-    g = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
-    return g.select("event_type", F.round(C("n") / F.sum("n").over(W.partitionBy()), 6).alias("weight"))  # a row a type
-
-
 @query("R21_highlight_score", "SELECT doc_id, 2 * CAST(n_chars > 2000 AS INT) + CAST(lang = 'en' AS INT) + 3 * CAST(contains(lower(text), 'license') AS INT) - 2 * CAST(contains(text, '%%%') AS INT) AS score FROM documents")
 def highlight(t):
     s = 2 * (C("n_chars") > 2000).cast("int") + (C("lang") == "en").cast("int") + 3 * F.lower("text").contains("license").cast("int") - 2 * C("text").contains("%%%").cast("int")

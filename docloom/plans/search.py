@@ -1,4 +1,5 @@
-"""Search in stages, embedding in batches, cells of vectors, phrases by prefix."""
+"""Search in stages, embedding in batches, cells of vectors, phrases by prefix,
+learned weights, listings read until they are old."""
 
 from __future__ import annotations
 
@@ -8,7 +9,9 @@ from docloom.functions import text as X
 from docloom.operators import embedding as B
 from docloom.operators import hybrid as H
 from docloom.operators import vectors as V
-from docloom.operators.retrieval import top_k
+from docloom.operators.feedback import learned, step
+from docloom.operators.phrases import phrase_prefix
+from docloom.operators.scan import until_old
 from docloom.plans.ranking import BM25, TOK, VECTORS, asked, hits
 from docloom.registry import query
 
@@ -139,3 +142,61 @@ def cell_recall(t):
     near = V.nearest_in_cells(t.embeddings, q, 10, "vec_id", "embedding", exact=False).select("query_id", "id", F.lit(1).alias("hit"))
     all_ = V.nearest_in_blocks(t.embeddings, q, 10, "vec_id", "embedding").select("query_id", "id")
     return all_.join(near, ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
+@query(
+    "R04_phrase_prefix",
+    f"""WITH w AS (SELECT item_id, {TOK} AS w FROM benchmark),
+p AS (SELECT 2 * item_id AS query_id, w[1:len(w) - 1] AS head, substring(w[-1], 1, CAST(ceil(length(w[-1]) / 2.0) AS BIGINT)) AS prefix FROM w WHERE len(w) > 0
+  UNION ALL SELECT 2 * item_id + 1, w[1:2], substring(w[3], 1, 2) FROM w WHERE len(w) > 2),
+d AS (SELECT doc_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS words FROM documents),
+t AS (SELECT DISTINCT unnest({TOK}) AS term FROM documents),
+e AS (SELECT prefix, term FROM (SELECT prefix, term, row_number() OVER (PARTITION BY prefix ORDER BY term) AS rank FROM (SELECT DISTINCT prefix FROM p) JOIN t ON starts_with(term, prefix)) WHERE rank <= 50),
+l AS (SELECT query_id, prefix, CASE WHEN len(head) = 0 THEN ' ' ELSE ' ' || array_to_string(head, ' ') || ' ' END AS head FROM p)
+SELECT DISTINCT query_id, doc_id FROM l JOIN d ON contains(words, head || prefix) JOIN e ON e.prefix = l.prefix AND contains(words, head || term || ' ')""",
+)
+def prefix(t):
+    """Whole passages with half of their last word, and their first three words
+    with two letters of the third."""
+    w = t.benchmark.select("item_id", X.tokens(C("text")).alias("w")).filter(F.size("w") > 0)
+    cut_to = lambda words, n: F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(F.substring(F.element_at(words, -1), F.lit(1), n)))
+    whole = w.select((2 * C("item_id")).alias("query_id"), cut_to(C("w"), F.ceil(F.length(F.element_at("w", -1)) / 2).cast("int")).alias("words"))
+    three = w.filter(F.size("w") > 2).select((2 * C("item_id") + 1).alias("query_id"), cut_to(F.slice("w", 1, 3), F.lit(2)).alias("words"))
+    return phrase_prefix(t.documents, whole.unionByName(three), "doc_id", "text").select("query_id", C("id").alias("doc_id"))
+
+
+#: Where each kind's weights begin (words, vectors, authority, reranking), and
+#: what a success and a failure do to them.
+BEGIN = {"click": [0.3, 0.3, 0.2, 0.2], "view": [0.25, 0.25, 0.25, 0.25], "error": [0.5, 0.2, 0.2, 0.1], "signup": [0.2, 0.4, 0.2, 0.2]}
+GOOD, BAD = step([1, 1, 1, 1], [0, 0, 0.004, 0.012]), step([0.92, 1, 1, 1], [0, 0.025, 0, 0.02])
+
+
+@query(
+    "R13_weights",
+    f"""WITH RECURSIVE b(kind, a, b, c, d) AS (VALUES {', '.join(str((k, *w)) for k, w in BEGIN.items())}),
+f AS (SELECT event_type AS kind, value >= 50 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT kind, 0::BIGINT AS k, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d FROM b UNION ALL
+  SELECT kind, k, a / (a + b + c + d), b / (a + b + c + d), c / (a + b + c + d), d / (a + b + c + d) FROM (
+    SELECT w.kind, f.k, CASE WHEN ok THEN a ELSE a * 0.92::DOUBLE END AS a, CASE WHEN ok THEN b ELSE b + 0.025::DOUBLE END AS b, CASE WHEN ok THEN c + 0.004::DOUBLE ELSE c END AS c, CASE WHEN ok THEN d + 0.012::DOUBLE ELSE d + 0.02::DOUBLE END AS d FROM w JOIN f ON f.kind = w.kind AND f.k = w.k + 1))
+SELECT kind, max(k) AS n, round(arg_max(a, k), 4) AS words, round(arg_max(b, k), 4) AS vectors, round(arg_max(c, k), 4) AS authority, round(arg_max(d, k), 4) AS reranking FROM w GROUP BY kind""",
+)
+def weights(t):
+    """The weights of four kinds of search after all events, in their order."""
+    f = t.events.select(C("event_type").alias("kind"), C("ts").alias("at"), C("event_id").alias("id"), (C("value") >= 50).alias("success"))
+    out = learned(f, BEGIN, {(k, ok): GOOD if ok else BAD for k in BEGIN for ok in (True, False)})
+    return out.select("kind", "n", *[F.round(C("weights")[i], 4).alias(c) for i, c in enumerate(("words", "vectors", "authority", "reranking"))])
+
+
+@query(
+    "S10_until_old",
+    """WITH p AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY event_id DESC) - 1) / 100) AS BIGINT) AS page FROM events), s AS (SELECT max(ts) - INTERVAL 10 DAY AS since FROM events),
+o AS (SELECT min(page) AS last FROM (SELECT page FROM p, s GROUP BY page HAVING bool_and(ts < since))),
+x AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM p, o WHERE last IS NULL OR page <= last)
+SELECT user_id, event_type, event_id, page FROM x WHERE k = 1""",
+)
+def until_old_events(t):
+    """The newest event of each user and type, in a listing of a hundred a page
+    that is read until a page has nothing from the last ten days."""
+    since = F.lit(t.events.agg(F.max("ts") - F.expr("interval 10 days")).first()[0])
+    listing = t.events.select("user_id", "event_type", "event_id", "ts", F.struct("user_id", "event_type").alias("key"), (-C("event_id")).alias("place"))
+    return until_old(listing, "place", "key", "ts", since, 100).select("user_id", "event_type", "event_id", "page")
