@@ -8,44 +8,46 @@ are summed by group as (group, index, count), never as dense rows, and pairs of
 sources are compared in blocks of terms and tiles of sources.
 
 The vectoriser keeps its vocabulary on the driver and sends it to the tasks.
-What one model may hold is therefore bounded: the number of kept terms is
-estimated, rather too high, from a 64th of all terms by hash in an eighth of the
-documents, and where it exceeds `most` the terms are dealt by hash to as many
-models as are needed, one after another. The estimate only sets the number of
-models, which changes no result.
+What one model may hold is therefore bounded by `most` terms. A kept term stands
+at least as often in the corpus as its least document frequency, so the number
+of words bounds that of kept terms. Where this bound is above `most`, the number
+is estimated, rather too high, from a 64th of all terms by hash in an eighth of
+the documents, and the terms are dealt by hash to as many models as are needed,
+one after another. The number of models changes no result. The terms of the
+documents are found once and stored, as fitting and counting both read them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import new_folder, stored, table
 
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: ASCII characters between terms: all but letters.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 SCALE = 1_000_000_000
 #: Sources in a tile and terms in a block of a comparison: 256 by 4096 counts.
 TILE, BLOCK = 256, 4096
 PROBE, SAMPLE = 64, 8
-#: Sums that a task holds before it passes them on.
-HELD = 1 << 22
 
 
 def with_words(docs: DataFrame, text: Column, lang: Column, *keep: Column) -> DataFrame:
-    """keep, and `words`: the terms of a text (letters A-Z in lower case, and all
-    beyond ASCII), each behind its language and a zero character, which no term
-    contains."""
-    cuts = docs.select(*keep, lang.alias("_lang"), F.split(F.translate(text, UPPER, UPPER.lower()), BETWEEN).alias("_w"))
-    first, last = ((F.get("_w", i) == "").cast("int") for i in (F.lit(0), F.size("_w") - 1))
-    terms = F.slice("_w", first + 1, F.greatest(F.size("_w") - first - last, F.lit(0)))  # only the ends may be empty
-    rows = cuts.select(*[c for c in cuts.columns if c != "_w"], terms.alias("_w"))
-    return rows.select(*[c for c in rows.columns if c[0] != "_"], F.transform("_w", lambda x: F.concat("_lang", F.lit("\0"), x)).alias("words"))
+    """keep, `words` and their number `n`: the terms of a text (letters A-Z in
+    lower case, and all beyond ASCII), each behind its language in hexadecimal
+    digits and a zero character, which no term contains."""
+    key = F.concat(F.hex(lang), F.lit("\0"))
+    plain = F.translate(text, BETWEEN + UPPER, " " * len(BETWEEN) + UPPER.lower())
+    # a text is cut at characters that are not in it any more, which is fast
+    cuts = F.split(F.replace(F.concat(F.lit(" "), plain), F.lit(" "), F.concat(F.lit("\1"), key)), "\1")
+    rows = docs.select(*keep, key.alias("_key"), cuts.alias("_w"))
+    words = F.array_remove(F.slice("_w", F.lit(2), F.size("_w")), F.col("_key")).alias("words")
+    rows = rows.select(*[c for c in rows.columns if c[0] != "_"], words)
+    return rows.withColumn("n", F.size("words"))
 
 
 def share(word: Column, n: int, part: int) -> Column:
@@ -53,50 +55,15 @@ def share(word: Column, n: int, part: int) -> Column:
 
 
 def models_needed(docs: DataFrame, least: int, most: int) -> int:
-    """How many models hold the vocabulary with about `most` terms in each."""
+    """How many models hold the vocabulary with at most, or about, `most` terms
+    in each."""
+    if (docs.agg(F.sum("n")).first()[0] or 0) <= most * least:
+        return 1
     some = docs.sample(1 / SAMPLE, seed=5).select(F.explode(F.array_distinct(F.filter("words", lambda x: share(x, PROBE, 0)))).alias("word"))
     kept = some.groupBy("word").count().filter(F.col("count") >= max(1, least // SAMPLE)).count()
     return max(1, -(-kept * PROBE // most))
 
 
-def added(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their values."""
-    key, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-    return key[first], np.add.reduceat(value, first) if len(key) else value
-
-
-def sparse_sums(batches):
-    """Sums of sparse vectors (source, indices, values) by source and index,
-    within a task: (source, i, n)."""
-    names: dict[str, int] = {}
-    keys, values, size = [], [], 0
-
-    def out():
-        of = pa.array(list(names), pa.string())
-        for at in range(0, len(keys[0]), 1 << 16):
-            k, v = keys[0][at : at + (1 << 16)], values[0][at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([of.take(pa.array(k >> 32)), pa.array((k & 0xFFFFFFFF).astype(np.int32)), pa.array(v)], ["source", "i", "n"])
-
-    for b in batches:
-        n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-        source = np.array([names.setdefault(x, len(names)) for x in b.column(0).to_pylist()], np.int64)
-        keys.append(np.repeat(source, n) << 32 | b.column(1).flatten().to_numpy().astype(np.int64))
-        values.append(b.column(2).flatten().to_numpy().astype(np.int64))
-        size += len(keys[-1])
-        if size > HELD:
-            keys, values = ([x] for x in added(keys, values))
-            size = len(keys[0])
-            if size > HELD // 2:
-                yield from out()
-                keys, values, size = [], [], 0
-    if size:
-        keys, values = ([x] for x in added(keys, values))
-        yield from out()
-
-
 def vectors(docs: DataFrame, least: int, part: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """(term_id, word) of the kept words of one part by hash, and docs with a
     sparse vector `v` of (indices, values) over them.
@@ -112,22 +79,23 @@ def vectors(docs: DataFrame, least: int, part: int, parts: int) -> tuple[DataFra
     fitted.write().save(folder)  # its vocabulary comes back as a table
     at = lambda i: F.lit(part << 32) + i
     vocabulary = spark.read.parquet(f"{folder}/data").select(F.posexplode("vocabulary").alias("i", "word")).filter("word <> ''")
-    return vocabulary.select(at(F.col("i")).alias("term_id"), "word"), fitted.transform(mine).select("source", F.unwrap_udt("vector").alias("v"))
+    return vocabulary.select(at(F.col("i")).alias("term_id"), "word"), fitted.transform(mine).select("lang", "source", F.unwrap_udt("vector").alias("v"))
 
 
 def summed(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(term_id, lang, term) of the kept terms, and (source, term_id, n) of their
-    occurrences, n > 0; both stored. A term's id says its language."""
+    """(term_id, lang, term) of the kept terms, and (lang, source, term_id, n) of
+    their occurrences, n > 0; both stored."""
+    docs = stored(docs)
     parts = models_needed(docs, least, most)
     kept, sums = None, None
     for part in range(parts):
         vocabulary, rows = vectors(docs, least, part, parts)
-        each = rows.select("source", "v.indices", "v.values").mapInArrow(sparse_sums, "source string, i int, n long")
-        each = each.groupBy("source", "i").agg(F.sum("n").alias("n"))
-        each = stored(each.select("source", (F.lit(part << 32) + F.col("i")).alias("term_id"), "n"))
+        each = rows.select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
+        each = each.groupBy("lang", "source", F.col("x.indices").alias("i")).agg(F.sum(F.col("x.values").cast("long")).alias("n"))
+        each = stored(each.select("lang", "source", (F.lit(part << 32) + F.col("i")).alias("term_id"), "n"))
         kept, sums = (vocabulary, each) if kept is None else (kept.unionByName(vocabulary), sums.unionByName(each))
-    cut_at = F.length(F.substring_index("word", "\0", -1))
-    return stored(kept.select("term_id", F.expr("left(word, length(word) - length(substring_index(word, '\\0', -1)) - 1)").alias("lang"), F.right("word", cut_at).alias("term"))), sums
+    lang = F.decode(F.unhex(F.substring_index("word", "\0", 1)), "UTF-8")
+    return stored(kept.select("term_id", lang.alias("lang"), F.substring_index("word", "\0", -1).alias("term"))), sums
 
 
 def level(n: str) -> Column:
@@ -184,7 +152,7 @@ def pair_values(counts: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
     return both.select("lang", value.alias("value"), sides.alias("x")).select("lang", "x.source", "x.item", "value")
 
 
-def audit(docs: DataFrame, least: int = 30, top: int = 50, most: int = 2_000_000, tile: int = TILE, block: int = BLOCK, text_col: str = "text") -> DataFrame:
+def audit(docs: DataFrame, least: int = 30, top: int = 50, most: int = 5_000_000, tile: int = TILE, block: int = BLOCK, text_col: str = "text") -> DataFrame:
     """lang, source, part, item, value, rank.
 
     Part `pair`: for each group (a source within a language), every other source
@@ -199,9 +167,8 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, most: int = 2_000_000
     result. most: terms that one vocabulary on the driver holds, 100 bytes each or so.
     """
     text_of = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = with_words(docs, text_of(text_col), text_of("lang"), text_of("source").alias("source"))
+    rows = with_words(docs, text_of(text_col), text_of("lang"), text_of("lang").alias("lang"), text_of("source").alias("source"))
     kept, counts = summed(rows, least, most)
-    counts = counts.join(kept.select("term_id", "lang"), "term_id")
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     groups = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source")).distinct()
     groups = groups.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(v, "lang", "left").fillna(0, ["total", "v"])
@@ -210,11 +177,13 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, most: int = 2_000_000
     groups = groups.withColumn("base", level("0")).withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("v") / block)))
     groups = stored(groups)
 
-    of_lang = counts.groupBy("term_id").agg(F.sum("n").alias("n")).join(kept, "term_id")
     totals = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    of_lang = of_lang.join(totals, "lang").select("term_id", "term", level("n").alias("q"))
+    of_lang = counts.groupBy("lang", "term_id").agg(F.sum("n").alias("n")).join(totals, "lang").select("term_id", level("n").alias("q"))
     terms = counts.join(groups, ["lang", "source"]).select("lang", "source", "term_id", level("n").alias("p")).join(of_lang, "term_id")
-    terms = terms.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    terms = terms.filter("p > q").select("lang", "source", "term_id", (F.col("p") - F.col("q")).alias("value"))
+    # first all that may be among the best, by value; only these get their names
+    best = terms.withColumn("near", F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))).filter(F.col("near") <= top)
+    terms = best.join(kept.select("term_id", "term"), "term_id").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")).cast("int").alias("rank")
     terms = terms.select("*", rank).filter(F.col("rank") <= top)
     pairs = pair_values(counts, groups, tile).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
