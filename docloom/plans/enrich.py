@@ -248,12 +248,6 @@ def keep_old(t):
     return j.select("doc_id", F.coalesce("n", "source").alias("etag"))
 
 
-@query("K09_vector_update", "SELECT d.doc_id, e.vec_id IS NOT NULL AS has_vector FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
-def vector_update(t):
-    j = t.documents.select("doc_id").join(t.embeddings.select(C("vec_id").alias("doc_id"), F.lit(True).alias("v")), "doc_id", "left")
-    return j.select("doc_id", F.coalesce("v", F.lit(False)).alias("has_vector"))
-
-
 @query("K13_router", "SELECT CASE WHEN lang = 'en' THEN 'english' WHEN n_chars > 2000 THEN 'long_foreign' ELSE 'short_foreign' END AS target, count(*) AS n FROM documents GROUP BY 1")
 def router(t):
     target = F.when(C("lang") == "en", "english").when(C("n_chars") > 2000, "long_foreign").otherwise("short_foreign")

@@ -209,13 +209,6 @@ def line_classes(t):
     return x.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("K08_delete_insert", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'judged' ELSE source END AS verdict FROM documents")
-def delete_insert(t):
-    """The whole set of one language is replaced, the others stay."""
-    new = t.documents.filter("lang = 'de'").select("doc_id", F.lit("judged").alias("verdict"))
-    return t.documents.filter("lang <> 'de'").select("doc_id", C("source").alias("verdict")).unionByName(new)
-
-
 @query("K14_manifest", "SELECT source, count(*) AS n, CAST(sum((doc_id * 2654435 + 97) % 1000003) AS BIGINT) AS ids FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY 1")
 def manifest(t):
     """How many ids a source gives, and a sum over them that does not depend on

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import aggregates, corpus, enrich, incremental, judging, matching, pages, ranking, relational, scalars, search, summaries  # noqa: F401  (modules register their queries)
+from docloom.plans import aggregates, corpus, enrich, incremental, judging, matching, pages, ranking, relational, scalars, search, stateful, summaries  # noqa: F401  (modules register their queries)
 from docloom.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 

@@ -53,3 +53,28 @@ def test_links_and_tsv(spark, tmp_path):
 def test_route(spark, tmp_path):
     files.route(spark.range(10).withColumn("k", F.col("id") % 2), str(tmp_path / "r"), "k")
     assert spark.read.parquet(str(tmp_path / "r")).filter("k = 1").count() == 5
+
+
+def test_archive_source(spark, tmp_path):
+    """Groups of entries of each archive, whatever their size; broken archives
+    and other files give nothing."""
+    from docloom.sources import archives
+
+    for a in range(3):
+        with zipfile.ZipFile(tmp_path / f"a{a}.zip", "w") as z:
+            for i in range(7):
+                z.writestr(f"{i}.xml", f"body {a} {i} é" * (i + 1))
+            z.writestr("note.txt", "no")
+    (tmp_path / "broken.zip").write_bytes(b"nothing")
+    (tmp_path / "other.xml").write_text("no")
+    want = {(f"a{a}.zip", f"{i}.xml", f"body {a} {i} é" * (i + 1)) for a in range(3) for i in range(7)}
+    for size in (1, 60, 1 << 20):
+        df = archives.read_archives(spark, str(tmp_path), group_bytes=size)
+        got = [(r.archive.rsplit("/", 1)[-1], r.entry, r.body) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert df.rdd.getNumPartitions() == {1: 21, 60: 15, 1 << 20: 3}[size] or size == 60
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert archives.read_archives(spark, str(empty)).count() == 0
+    written = archives.write_archives(spark.createDataFrame([("x", "1.xml", "one"), ("x", "2.xml", "two")], "archive string, entry string, body string"), str(tmp_path / "out"))
+    assert written.collect()[0].n == 2 and {r.body for r in archives.read_archives(spark, f"file://{tmp_path}/out").collect()} == {"one", "two"}
