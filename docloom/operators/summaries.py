@@ -14,23 +14,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import collapse
 
-#: kind: [(field, candidates in order, fields it must differ from)].
-VARIANTS: dict[str, list[tuple[str, list[str], list[str]]]] = {
-    "act": [("type", ["label"], []), ("object", ["first", "action", "second"], []), ("basis", ["law"], []), ("effect", ["action", "second"], ["object"]), ("in_force", ["date"], [])],
-    "ruling": [("number", ["number"], []), ("body", ["origin"], []), ("object", ["title", "first"], []), ("decision", ["first"], [])],
-    "case_law": [("area", ["origin"], []), ("theme", ["topic"], []), ("thesis", ["first"], [])],
-    "answer": [("area", ["origin"], []), ("question", ["title", "topic", "first"], []), ("answer", ["action", "first", "second"], ["question"])],
-    "precedent": [("number", ["number"], []), ("theme", ["topic"], []), ("thesis", ["first"], [])],
-    "case_bulletin": [("title", ["title", "first"], []), ("theme", ["topic"], []), ("thesis", ["action", "first", "second"], ["title"])],
-    "staff_bulletin": [("title", ["title", "first"], []), ("theme", ["topic"], []), ("effect", ["action", "first"], ["title"])],
-    "tender_bulletin": [("title", ["title", "first"], []), ("theme", ["topic"], []), ("point", ["action", "first"], ["title"])],
-    "norm": [("type", ["label"], []), ("number", ["number"], []), ("subject", ["title", "action", "first"], []), ("in_force", ["date"], [])],
-    "court_bulletin": [("section", ["title", "topic"], []), ("subject", ["topic", "first"], ["section"]), ("basis", ["law"], []), ("decision", ["action", "first", "second"], ["section", "subject"])],
-    "publication": [("title", ["title", "first"], []), ("type", ["label"], []), ("subject", ["topic", "label"], []), ("point", ["action", "first"], ["title", "subject"])],
-}
-
-#: kind: what its short summary starts with, and the field that follows.
-SHORT = {"act": ("Act: ", "effect"), "ruling": ("Ruling: ", "decision"), "precedent": ("Precedent: ", "thesis"), "answer": ("", "answer"), "case_law": ("", "thesis"), "court_bulletin": ("", "decision"), "publication": ("", "point")}
+#: A variant: [(field, candidates in order, fields it must differ from)].
+Variant = list[tuple[str, list[str], list[str]]]
 
 
 def candidate(options: list[Column], avoid: list[Column]) -> Column:
@@ -45,38 +30,38 @@ def candidate(options: list[Column], avoid: list[Column]) -> Column:
     return F.coalesce(*fits)
 
 
-def fields_of(kind: str, values: dict[str, Column]) -> dict[str, Column]:
+def fields_of(variant: Variant, values: dict[str, Column]) -> dict[str, Column]:
     out: dict[str, Column] = {}
-    for name, options, avoid in VARIANTS[kind]:
+    for name, options, avoid in variant:
         out[name] = candidate([values[o] for o in options], [out[a] for a in avoid])
     return out
 
 
-def structured(kind: Column, values: dict[str, Column]) -> Column:
+def structured(kind: Column, values: dict[str, Column], variants: dict[str, Variant]) -> Column:
     """map<string,string> of the fields of the row's kind; null of others."""
     out = F.lit(None).cast("map<string,string>")
-    for name in VARIANTS:
-        fields = fields_of(name, values)
+    for name, variant in variants.items():
+        fields = fields_of(variant, values)
         out = F.when(kind == name, F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*fields.values()))).otherwise(out)
     return out
 
 
-def short(kind: Column, summary: Column, otherwise: Column) -> Column:
-    """One line by kind; kinds without a rule, and empty fields, give
-    `otherwise`."""
+def short(kind: Column, summary: Column, otherwise: Column, rules: dict[str, tuple[str, str]]) -> Column:
+    """One line by kind: how it starts, and the field that follows. Kinds without
+    a rule, and empty fields, give `otherwise`."""
     out = otherwise
-    for name, (start, field) in SHORT.items():
+    for name, (start, field) in rules.items():
         out = F.when(kind == name, F.concat(F.lit(start), F.coalesce(F.element_at(summary, field), otherwise))).otherwise(out)
     return out
 
 
-def validated(kind: Column, payload: Column) -> Column:
+def validated(kind: Column, payload: Column, variants: dict[str, Variant]) -> Column:
     """The payload (JSON) as a map with every field of its kind, values with
     single spaces and empty ones null; null if the payload is no object, has no
     fields or one that its kind does not know, or the kind is unknown."""
     given = F.from_json(payload, "map<string,string>")
     out = F.lit(None).cast("map<string,string>")
-    for name, fields in VARIANTS.items():
+    for name, fields in variants.items():
         allowed = F.array(*[F.lit(f) for f, *_ in fields])
         known = F.transform(allowed, lambda f: F.nullif(collapse(F.element_at(given, f)), F.lit("")))
         fits = (kind == name) & (F.size(given) > 0) & (F.size(F.array_except(F.map_keys(given), allowed)) == 0)

@@ -9,8 +9,16 @@ from docloom.operators import summaries as S
 from docloom.registry import query
 
 C = F.col
-KINDS = list(S.VARIANTS)
 ACTION = "(?i)(license|contact|write|call|und die|pour les|para el)"
+#: What a summary of a document, of a page and of a conversation tells, from the
+#: columns that `values` has for each.
+VARIANTS: dict[str, S.Variant] = {
+    "document": [("language", ["label"], []), ("lead", ["first", "title"], []), ("next", ["second", "action"], ["lead"]), ("license", ["law"], []), ("figure", ["number"], [])],
+    "page": [("host", ["origin"], []), ("headline", ["title", "first"], []), ("teaser", ["first", "second"], ["headline"]), ("language", ["label"], []), ("figure", ["number"], [])],
+    "conversation": [("opened_by", ["label"], []), ("turns", ["origin"], []), ("request", ["title", "first"], []), ("answer", ["last", "second"], ["request"])],
+}
+#: How the short line of each begins, and the field that follows.
+SHORT = {"page": ("Page: ", "teaser"), "conversation": ("Asked: ", "request"), "document": ("", "lead")}
 
 
 def cut_sql(x: str, n: int) -> str:
@@ -23,18 +31,20 @@ def cut_sql(x: str, n: int) -> str:
     return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE rtrim(left({x}, {at}), ' ') END"
 
 
-#: One row a document with what summaries are made of; its kind follows from its id.
-VALUES = rf"""d AS (SELECT doc_id, text, lang, source, [{", ".join(f"'{k}'" for k in KINDS)}][CAST(doc_id % {len(KINDS)} AS INT) + 1] AS kind,
-  string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS sentences FROM documents),
-v AS (SELECT doc_id, kind, text, sentences, list_filter(sentences, lambda s: length(s) >= 40) AS good, list_filter(sentences, lambda s: regexp_matches(s, '{ACTION}'))[1] AS act,
-  upper(left(lang, 1)) || substring(lang, 2) AS label, source AS origin, nullif(regexp_extract(text, '([0-9]{{3,}})', 1), '') AS number, nullif(regexp_extract(text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS date,
-  nullif(regexp_extract(text, '([A-Z][a-z]+ License)', 1), '') AS law, CASE WHEN contains(text, 'icense') THEN 'licensing' WHEN contains(text, '@') THEN 'contact' END AS topic, string_split(text, chr(10))[1] AS line FROM d),
-b AS (SELECT doc_id, kind, label, origin, number, date, law, topic, {cut_sql("coalesce(good[1], act, text)", 220)} AS first, {cut_sql("good[2]", 220)} AS second, {cut_sql("act", 220)} AS action, {cut_sql("line", 180)} AS title FROM v)"""
+#: A row each document, page and conversation, with what summaries are made of.
+VALUES = rf"""c AS (SELECT conv_id, count(*) AS n, arg_min(text, turn) AS opening, arg_max(text, turn) AS last, arg_min(role, turn) AS role FROM conversations GROUP BY 1),
+a AS (SELECT 'd' || doc_id AS key, 'document' AS kind, text, lang AS label, source AS origin, string_split(text, chr(10))[1] AS line, NULL::VARCHAR AS last FROM documents
+  UNION ALL SELECT 'p' || page_id, 'page', trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), ''), regexp_extract(url, '://([^/:?#]+)', 1), trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), NULL FROM pages
+  UNION ALL SELECT 'c' || conv_id, 'conversation', opening, role, CAST(n AS VARCHAR), string_split(opening, chr(10))[1], last FROM c),
+d AS (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS sentences FROM a),
+v AS (SELECT key, kind, text, label, origin, line, last, list_filter(sentences, lambda s: length(s) >= 40) AS good, list_filter(sentences, lambda s: regexp_matches(s, '{ACTION}'))[1] AS act,
+  nullif(regexp_extract(text, '([0-9]{{3,}})', 1), '') AS number, nullif(regexp_extract(text, '([A-Z][a-z]+ License)', 1), '') AS law, CASE WHEN contains(text, 'icense') THEN 'licensing' WHEN contains(text, '@') THEN 'contact' END AS topic FROM d),
+b AS (SELECT key, kind, text, label, origin, number, law, topic, {cut_sql("coalesce(good[1], act, text)", 220)} AS first, {cut_sql("good[2]", 220)} AS second, {cut_sql("act", 220)} AS action, {cut_sql("line", 180)} AS title, {cut_sql("last", 220)} AS last FROM v)"""
 
 
 def field_sql(kind: str) -> dict[str, str]:
     out: dict[str, str] = {}
-    for name, options, avoid in S.VARIANTS[kind]:
+    for name, options, avoid in VARIANTS[kind]:
         fits = [f"CASE WHEN length(trim({o})) > 0 " + "".join(f"AND lower({o}) IS DISTINCT FROM lower({out[a]}) " for a in avoid) + f"THEN {o} END" for o in options]
         out[name] = f"coalesce({', '.join(fits)}, NULL)"
     return out
@@ -42,92 +52,98 @@ def field_sql(kind: str) -> dict[str, str]:
 
 def lines_sql() -> str:
     cases = []
-    for kind in KINDS:
+    for kind in VARIANTS:
         parts = ", ".join(f"'{name}=' || {x}" for name, x in field_sql(kind).items())
         cases.append(f"WHEN '{kind}' THEN concat_ws(chr(10), {parts})")
     return f"CASE kind {' '.join(cases)} END"
 
 
 def short_sql() -> str:
-    cases = [f"WHEN '{kind}' THEN '{start}' || coalesce({field_sql(kind)[field]}, first)" for kind, (start, field) in S.SHORT.items()]
+    cases = [f"WHEN '{kind}' THEN '{start}' || coalesce({field_sql(kind)[field]}, first)" for kind, (start, field) in SHORT.items()]
     return f"CASE kind {' '.join(cases)} ELSE first END"
 
 
 def values(t):
-    """doc_id, kind and the columns that variants take their candidates from."""
+    """key, kind and the columns that variants take their candidates from. Of a
+    conversation the first and the last turn count, however long it is."""
+    talk = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("text", "turn").alias("text"), F.max_by("text", "turn").alias("last"), F.min_by("role", "turn").alias("role"))
+    line, none = F.substring_index("text", "\n", 1), F.lit(None).cast("string")
+    key = lambda letter, c: F.concat(F.lit(letter), C(c).cast("string")).alias("key")
+    pick = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    rows = t.documents.select(key("d", "doc_id"), F.lit("document").alias("kind"), "text", C("lang").alias("label"), C("source").alias("origin"), line.alias("line"), none.alias("end"))
+    html = C("html")
+    rows = rows.unionByName(t.pages.select(key("p", "page_id"), F.lit("page").alias("kind"), X.strip_tags(html).alias("text"), pick(html, '<html lang="([a-z]+)"').alias("label"), F.regexp_extract("url", "://([^/:?#]+)", 1).alias("origin"), X.collapse(F.regexp_extract(html, "<title>([^<]*)</title>", 1)).alias("line"), none.alias("end")))
+    rows = rows.unionByName(talk.select(key("c", "conv_id"), F.lit("conversation").alias("kind"), "text", C("role").alias("label"), C("n").cast("string").alias("origin"), line.alias("line"), C("last").alias("end")))
     text = C("text")
-    sentences = X.sentences(text)
-    good = F.filter("sentences", lambda s: F.length(s) >= 40)
-    action = F.get(F.filter("sentences", lambda s: s.rlike(ACTION)), F.lit(0))
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (C("doc_id") % len(KINDS)).cast("int") + 1)
-    extract = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    d = t.documents.withColumn("sentences", sentences).withColumn("good", good).withColumn("act", action)
+    d = rows.withColumn("sentences", X.sentences(text)).withColumn("good", F.filter("sentences", lambda s: F.length(s) >= 40)).withColumn("act", F.get(F.filter("sentences", lambda s: s.rlike(ACTION)), F.lit(0)))
     return d.select(
-        "doc_id",
-        kind.alias("kind"),
-        F.initcap("lang").alias("label"),
-        C("source").alias("origin"),
-        extract("([0-9]{3,})").alias("number"),
-        extract("([0-9]{4}-[0-9]{2}-[0-9]{2})").alias("date"),
-        extract("([A-Z][a-z]+ License)").alias("law"),
+        "key",
+        "kind",
+        F.length(text).alias("length"),
+        "label",
+        "origin",
+        pick(text, "([0-9]{3,})").alias("number"),
+        pick(text, "([A-Z][a-z]+ License)").alias("law"),
         F.when(text.contains("icense"), "licensing").when(text.contains("@"), "contact").alias("topic"),
         X.summary_cut(F.coalesce(F.get("good", F.lit(0)), "act", "text"), 220).alias("first"),
         X.summary_cut(F.get("good", F.lit(1)), 220).alias("second"),
         X.summary_cut(C("act"), 220).alias("action"),
-        X.summary_cut(F.substring_index("text", "\n", 1), 180).alias("title"),
+        X.summary_cut(C("line"), 180).alias("title"),
+        X.summary_cut(C("end"), 220).alias("last"),
     )
 
 
-NAMES = ["label", "origin", "number", "date", "law", "topic", "first", "second", "action", "title"]
+NAMES = ["label", "origin", "number", "law", "topic", "first", "second", "action", "title", "last"]
 
 
 def summarised(t):
     """values with `summary` (a map) and `line` (the short one)."""
-    v = values(t).withColumn("summary", S.structured(C("kind"), {n: C(n) for n in NAMES}))
-    return v.withColumn("line", S.short(C("kind"), C("summary"), C("first")))
+    v = values(t).withColumn("summary", S.structured(C("kind"), {n: C(n) for n in NAMES}, VARIANTS))
+    return v.withColumn("line", S.short(C("kind"), C("summary"), C("first"), SHORT))
 
 
-@query("X16_structured_summary", f"WITH {VALUES} SELECT doc_id, kind, {lines_sql()} AS summary, {short_sql()} AS line FROM b")
+@query("X16_structured_summary", f"WITH {VALUES} SELECT key, kind, {lines_sql()} AS summary, {short_sql()} AS line FROM b")
 def structured_summary(t):
     filled = F.filter(F.map_entries("summary"), lambda e: e["value"].isNotNull())
-    return summarised(t).select("doc_id", "kind", F.array_join(F.transform(filled, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n").alias("summary"), "line")
+    return summarised(t).select("key", "kind", F.array_join(F.transform(filled, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n").alias("summary"), "line")
 
 
-ALLOWED = "CASE kind " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(f) for f, *_ in v)}]" for k, v in S.VARIANTS.items()) + " END"
+ALLOWED = "CASE kind " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(f) for f, *_ in v)}]" for k, v in VARIANTS.items()) + " END"
+#: A payload of each kind; rows whose text's length is divisible by three get a
+#: field more that no kind has.
+GIVEN = {"document": {"lead": "  a   lead ", "figure": ""}, "page": {"headline": " new\n headline", "host": "x"}, "conversation": {"request": "", "answer": " \t"}}
+PAYLOAD = "CASE kind " + " ".join(f"WHEN '{k}' THEN MAP {{{', '.join(f'{f!r}: {v!r}' for f, v in m.items())}}}".replace("\\n", "' || chr(10) || '").replace("\\t", "' || chr(9) || '") for k, m in GIVEN.items()) + " END"
 
 
-@query("X17_validated_summary", f"""WITH {VALUES}, p AS (SELECT doc_id, kind, map_concat(MAP {{'theme': '  a   theme ', 'number': ''}}, CASE WHEN kind IN ('norm', 'ruling') THEN MAP {{'number': ' 12 '}} WHEN doc_id % 3 = 0 THEN MAP {{'note': 'x'}} ELSE MAP {{'theme': origin}} END) AS m, {ALLOWED} AS allowed FROM b),
-g AS (SELECT doc_id, CASE WHEN kind IN ('norm', 'ruling') THEN map_from_entries([('number', ' 12 ')]) ELSE m END AS m, allowed FROM p),
-k AS (SELECT doc_id, m, allowed, len(list_filter(map_keys(m), lambda x: NOT list_contains(allowed, x))) = 0 AS valid FROM g)
-SELECT doc_id, valid, CASE WHEN valid THEN array_to_string(list_filter(list_transform(allowed, lambda f: f || '=' || nullif(trim(regexp_replace(coalesce(m[f], ''), '\\s+', ' ', 'g')), '')), lambda x: x IS NOT NULL), ';') END AS fields FROM k""")
+@query("X17_validated_summary", f"""WITH {VALUES}, g AS (SELECT key, length(text) % 3 <> 0 AS valid, {PAYLOAD} AS m, {ALLOWED} AS allowed FROM b)
+SELECT key, valid, CASE WHEN valid THEN array_to_string(list_filter(list_transform(allowed, lambda f: f || '=' || nullif(trim(regexp_replace(coalesce(m[f], ''), '\\s+', ' ', 'g')), '')), lambda x: x IS NOT NULL), ';') END AS fields FROM g""")
 def validated_summary(t):
-    """A payload for each document, some with a field that its kind lacks."""
-    v = values(t)
-    own = F.when(C("kind").isin("norm", "ruling"), F.create_map(F.lit("number"), F.lit(" 12 ")))
-    theme = F.when(C("doc_id") % 3 == 0, F.lit("  a   theme ")).otherwise(C("origin"))
-    base = F.create_map(F.lit("theme"), theme, F.lit("number"), F.lit(""))
-    other = F.when(C("doc_id") % 3 == 0, F.map_concat(base, F.create_map(F.lit("note"), F.lit("x")))).otherwise(base)
-    payload = F.to_json(F.coalesce(own, other))
-    m = v.select("doc_id", S.validated(C("kind"), payload).alias("m"))
+    """Payloads with single spaces and known fields; those with an unknown field
+    are refused."""
+    given = F.lit(None).cast("map<string,string>")
+    for kind, fields in GIVEN.items():
+        given = F.when(C("kind") == kind, F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])).otherwise(given)
+    payload = F.to_json(F.when(C("length") % 3 == 0, F.map_concat(given, F.create_map(F.lit("note"), F.lit("x")))).otherwise(given))
+    m = values(t).select("key", S.validated(C("kind"), payload, VARIANTS).alias("m"))
     filled = F.filter(F.map_entries("m"), lambda e: e["value"].isNotNull())
-    return m.select("doc_id", C("m").isNotNull().alias("valid"), F.array_join(F.transform(filled, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
+    return m.select("key", C("m").isNotNull().alias("valid"), F.array_join(F.transform(filled, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
 
 
-FILLED = "CASE kind " + " ".join(f"WHEN '{k}' THEN 2 * ({' + '.join(f'CAST({x} IS NOT NULL AS INT)' for x in field_sql(k).values())}) < {len(v)}" for k, v in S.VARIANTS.items()) + " END"
+FEW = "CASE kind " + " ".join(f"WHEN '{k}' THEN 2 * ({' + '.join(f'CAST({x} IS NOT NULL AS INT)' for x in field_sql(k).values())}) < {len(v)}" for k, v in VARIANTS.items()) + " END"
 
 
-@query("X21_semantic_projection", f"""WITH {VALUES}, s AS (SELECT doc_id, kind, CASE WHEN kind = 'ruling' THEN 'Ruling ' || coalesce(number || ' ', '') || 'of ' || origin || '. ' || coalesce(action, first) ELSE {short_sql()} END AS line, topic, number, {FILLED} AS few FROM b),
-f AS (SELECT doc_id, kind, line, list_filter([CASE WHEN coalesce(length(line), 0) < 30 THEN 'short_summary' END, CASE WHEN few THEN 'few_fields' END, CASE WHEN topic IS NULL THEN 'no_topics' END, CASE WHEN number IS NULL THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS flags FROM s)
-SELECT doc_id, line, array_to_string(flags, ',') AS flags, CASE len(flags) WHEN 0 THEN 'accepted' WHEN 1 THEN 'review' ELSE 'rejected' END AS status, CASE WHEN kind = 'ruling' THEN 'rebuilt' ELSE 'passed' END AS mode FROM f""")
+@query("X21_semantic_projection", f"""WITH {VALUES}, s AS (SELECT key, kind, CASE WHEN kind = 'conversation' THEN origin || ' turns: ' || first || coalesce(' / ' || {field_sql('conversation')['answer']}, '') ELSE {short_sql()} END AS line, topic, number, {FEW} AS few FROM b),
+f AS (SELECT key, kind, line, list_filter([CASE WHEN coalesce(length(line), 0) < 30 THEN 'short_summary' END, CASE WHEN few THEN 'few_fields' END, CASE WHEN topic IS NULL THEN 'no_topics' END, CASE WHEN number IS NULL THEN 'low_confidence' END], lambda x: x IS NOT NULL) AS flags FROM s)
+SELECT key, line, array_to_string(flags, ',') AS flags, CASE len(flags) WHEN 0 THEN 'accepted' WHEN 1 THEN 'review' ELSE 'rejected' END AS status, CASE WHEN kind = 'conversation' THEN 'rebuilt' ELSE 'passed' END AS mode FROM f""")
 def semantic_projection(t):
-    """Summaries pass through, but those of rulings are built anew; then flags,
-    and the status they give."""
-    ruling = C("kind") == "ruling"
-    built = F.concat(F.lit("Ruling "), F.coalesce(F.concat("number", F.lit(" ")), F.lit("")), F.lit("of "), "origin", F.lit(". "), F.coalesce("action", "first"))
-    s = summarised(t).withColumn("line", F.when(ruling, built).otherwise(C("line")))
+    """Summaries pass through, but the line of a conversation is built anew; then
+    flags, and the status they give."""
+    talk = C("kind") == "conversation"
+    built = F.concat("origin", F.lit(" turns: "), "first", F.coalesce(F.concat(F.lit(" / "), F.element_at("summary", "answer")), F.lit("")))
+    s = summarised(t).withColumn("line", F.when(talk, built).otherwise(C("line")))
     found = S.flags(C("line"), C("summary"), F.array_compact(F.array("topic")), F.when(C("number").isNull(), 0.3).otherwise(0.9))
     s = s.withColumn("flags", found)
-    return s.select("doc_id", "line", F.array_join("flags", ",").alias("flags"), S.status(C("flags")).alias("status"), F.when(ruling, "rebuilt").otherwise("passed").alias("mode"))
+    return s.select("key", "line", F.array_join("flags", ",").alias("flags"), S.status(C("flags")).alias("status"), F.when(talk, "rebuilt").otherwise("passed").alias("mode"))
 
 
 @query("F10_cut_limits", f"SELECT doc_id, {cut_sql('text', 320)} AS long, {cut_sql('text', 120)} AS short FROM documents")
