@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions.stem import analysed
 from docloom.operators.dedup import keep_greedy
+from docloom.operators.retrieval import of_asked
 from docloom.registry import query
 
 C = F.col
@@ -90,9 +91,10 @@ def trending_score(t):
 
 @query("R33_more_like_this", f"WITH w AS (SELECT doc_id, unnest(list_distinct({TOK})) AS term FROM documents), d AS (SELECT term, count(*) df FROM w GROUP BY 1), q AS (SELECT item_id, unnest(list_distinct({TOK})) AS term FROM benchmark), s AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) rn FROM q JOIN d USING (term) WHERE df >= 2) WHERE rn <= 5), h AS (SELECT item_id, doc_id, count(*) AS shared FROM s JOIN w USING (term) GROUP BY ALL) SELECT item_id, doc_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) rn FROM h) WHERE rn <= 10")
 def more_like(t):
-    """Documents that share the passage's five rarest terms."""
-    w = t.documents.select("doc_id", F.explode(F.array_distinct(X.tokens(C("text")))).alias("term"))
+    """Documents that share the passage's five rarest terms. Other words than those
+    of passages are gone before rows are made of them."""
     q = t.benchmark.select("item_id", F.explode(F.array_distinct(X.tokens(C("text")))).alias("term"))
+    w = of_asked(t.documents.select("doc_id", F.array_distinct(X.tokens(C("text"))).alias("w")), q, "doc_id")
     df = w.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2")
     rn = F.row_number().over(W.partitionBy("item_id").orderBy("df", "term"))
     rare = q.join(df, "term").withColumn("rn", rn).filter("rn <= 5").select("item_id", "term")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import retrieval as R
+from docloom.operators.lineage import cut
 from docloom.operators.vectors import nearest_in_blocks
 from docloom.registry import query
 
@@ -190,11 +191,17 @@ def substring_match(t):
 
 @query("J15_token_overlap", f"WITH p AS (SELECT item_id, list_distinct({TOK}) AS a FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents), e AS (SELECT item_id, len(a) AS n, unnest(a) AS term FROM p) SELECT item_id, doc_id, round(count(*) / any_value(n), 4) AS overlap FROM e JOIN w USING (term) GROUP BY ALL HAVING count(*) / any_value(n) >= 0.66")
 def overlap(t):
-    """An equality join on single terms, counted: no pairing of all rows. Words
-    that no passage has are dropped inside the rows."""
+    """By the rarest words first: a document with 0.66 of a passage's n words has
+    one of any n - ceil(0.66 n) + 1 of them, so only so many, the rarest, are
+    joined, and what they find is compared in full. Words that no passage has
+    are dropped inside the rows."""
     e = t.benchmark.select("item_id", F.array_distinct(X.tokens(C("text"))).alias("a")).select("item_id", F.size("a").alias("n"), F.explode("a").alias("term"))
-    w = R.of_asked(t.documents.select("doc_id", F.array_distinct(X.tokens(C("text"))).alias("w")), e, "doc_id")
-    g = e.join(w, "term").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("o"))
+    w = cut(R.of_asked(t.documents.select("doc_id", F.array_distinct(X.tokens(C("text"))).alias("w")), e, "doc_id"))
+    df = w.groupBy("term").agg(F.count("*").alias("df"))
+    rarity = F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
+    e = cut(e.join(df, "term", "left").withColumn("rarity", rarity))
+    near = e.filter(C("rarity") <= C("n") - F.ceil(0.66 * C("n") - 1e-9) + 1).join(w, "term").select("item_id", "doc_id").distinct()
+    g = near.join(e.select("item_id", "n", "term"), "item_id").join(w, ["doc_id", "term"]).groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("o"))
     return g.filter("o >= 0.66").select("item_id", "doc_id", F.round("o", 4).alias("overlap"))
 
 

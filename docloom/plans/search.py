@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.operators import embedding as B
 from docloom.operators import hybrid as H
+from docloom.operators import outline
 from docloom.operators import vectors as V
 from docloom.operators.feedback import learned, step
 from docloom.operators.phrases import phrase_prefix
@@ -200,3 +201,35 @@ def until_old_events(t):
     since = F.lit(t.events.agg(F.max("ts") - F.expr("interval 10 days")).first()[0])
     listing = t.events.select("user_id", "event_type", "event_id", "ts", F.struct("user_id", "event_type").alias("key"), (-C("event_id")).alias("place"))
     return until_old(listing, "place", "key", "ts", since, 100).select("user_id", "event_type", "event_id", "page")
+
+
+_HEAD, _SYM = r"^ {0,3}(#{1,6})\s+(\S.*)$", outline.SYMBOL.replace("'", "''")
+_AT = ", ".join(f"coalesce(last_value(CASE WHEN level = {n} THEN p END IGNORE NULLS) OVER w, -1) AS at{n}, last_value(CASE WHEN level = {n} THEN title END IGNORE NULLS) OVER w AS title{n}" for n in range(1, 7))
+_PATH = ", ".join(f"CASE WHEN at{n} >= 0 AND greatest(-1, {', '.join(['-1', *[f'at{k}' for k in range(1, n)]])}) < at{n} THEN title{n} END" for n in range(1, 7))
+
+
+@query(
+    "R26_outline_chunks",
+    rf"""WITH t AS (SELECT doc_id AS id, list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i = 1 THEN '# ' || l WHEN length(l) BETWEEN 1 AND 60 THEN '## ' || l ELSE l END) AS lines FROM documents),
+l AS (SELECT id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS p FROM t),
+h AS (SELECT id, p, line, length(regexp_extract(line, '{_HEAD}', 1)) AS level, trim(regexp_extract(line, '{_HEAD}', 2), ' ') AS title, nullif(regexp_extract(line, '{_SYM}', 1), '') AS symbol FROM l),
+s AS (SELECT *, {_AT}, sum(CAST(level > 0 OR symbol IS NOT NULL AS INT)) OVER w AS section FROM h WINDOW w AS (PARTITION BY id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT id, p, line, section, symbol, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ' > ') AS path, floor(coalesce(sum(length(line) + 1) OVER (PARTITION BY id, section ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000) AS piece FROM s),
+g AS (SELECT id, min(p) AS start, max(p) AS stop, arg_min(path, p) AS path, trim(string_agg(line, chr(10) ORDER BY p), ' ') AS text FROM c GROUP BY id, section, piece),
+f AS (SELECT *, length(text) < 200 AS small FROM g WHERE NOT regexp_full_match(text, '\s*')),
+k AS (SELECT *, coalesce(CAST(NOT small OR NOT lag(small) OVER (PARTITION BY id ORDER BY start) AS INT), 1) AS change FROM f),
+r AS (SELECT *, sum(change) OVER (PARTITION BY id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM k),
+q AS (SELECT *, CASE WHEN small THEN floor(coalesce(sum(length(text)) OVER (PARTITION BY id, run ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 200) ELSE 0 END AS part FROM r),
+m AS (SELECT id, arg_min(path, start) AS path, min(start) AS start, max(stop) AS stop, string_agg(text, chr(10) || chr(10) ORDER BY start) AS text FROM q GROUP BY id, run, part),
+i AS (SELECT *, round(len(regexp_extract_all(text, '{outline.TELLING}')) / len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ')), 6) AS importance FROM m),
+e AS (SELECT *, lag(start) OVER (PARTITION BY id ORDER BY start) IS NULL OR lead(start) OVER (PARTITION BY id ORDER BY start) IS NULL AS edge FROM i),
+x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edge DESC, importance DESC, start) AS rank FROM e)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS seq, path, start + 1 AS start, stop + 1 AS stop, md5(text) AS text, importance FROM x WHERE rank <= 12""",
+)
+def outline_of_documents(t):
+    """Documents whose first line is a heading, and short lines are headings below
+    it; at most twelve chunks each."""
+    lines = F.transform(F.split("text", "\n"), lambda l, i: F.when(i == 0, F.concat(F.lit("# "), l)).when(F.length(l).between(1, 60), F.concat(F.lit("## "), l)).otherwise(l))  # noqa: E741
+    docs = t.documents.select("doc_id", F.array_join(lines, "\n").alias("text"))
+    out = outline.outline_chunks(docs, "doc_id", "text", 1000, 200, 12)
+    return out.select("id", C("seq").cast("long"), "path", C("start").cast("long"), C("end").cast("long").alias("stop"), F.md5("text").alias("text"), "importance")
