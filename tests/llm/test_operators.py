@@ -265,11 +265,49 @@ def test_html_names_do_not_drop_text():
     assert main_text(page) == "\n".join(["Title", *[body.strip()] * 3])
 
 
+P = "A long paragraph, with words; and signs. " * 7 + "End."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p>See <span class="ad">AD</span> this text, ok.</p>', "See this text, ok."),
+        ("<p>x<span hidden>no</span>y <a class=share>Share</a>z</p>", "xy z"),
+        (f'<body><form id="aspnetForm"><h1>T</h1><p>{P}</p><p>{P}</p><input value=x><label>Name</label></form>', f"T\n{P}\n{P}"),
+        (f"<article><p>{P}</p><form>Mail <input> <button>Send</button></form></article>", P),
+        (f'<article class="page"><h1>T</h1><article class="post"><p>{P}</p></article></article>', f"T\n{P}"),
+        (f"<article><p>{P}</p><article><p>{P}</p></article></article>", P),
+        (f'<article><h1>T</h1><p>{P}</p><section class="related"><p>{P}</p></section><section id="search"><p>{P}</p></section><div class="menu"><a>Home</a></div></article>', f"T\n{P}\n{P}\n{P}"),
+        (f'<div class="content"><h1>Main</h1><p>{P}</p><p>{P}</p></div><article>Teaser one, read</article><article>Teaser two, read</article>', f"Main\n{P}\n{P}"),
+        (f'<div class="entry"><h1>T</h1><div class="meta">By A</div><div class="txt"><p>{P}</p></div></div><div class="promo">Buy our things, now.</div>', f"T\nBy A\n{P}"),
+        (f"<div class='header'>Site</div><article><div class='header'><h1>T</h1></div><p>{P}</p></article>", f"T\n{P}"),
+        ("<p>Before <img src=x> after</p>", "Before after"),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>", "Let x=1 be."),
+    ],
+)
+def test_html_by_hand(page, want):
+    from docloom.llm.html_text import main_text
+
+    assert main_text(page) == want
+
+
+def test_html_threshold_decides_in_articles():
+    """Which parts of an article go is a matter of their ratios: a box of links
+    with few other words."""
+    from docloom.llm.html_text import main_text
+
+    page = f"<article><h1>T</h1><p>{P}</p><p>{P}</p><div class=box><a href=1>One more of these here</a> and <a href=2>another of them</a></div></article>"
+    assert main_text(page) == f"T\n{P}\n{P}"
+    assert main_text(page, 0.0).endswith("and another of them")
+    prose = page.replace("and", f"and {P}")
+    assert main_text(prose).endswith("another of them")
+
+
 def test_html_ratios_by_brute_force():
     """Well-formed pages without names, through another parser and plain sums."""
     from html.parser import HTMLParser
 
-    from docloom.llm.html_text import PUNCTUATION, SCOPES, main_text
+    from docloom.llm.html_text import PROSE, PUNCTUATION, SCOPES, main_text
 
     class Blocks(HTMLParser):
         def __init__(self, page):
@@ -311,8 +349,13 @@ def test_html_ratios_by_brute_force():
             fused.append(f)
         ratio = {p: np.mean([f for q, f in zip(paths, fused, strict=True) if q == p]) for p in paths}
         content = {p for p in paths if ratio[p] >= 0.1 * max(ratio.values())}
-        inside = {p if p[-1][0] in SCOPES else p[:-1] for p in content}
-        want = [t for p, t, _ in found if p in content or any(p[: len(c)] == c for c in inside)]
+        box = lambda p: p if p[-1][0] in SCOPES else p[:-1]
+        free = lambda t, linked: 0 if linked else len(t)
+        held = {box(p): sum(free(t, k) for q, t, k in found if box(q) == box(p) and q in content) for p in paths}
+        main = next(c for c in held if held[c] == max(held.values()))
+        full = {box(p) for p, t, k in found if p in content and free(t, k) >= PROSE and PUNCTUATION.search(t)}
+        inside = {main} | (full & {box(p) for p in content})
+        want = [t for p, t, _ in found if any(p[: len(c)] == c for c in inside)]
         assert main_text(page) == "\n".join(want)
         cut += len(want) < len(found)
     assert cut >= 5
