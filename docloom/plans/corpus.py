@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.functions.regions import stems
 from docloom.functions.stem import analysed
 from docloom.operators.dedup import keep_greedy
 from docloom.operators.retrieval import of_asked
@@ -54,10 +55,31 @@ def line_windows(t):
     return d.select("doc_id", "seq", F.md5(F.array_join(F.slice("l", C("seq") * 68 + 1, 80), "\n")).alias("chunk"))
 
 
-@query("R28_blob_segments", r"SELECT doc_id, CASE WHEN n_chars >= 15000 AND len(regexp_extract_all(text, '\n')) >= 2 THEN len(regexp_extract_all(text, '\n')) + 1 ELSE 1 END AS segments FROM documents")
+#: A line of at most 60 characters, which is taken for a header.
+HEADER = r"(?m)^[^\n]{1,60}$"
+
+
+@query("R28_blob_segments", rf"""WITH d AS (SELECT doc_id, text, string_split(regexp_replace(text, '{HEADER}', chr(1) || '\0', 'g'), chr(1)) AS s FROM documents),
+x AS (SELECT doc_id, CASE WHEN length(text) >= 3000 AND len(s) > 2 THEN list_filter(s[2:], lambda p: trim(p, chr(10) || ' ') <> '') ELSE [text] END AS parts, length(text) >= 3000 AND len(s) > 2 AS split FROM d)
+SELECT doc_id, i AS segment, CASE WHEN split THEN doc_id || '_seg' || i ELSE CAST(doc_id AS VARCHAR) END AS id, CASE WHEN split THEN string_split(parts[i], chr(10))[1] END AS header, md5(trim(parts[i], chr(10) || ' ')) AS text FROM x, unnest(range(1, len(parts) + 1)) u(i)""")
 def blob(t):
-    heads = F.size(F.regexp_extract_all("text", F.lit("\n"), 0))
-    return t.documents.select("doc_id", F.when((C("n_chars") >= 15000) & (heads >= 2), heads + 1).otherwise(1).cast("long").alias("segments"))
+    """Long documents with two headers or more are cut at each, from the first
+    on; a segment has an id of its own. Others stay whole."""
+    cuts = F.split(F.regexp_replace("text", f"({HEADER})", "\x01$1"), "\x01")
+    d = t.documents.select("doc_id", "text", cuts.alias("s")).withColumn("cut", (F.length("text") >= 3000) & (F.size("s") > 2))
+    blank = lambda p: F.trim(p, F.lit("\n "))
+    parts = F.when(C("cut"), F.filter(F.slice("s", F.lit(2), F.size("s")), lambda p: blank(p) != "")).otherwise(F.array("text"))
+    x = d.select("doc_id", "cut", F.posexplode(parts).alias("i", "part")).withColumn("segment", (C("i") + 1).cast("long"))
+    key = C("doc_id").cast("string")
+    return x.select("doc_id", "segment", F.when(C("cut"), F.concat(key, F.lit("_seg"), C("segment").cast("string"))).otherwise(key).alias("id"), F.when(C("cut"), F.substring_index("part", "\n", 1)).alias("header"), F.md5(blank(C("part"))).alias("text"))
+
+
+@query("F05_region_stems")
+def region_stems(t):
+    """Stems of the English documents' words, by the measure of what an ending
+    leaves; counted by word first, so that each word is stemmed once."""
+    words = t.documents.filter("lang = 'en'").select(F.explode(X.tokens(C("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter(~C("term").isin(X.STOP))
+    return words.join(stems(words), "term").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 @query("T07_best_then_categories", "WITH r AS (SELECT o_orderpriority p, o_orderkey k, o_totalprice v FROM orders), b AS (SELECT k FROM r ORDER BY v DESC, k LIMIT 1) SELECT 'all' AS category, k AS o_orderkey FROM b UNION ALL SELECT p, k FROM (SELECT p, k, row_number() OVER (PARTITION BY p ORDER BY v DESC, k) rn FROM r WHERE k NOT IN (SELECT k FROM b)) WHERE rn = 1")

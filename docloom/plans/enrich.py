@@ -248,12 +248,6 @@ def keep_old(t):
     return j.select("doc_id", F.coalesce("n", "source").alias("etag"))
 
 
-@query("K13_router", "SELECT CASE WHEN lang = 'en' THEN 'english' WHEN n_chars > 2000 THEN 'long_foreign' ELSE 'short_foreign' END AS target, count(*) AS n FROM documents GROUP BY 1")
-def router(t):
-    target = F.when(C("lang") == "en", "english").when(C("n_chars") > 2000, "long_foreign").otherwise("short_foreign")
-    return t.documents.groupBy(target.alias("target")).agg(F.count("*").alias("n"))
-
-
 @query("P18_allow_list", "SELECT DISTINCT source FROM documents WHERE source IN (SELECT trim(unnest(string_split('src1, src2,src7 ,nope', ','))))")
 def allow_list(t):
     allowed = [s.strip() for s in "src1, src2,src7 ,nope".split(",")]

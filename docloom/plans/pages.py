@@ -44,11 +44,26 @@ def range_scan(t):
     return t.documents.filter("n_chars >= 500 and n_chars < 5000").select("doc_id")
 
 
-@query("S18_routed_lookup", "SELECT id, CASE WHEN starts_with(id, 'D-') THEN 'document' ELSE 'page' END AS kind FROM (SELECT 'D-' || doc_id AS id FROM documents UNION ALL SELECT 'P-' || page_id FROM pages)")
+@query("S18_routed_lookup", """WITH a AS (SELECT unnest(['DOC-' || conv_id, 'PAGE-' || conv_id, CAST(conv_id AS VARCHAR)]) AS id FROM (SELECT DISTINCT conv_id FROM conversations)),
+k AS (SELECT id, CASE WHEN starts_with(id, 'DOC-') THEN 'document' WHEN starts_with(id, 'PAGE-') THEN 'page' ELSE 'passage' END AS kind, CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n FROM a)
+SELECT id, kind, CASE kind WHEN 'document' THEN left(d.text, 80) WHEN 'page' THEN p.url ELSE left(b.text, 80) END AS title, CASE kind WHEN 'document' THEN d.lang WHEN 'page' THEN CAST(length(p.html) AS VARCHAR) END AS detail, CASE WHEN d.doc_id IS NULL AND p.page_id IS NULL AND b.item_id IS NULL THEN 404 ELSE 200 END AS status
+FROM k LEFT JOIN documents d ON kind = 'document' AND d.doc_id = n LEFT JOIN pages p ON kind = 'page' AND p.page_id = n LEFT JOIN benchmark b ON kind = 'passage' AND b.item_id = n""")
 def routed(t):
-    d = t.documents.select(F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("id"))
-    p = t.pages.select(F.concat(F.lit("P-"), F.col("page_id").cast("string")).alias("id"))
-    return d.unionByName(p).select("id", F.when(F.col("id").startswith("D-"), "document").otherwise("page").alias("kind"))
+    """Asked ids are sent by their prefix to one of three tables, each of which
+    is read for its own ids and shown in its own way; unknown ones are 404."""
+    C = F.col
+    asked = t.conversations.select("conv_id").distinct().select(F.explode(F.array(*[F.concat(F.lit(p), C("conv_id").cast("string")) for p in ("DOC-", "PAGE-", "")])).alias("id"))
+    kind = F.when(C("id").startswith("DOC-"), "document").when(C("id").startswith("PAGE-"), "page").otherwise("passage")
+    asked = asked.select("id", kind.alias("kind"), F.regexp_extract("id", "([0-9]+)$", 1).cast("long").alias("n"))
+    none = F.lit(None).cast("string")
+    shown = {
+        "document": t.documents.select(C("doc_id").alias("n"), F.substring("text", 1, 80).alias("title"), C("lang").alias("detail")),
+        "page": t.pages.select(C("page_id").alias("n"), C("url").alias("title"), F.length("html").cast("string").alias("detail")),
+        "passage": t.benchmark.select(C("item_id").alias("n"), F.substring("text", 1, 80).alias("title"), none.alias("detail")),
+    }
+    parts = [asked.filter(C("kind") == k).join(rows.withColumn("known", F.lit(200)), "n", "left") for k, rows in shown.items()]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found.select("id", "kind", "title", "detail", F.coalesce("known", F.lit(404)).alias("status"))
 
 
 @query("S19_id_file", "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1")

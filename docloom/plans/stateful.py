@@ -132,3 +132,13 @@ def tsv(t):
     back = t.events.sparkSession.read.option("sep", "\t").option("header", True).csv(out)
     rest = F.from_json("rest", "value double, user_id long")
     return back.select("event_id", "event_type", F.round(rest["value"], 4).alias("value"), rest["user_id"].alias("user_id"))
+
+
+@query("K13_router", "SELECT CASE WHEN lang = 'en' THEN 'english' WHEN n_chars > 2000 THEN 'long_foreign' ELSE 'short_foreign' END AS target, doc_id, md5(text) AS text FROM documents")
+def router(t):
+    """One table is written as three, by predicate, and these are read."""
+    out = folder(t.documents)
+    target = F.when(C("lang") == "en", "english").when(C("n_chars") > 2000, "long_foreign").otherwise("short_foreign")
+    files.route(t.documents.withColumn("target", target), out, "target")
+    parts = [t.documents.sparkSession.read.schema("doc_id long, text string").parquet(f"{out}/target={x}").withColumn("target", F.lit(x)) for x in ("english", "long_foreign", "short_foreign")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("target", "doc_id", F.md5("text").alias("text"))
