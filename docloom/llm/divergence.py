@@ -99,9 +99,11 @@ def summed(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame
 
 
 def level(n: str) -> Column:
-    """1 + floor(SCALE * (n + 5) / (total + 5 v)) in whole numbers; 0 if a
-    language has no terms."""
-    return F.when(F.col("v") == 0, 0).otherwise(F.expr(f"1 + (cast({SCALE} as decimal(38, 0)) * ({n} + 5)) div (total + 5 * v)")).cast("long")
+    """1 + floor(SCALE * (n + 5) / (total + 5 v)) in whole numbers, as decimals
+    where the product does not fit into 64 bits; 0 if a language has no terms."""
+    short = F.expr(f"1 + ({SCALE}L * ({n} + 5)) div (total + 5 * v)")
+    long = F.expr(f"1 + (cast({SCALE} as decimal(38, 0)) * ({n} + 5)) div (total + 5 * v)")
+    return F.when(F.col("v") == 0, 0).when(F.expr(f"{n}") < 9_000_000_000, short).otherwise(long).cast("long")
 
 
 def compare(tile: int, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

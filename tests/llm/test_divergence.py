@@ -80,6 +80,15 @@ def test_estimates_models(spark):
     assert models_needed(docs.withColumn("words", F.lit(None).cast("array<string>")), 30, 70_000) == 1  # by the number of words alone
 
 
+def test_level(spark):
+    """Exact also where the product is beyond 64 bits."""
+    from docloom.llm.divergence import level
+
+    rows = [(n, n + 7, v) for n in (0, 3, 10**6 + 1, 8_999_999_999, 9_000_000_000, 10**12 + 7, 10**17 + 3) for v in (0, 1, 31)]
+    for r in spark.createDataFrame(rows, "n long, total long, v long").select("*", level("n").alias("p")).collect():
+        assert r.p == (1 + 1_000_000_000 * (r.n + 5) // (r.total + 5 * r.v) if r.v else 0)
+
+
 def test_empty(spark):
     from docloom.llm.divergence import audit
 
