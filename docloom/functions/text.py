@@ -20,7 +20,9 @@ def fold(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    return F.regexp_extract_all(fold(x), F.lit("[a-z0-9]+"), 0)
+    """Runs of letters a-z and digits, folded. Cutting a text between them is
+    several times faster than extracting each."""
+    return F.array_remove(F.split(fold(x), "[^a-z0-9]+"), "")
 
 
 def n_tokens(x: Column) -> Column:

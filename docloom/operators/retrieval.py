@@ -11,7 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import n_tokens, tokens
+from docloom.functions.text import tokens
+from docloom.operators.lineage import cut
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,16 +26,33 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 MOST_TERMS = 20_000
 
 
-def of_asked(words: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:
-    """(keep, term): the words of array column w that are in asked(term), which
-    are letters, digits and spaces. Up to MOST_TERMS of them are named in the plan, so
-    other words are gone before rows are made of them; more are joined."""
+def asked_terms(asked: DataFrame) -> list[str] | None:
+    """The distinct terms asked for, if they can be named in a plan: up to
+    MOST_TERMS of letters, digits and spaces."""
     terms = [r.term for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    if len(terms) > MOST_TERMS or not all(re.fullmatch('[a-zA-Z0-9 ]+', x) for x in terms):
+    return sorted(terms) if len(terms) <= MOST_TERMS and all(re.fullmatch("[a-zA-Z0-9 ]+", x) for x in terms) else None
+
+
+def asked_words(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """words with only those of array column w that are in asked(term), where
+    the terms can be named in the plan; else with all."""
+    terms = asked_terms(asked)
+    if terms is None:
+        return words
+    named = ", ".join(f"'{x}'" for x in terms)
+    return words.withColumn("w", F.expr(f"filter(w, x -> x IN ({named}))" if terms else "slice(w, 1, 0)"))
+
+
+def of_asked(words: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term): the words of array column w that are in asked(term). Where
+    the terms can be named in the plan, other words are gone before rows are
+    made of them; else the terms are joined."""
+    terms = asked_terms(asked)
+    if terms is None:
         return words.select(*keep, F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").select(*keep, "term")
     if not terms:
         return words.select(*keep, F.explode("w").alias("term")).limit(0)
-    named = ", ".join(f"'{x}'" for x in sorted(terms))
+    named = ", ".join(f"'{x}'" for x in terms)
     # explode would filter by the array first, and so tokenize twice
     return words.select(*keep, F.explode_outer(F.expr(f"filter(w, x -> x IN ({named}))")).alias("term")).filter("term is not null")
 
@@ -45,9 +63,10 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: fl
     queries: (query_id, term). Higher is better. Document frequencies come from
     the filtered postings; document number and mean length are one row each.
     """
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    total = docs.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col(text_col))).alias("mean"))
-    found = of_asked(words.withColumn("len", F.size("w")), queries, "id", "len")
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
+    held = cut(asked_words(words, queries))  # texts are tokenized once
+    total = held.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    found = held.select("id", "len", F.explode("w").alias("term"))
     found = found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     each = found.join(df, "term").crossJoin(F.broadcast(total))  # one row
