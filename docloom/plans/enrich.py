@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import enrich as E
+from docloom.operators.retrieval import of_asked
 from docloom.registry import query
 
 C = F.col
 TOK = "regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')"
 
 
-@query("J10_postings_lookup", f"WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL), q AS (SELECT DISTINCT {TOK}[1] AS term FROM benchmark) SELECT doc_id, p.term, tf, d.lang FROM p JOIN q USING (term) JOIN documents d USING (doc_id)")
+@query("J10_postings_lookup", f"WITH q AS (SELECT DISTINCT unnest({TOK}) AS term FROM benchmark), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL) SELECT doc_id, p.term, tf, d.lang FROM p JOIN q USING (term) JOIN documents d USING (doc_id)")
 def postings_lookup(t):
-    from docloom.operators.retrieval import postings
-
-    q = t.benchmark.select(F.element_at(X.tokens(C("text")), 1).alias("term")).distinct()
-    p = postings(t.documents, "doc_id", "text").join(q, "term").select(C("id").alias("doc_id"), "term", "tf")
-    return p.join(t.documents.select("doc_id", "lang"), "doc_id")
+    """Where each word of the passages stands, with a field of the document that
+    travels with its words."""
+    q = t.benchmark.select(F.explode(X.tokens(C("text"))).alias("term")).distinct()
+    words = of_asked(t.documents.select("doc_id", "lang", X.tokens(C("text")).alias("w")), q, "doc_id", "lang")
+    return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("lang").alias("lang")).select("doc_id", "term", "tf", "lang")
 
 
 @query("J11_vectors_filtered", "SELECT d.doc_id, d.lang, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE len(e.embedding) = 64 AND e.label IN (1, 2, 3)")

@@ -197,9 +197,9 @@ def canonical_struct(t):
     return t.documents.select("doc_id", F.array_sort(F.array_distinct(F.filter(v, lambda x: x != ""))).alias("v"))
 
 
-@query("F49_rerank_text", r"SELECT doc_id, left(trim(regexp_replace(source || ' ' || left(text, 3000), '\s+', ' ', 'g')), 2200) AS t FROM documents")
+@query("F49_rerank_text", r"SELECT doc_id, left(trim(regexp_replace(source || ' ' || text, '\s+', ' ', 'g')), 2200) AS t FROM documents")
 def rerank_text(t):
-    return t.documents.select("doc_id", F.substring(X.collapse(F.concat(C("source"), F.lit(" "), F.substring("text", 1, 3000))), 1, 2200).alias("t"))
+    return t.documents.select("doc_id", F.substring(X.collapse(F.concat(C("source"), F.lit(" "), "text")), 1, 2200).alias("t"))
 
 
 @query("F50_line_classes", r"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN trim(l) = '' THEN 'empty' WHEN regexp_matches(l, '^[A-Z0-9 !.,]+$') THEN 'caps' WHEN contains(l, ' | ') THEN 'table' WHEN regexp_matches(l, '[.!?]\s*$') THEN 'sentence' ELSE 'other' END AS kind FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) GROUP BY 1")

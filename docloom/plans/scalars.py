@@ -248,9 +248,9 @@ def clamp(t):
     return t.events.select("event_id", X.unit(C("value") / 100).alias("unit"))
 
 
-@query("F48_embedding_text", r"SELECT doc_id, left(source || ': ' || trim(regexp_replace(left(text, 4000), '\s+', ' ', 'g')), 2000) AS t FROM documents")
+@query("F48_embedding_text", r"SELECT doc_id, left(source || ': ' || trim(regexp_replace(text, '\s+', ' ', 'g')), 2000) AS t FROM documents")
 def embedding_text(t):
-    return t.documents.select("doc_id", F.substring(F.concat(C("source"), F.lit(": "), X.collapse(F.substring("text", 1, 4000))), 1, 2000).alias("t"))
+    return t.documents.select("doc_id", F.substring(F.concat(C("source"), F.lit(": "), X.collapse(C("text"))), 1, 2000).alias("t"))
 
 
 @query("X01_references", r"SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'https?://[a-z0-9.-]+|href=\"/[^\"]+\"'))) AS refs FROM pages")
