@@ -785,8 +785,9 @@ def test_image_copies(spark):
 
 
 def test_image_copies_of_repeated_corners(spark):
-    """Every pair of descriptors within the distance is found, and pictures of
-    many equal corners give no rows but the pairs of pictures."""
+    """Exactly the pairs of descriptors within the distance that share a key
+    are found, whatever the parts, and pictures of many equal corners give no
+    rows but the pairs of pictures."""
     from docloom.llm import image_copies as I
 
     r = np.random.default_rng(1)
@@ -796,7 +797,18 @@ def test_image_copies_of_repeated_corners(spark):
         for k in r.choice(256, j + 11, replace=False):
             b[k // 64, j] ^= np.uint64(1) << np.uint64(k % 64)
     d = sum(np.bitwise_count(a[w][:, None] ^ b[w][None]).astype(int) for w in range(4))
-    assert set(zip(*(x.tolist() for x in I.near(a, b, 40)), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= 40)), strict=True)) and (d <= 40).sum() >= 30
+    a, b = np.concatenate([a, a[:, :5]], 1), np.concatenate([b, a[:, :20], np.repeat(a[:, :1], 50, 1)], 1)  # also equal ones
+    d = sum(np.bitwise_count(a[w][:, None] ^ b[w][None]).astype(int) for w in range(4))
+    share = np.any([x[:, None] == y[None] for x, y in zip(I.keys_of(a), I.keys_of(b), strict=True)], axis=0)
+    want = set(zip(*(x.tolist() for x in np.nonzero((d <= 40) & share)), strict=True))
+    cuts = np.array([0, 3, 40, 41, 90, 120])
+    for step in (1, 7, 1 << 20):
+        parts = list(I.HammingTables(a).near(b, cuts, 40, step))
+        got = [x for i, j in parts for x in zip(i.tolist(), j.tolist(), strict=True)]
+        assert set(got) == want and len(got) == len(want)
+        where = [set(np.searchsorted(cuts, j, "right")) for _, j in parts]
+        assert sum(map(len, where)) == len(set().union(*where))  # whole pictures
+    assert want >= set(zip(*(x.tolist() for x in np.nonzero(d <= 12)), strict=True)) and len(want) > 100
     # turns on both sides of 0 are one model
     q = np.array([[10.0 * i, 7.0 * i, 1, 1.0] for i in range(6)])
     m = q + [5, 5, 0, 0] + np.array([[0, 0, 0, 0.01 * (-1) ** i] for i in range(6)])
@@ -816,6 +828,7 @@ def test_image_copies_of_pictures(spark):
     images = [np.kron(r.random((40, 40)), np.ones((6, 6))) for _ in range(6)]  # detailed: many corners
     assert len(I.describe(images[0])[0]) > 2 * 28
     edits = {"turned": lambda a: np.rot90(a), "scaled": lambda a: I.resized(a, 0.7), "small crop": lambda a: a[90:150, 60:120]}
+    edits |= {"half": lambda a: I.resized(a, 0.5), "twice": lambda a: I.resized(a, 2), "half crop, darker": lambda a: 0.7 * a[:120, 100:220]}
     files = [b"P5\n# grey\n%d %d\n255\n" % a.shape[::-1] + np.rint(a * 255).astype(np.uint8).tobytes() for a in images]
     library = spark.createDataFrame(list(enumerate(files)) + [(90, None), (91, b""), (92, files[2])], "id long, image binary")
     for f in edits.values():
@@ -823,10 +836,10 @@ def test_image_copies_of_pictures(spark):
         got = I.find_images(library, spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "id long, image array<array<double>>"), "id", "image").collect()
         want = set()
         for i, q in enumerate(queries):
-            qp, qd = I.describe(q)
+            qp, qd = I.describe(q, I.PYRAMID)
             for j, c in enumerate(files):
                 mp, md = I.describe(I.pixels(c))
-                a, b = np.nonzero(np.unpackbits(qd[:, None] ^ md[None], axis=2).sum(2) <= 40)
+                a, b = np.nonzero(sum(np.bitwise_count(x[:, None] ^ y[None]).astype(np.uint16) for x, y in zip(qd.view(np.uint64).T, md.view(np.uint64).T, strict=True)) <= 40)
                 if len(a) and I.consensus(qp[a], mp[b], np.full(len(b), j), 5):
                     want.add((i, j))
         assert {(g.query_id, g.media_id) for g in got} == want and {(i, i) for i in range(6)} <= want
