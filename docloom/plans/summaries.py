@@ -183,7 +183,7 @@ def full_projection(t):
         F.element_at(labels, 1).alias("first_label"),
         F.element_at(labels, -1).alias("top_label"),
         F.round((has(C("title") != "") + has(C("body") != "") + has(C("host") != "") + has(html.contains("<h1"))) / 4.0, 2).alias("completeness"),
-        F.upper(F.substring("title", 1, 1)).alias("initial"),
+        X.capital(F.substring("title", 1, 1)).alias("initial"),
         F.when(F.length("body") > 5000, "long").when(F.length("body") > 1500, "middle").otherwise("short").alias("size_class"),
     )
 
