@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,40 @@ def topics(text: Column, rules: dict[str, tuple[list[str], list[str]]], most: in
     return F.when(F.size(found) == 0, F.array(F.lit(otherwise))).otherwise(F.slice(found, 1, most))
 
 
-ARROW_SPANS = pa.list_(pa.struct([("tag", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 SPANS = "array<struct<tag:string,start:int,end:int>>"
 
 
-def spans(text: Column, patterns: dict[str, str]) -> Column:
+def found(texts: list[str | None], patterns: dict[str, re.Pattern], overlap: bool) -> pa.Array:
+    """The spans of each text, laid out flat: a place and a number each, no
+    object but for the text at hand."""
+    tags, starts, ends, offsets = array("b"), array("i"), array("i"), array("i", [0])
+    for x in texts:
+        hits = sorted((m.start(), tag, m.end()) for tag, p in enumerate(patterns.values()) for m in p.finditer(x or "") if m.end() > m.start())
+        last = 0
+        for a, tag, b in hits:
+            if overlap or a >= last:
+                tags.append(tag)
+                starts.append(a)
+                ends.append(b)
+                last = b
+        offsets.append(len(starts))
+    flat = lambda a, kind: pa.Array.from_buffers(kind, len(a), [None, pa.py_buffer(a)])
+    names = pa.DictionaryArray.from_arrays(flat(tags, pa.int8()), pa.array(list(patterns), pa.string())).cast(pa.string())
+    each = pa.StructArray.from_arrays([names, flat(starts, pa.int32()), flat(ends, pa.int32())], ["tag", "start", "end"])
+    return pa.ListArray.from_arrays(flat(offsets, pa.int32()), each)
+
+
+def spans(text: Column, patterns: dict[str, str], overlap: bool = True) -> Column:
     """array<struct<tag,start,end>> of all matches of each pattern (of Python's
-    re; empty matches do not count), by start, then tag."""
-    compiled = {tag: re.compile(p) for tag, p in patterns.items()}
+    re; empty matches do not count), by start, then tag. Without overlap: those
+    that start at or after the end of the last one kept."""
+    compiled = {tag: re.compile(patterns[tag]) for tag in sorted(patterns)}
 
     @F.arrow_udf(SPANS)
-    def found(texts: pa.Array) -> pa.Array:
-        out = []
-        for x in texts.to_pylist():
-            hits = [(m.start(), tag, m.end()) for tag, p in compiled.items() for m in p.finditer(x or "") if m.end() > m.start()]
-            out.append([{"tag": tag, "start": a, "end": b} for a, tag, b in sorted(hits)])
-        return pa.array(out, ARROW_SPANS)
+    def of(texts: pa.Array) -> pa.Array:
+        return found(texts.to_pylist(), compiled, overlap)
 
-    return found(text)
+    return of(text)
 
 
 def without_overlap(s: Column) -> Column:
@@ -51,15 +69,18 @@ def without_overlap(s: Column) -> Column:
 
     @F.arrow_udf(SPANS)
     def kept(lists: pa.Array) -> pa.Array:
-        out = []
-        for spans_ in lists.to_pylist():
-            last, some = 0, []
-            for x in spans_ or []:
-                if not some or x["start"] >= last:
-                    some.append(x)
-                    last = x["end"]
-            out.append(None if spans_ is None else some)
-        return pa.array(out, ARROW_SPANS)
+        flat, offsets, places = lists.flatten(), [0], array("i")
+        starts, ends, at = flat.field("start").to_numpy(), flat.field("end").to_numpy(), 0
+        for n in pc.fill_null(pc.list_value_length(lists), 0).to_pylist():
+            last = 0
+            for i in range(at, at + n):
+                if starts[i] >= last:
+                    places.append(i)
+                    last = ends[i]
+            at += n
+            offsets.append(len(places))
+        mask = lists.is_null() if lists.null_count else None
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(places, pa.int32())), mask=mask)
 
     return kept(s)
 

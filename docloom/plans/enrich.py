@@ -113,7 +113,7 @@ def first_sentence(t):
 @query("F15_labels", "SELECT s_suppkey, upper(left(n_name, 1)) || lower(substring(n_name, 2)) AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def labels(t):
     j = t.supplier.join(t.nation, C("s_nationkey") == C("n_nationkey"))
-    return j.select("s_suppkey", F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.substring(C("n_name"), F.lit(2), F.length("n_name")))).alias("label"))
+    return j.select("s_suppkey", F.concat(X.capital(F.substring("n_name", 1, 1)), F.lower(F.substring(C("n_name"), F.lit(2), F.length("n_name")))).alias("label"))
 
 
 @query("F17_issuer", "SELECT page_id, coalesce(nullif(list_filter(string_split(regexp_extract(url, '://([^/:?#]+)', 1), '.'), lambda x: x NOT IN ('www', 'blog', 'm', 'com', 'net', 'org', 'example'))[1], ''), '') AS issuer FROM pages")
@@ -194,8 +194,8 @@ def all_spans(t):
 
 @query("X15_spans_without_overlap")
 def no_overlap(t):
-    s = E.spans(C("text"), {"number": "[0-9]{2,}", "word": "[A-Za-z]+", "mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+"})
-    return t.documents.select("doc_id", E.without_overlap(s).alias("spans"))
+    patterns = {"number": "[0-9]{2,}", "word": "[A-Za-z]+", "mail": "[A-Za-z0-9._]+@[A-Za-z0-9.]+"}
+    return t.documents.select("doc_id", E.spans(C("text"), patterns, overlap=False).alias("spans"))
 
 
 @query("X23_quality_flags", "SELECT doc_id, coalesce(list_filter([CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN NOT contains(text, '.') THEN 'no_sentence' END, CASE WHEN contains(text, '%%%') THEN 'noise' END], lambda x: x IS NOT NULL)[1], 'ok') AS first_flag FROM documents")
