@@ -51,7 +51,7 @@ def replace_sets(new: DataFrame, path: str, keys: list[str], dirs: list[str], go
     and take those of `gone` (keys) away. Partitions without a touched set keep
     their files; running it again changes nothing. `buckets` as at creation."""
     spark, parts = new.sparkSession, [*dirs, "_bucket"]
-    new = _placed(new, keys, buckets)
+    new = cut(_placed(new, keys, buckets))  # read three times
     touched = new.select(*keys, "_bucket").distinct()
     if gone is not None:
         touched = touched.unionByName(_placed(gone.select(*keys), keys, buckets)).distinct()
@@ -60,7 +60,7 @@ def replace_sets(new: DataFrame, path: str, keys: list[str], dirs: list[str], go
     fields = [f for f in new.schema if f.name not in ("_bucket",)]
     table = spark.read.schema(StructType([*fields, *_OWN])).parquet(path)
     old = table.join(places, parts, "left_semi").join(touched.select(*keys), keys, "left_anti")  # keeps rows that are none
-    rows = cut(old.filter("_row").drop("_row").unionByName(new))
+    rows = cut(old.filter("_row").drop("_row")).unionByName(new)  # its files are about to go
     marks = places.withColumn("_row", F.lit(False))
     full = rows.withColumn("_row", F.lit(True)).unionByName(marks, allowMissingColumns=True)
     full.select(*table.columns).repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)

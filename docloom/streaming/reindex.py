@@ -36,15 +36,18 @@ def changes(listing: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("path", op.alias("op")).filter("op is not null")
 
 
-def follow(spark: SparkSession, ledger: str, index: str, checkpoint: str, load: Callable[[DataFrame], DataFrame], files_a_batch: int = 10) -> None:
+def follow(spark: SparkSession, ledger: str, index: str, checkpoint: str, load: Callable[[DataFrame], DataFrame], files_a_batch: int | None = None) -> None:
     """Bring the index up to all that the ledger has; what an earlier call has
     seen is not taken again. load: gives (path, text) for paths; a path that it
-    does not give is treated as deleted."""
+    does not give is treated as deleted. files_a_batch: files of the ledger that
+    are taken at once; all that have landed, if not given. A batch with changes
+    all over writes the whole index again, so many small ones of a long ledger
+    cost their number times the index."""
 
     def each(batch: DataFrame, number: int) -> None:
         last = cut(batch.groupBy("path").agg(F.max_by("op", "seq").alias("op")))
         files = load(last.filter("op <> 'delete'").select("path"))
         replace_sets(index_of(files), index, ["path"], [], gone=last.select("path"))
 
-    stream = spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", files_a_batch).json(ledger)
+    stream = spark.readStream.schema(LEDGER).options(**({"maxFilesPerTrigger": files_a_batch} if files_a_batch else {})).json(ledger)
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
