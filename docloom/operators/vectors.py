@@ -21,6 +21,8 @@ from docloom.operators.retrieval import top_k
 
 #: Vectors and queries in a block.
 LIST, ASKED = 4096, 1024
+#: Queries of a block whose scores are held at once.
+ROWS = 128
 #: Scores have six decimals.
 CLOSE = 1e-6
 
@@ -94,15 +96,17 @@ def meet(lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         own, ids = v["id"].to_numpy(), q["query_id"].to_numpy()
         if not len(own) or not len(ids):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        s = np.round(unit(q["q"]) @ unit(v["v"]).T, 6)
-        s[ids[:, None] == own[None, :]] = -np.inf
-        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        out = []
-        for j in range(len(ids)):
-            some = np.flatnonzero((s[j] >= least[j]) & np.isfinite(s[j]))
-            some = some[np.lexsort((own[some], -s[j][some]))[:k]]
-            out.append(pd.DataFrame({"query_id": ids[j], "id": own[some], "score": s[j][some]}))
-        return pd.concat(out)
+        lists_, asked_, out = unit(v["v"]).T, unit(q["q"]), []
+        for at in range(0, len(ids), ROWS):  # a strip of the block's scores at a time
+            s = np.round(asked_[at : at + ROWS] @ lists_, 6)
+            s[ids[at : at + ROWS, None] == own[None, :]] = -np.inf
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            for j in range(len(s)):
+                some = np.flatnonzero((s[j] >= least[j]) & np.isfinite(s[j]))
+                some = some[np.lexsort((own[some], -s[j][some]))[:k]]
+                out.append((ids[at + j], own[some], s[j][some]))
+        sizes = [len(x[1]) for x in out]
+        return pd.DataFrame({"query_id": np.repeat([x[0] for x in out], sizes), "id": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
 
     return left.groupBy("cell", "l", "a").cogroup(right.groupBy("cell", "l", "a")).applyInPandas(best, "query_id long, id long, score double")
 
