@@ -29,20 +29,30 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+#: Tasks of a scan, about; above that, groups are put together.
+TASKS = 1000
+
+
 @dataclass
-class Group(InputPartition):
+class Group:
     archive: str
     entries: list[str]
 
 
+@dataclass
+class Groups(InputPartition):
+    groups: list[Group]
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.suffix = options["path"], options.get("suffix", ".xml")
         self.group_bytes = int(options.get("groupbytes", 16 << 20))
 
-    def partitions(self) -> list[Group]:
+    def partitions(self) -> list[Groups]:
         """Groups of entries, in order of their names, of about as many bytes each
-        (unpacked). A broken archive has none."""
+        (unpacked), one a task, or as many as keep the tasks to TASKS. A broken
+        archive has none."""
         files, root = store(self.path)
         found = files.get_file_info(fs.FileSelector(root, recursive=True))
         out = []
@@ -61,11 +71,14 @@ class ArchiveReader(DataSourceReader):
                 size += n
             if held:
                 out.append(Group(name, held))
-        return out or [Group("", [])]
+        each = -(-len(out) // TASKS)
+        return [Groups(out[i : i + each]) for i in range(0, len(out), max(1, each))] or [Groups([])]
+
+    def read(self, partition: Groups):
+        for group in partition.groups:
+            yield from self.read_group(group)
 
-    def read(self, partition: Group):
-        if not partition.entries:
-            return
+    def read_group(self, partition: Group):
         files, _ = store(self.path)
         with files.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
             for entry in partition.entries:
