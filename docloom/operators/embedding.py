@@ -13,11 +13,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import MARKED, PLAIN, collapse
@@ -36,9 +36,10 @@ class BadInput(Exception):
 
 
 @functools.lru_cache(maxsize=100_000)
-def _place(token: str) -> tuple[int, int]:
+def _place(token: str) -> int:
+    """A token's place, and DIM more if its sign is minus."""
     h = hashlib.md5(token.encode()).hexdigest()
-    return int(h[:2], 16), 1 if h[2] < "8" else -1
+    return int(h[:2], 16) + (0 if h[2] < "8" else DIM)
 
 
 def hash_embed(texts: list[str], attempt: int = 1) -> np.ndarray:
@@ -46,19 +47,20 @@ def hash_embed(texts: list[str], attempt: int = 1) -> np.ndarray:
     signed unit vectors, their places by md5. Zeros for a text without tokens."""
     out = np.zeros((len(texts), DIM))
     for row, text in zip(out, texts, strict=True):
-        places = [_place(t) for t in re.findall("[a-z0-9]+", text.lower().translate(_FOLD))]
-        for i, sign in places:
-            row[i] += sign
+        low = text.lower()
+        places = [*map(_place, re.findall("[a-z0-9]+", low if low.isascii() else low.translate(_FOLD)))]
         if places:
-            row /= len(places)
+            times = np.bincount(places, minlength=2 * DIM)
+            row[:] = (times[:DIM] - times[DIM:]) / len(places)
     return out
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df (order, value) with the sum of value over all rows before, by the order
     column, which must be unique. Ranges of rows are summed by themselves; one
-    total a range is passed on."""
-    placed = df.repartitionByRange(order).sortWithinPartitions(order)
+    total a range is passed on. df is computed once: finding the ranges reads
+    it, and so does filling them."""
+    placed = cut(df).repartitionByRange(order).sortWithinPartitions(order)
     placed = cut(placed.withColumn("_pid", F.spark_partition_id()))
     before = lambda *by: F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = placed.groupBy("_pid").agg(F.sum(value).alias("_total"))  # a row each partition
@@ -66,38 +68,92 @@ def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     return placed.withColumn(name, before("_pid")).join(F.broadcast(totals), "_pid").withColumn(name, F.col(name) + F.col("_before")).drop("_pid", "_before")
 
 
-def packed(docs: DataFrame, budget: int, piece: int) -> DataFrame:
+def n_words(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1
+
+
+def packed(docs: DataFrame, budget: int, piece: int, starts: DataFrame | None = None) -> DataFrame:
     """(id, part, n, piece, batch) of documents (id, text): pieces of at most
-    `piece` words, n of them, in batches of at most `budget` words."""
-    words = docs.select("id", F.split("text", " ").alias("w"))
-    starts = running_sum(words.select("id", F.size("w").alias("words")), "id", "words", "before").select("id", "before")
-    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / piece).cast("int") - 1))
-    each = words.join(starts, "id").select("id", "before", "w", parts.alias("part"))
+    `piece` words, n of them, in batches of at most `budget` words. starts: (id,
+    before), the words of all documents before, if they are known."""
+    if starts is None:
+        starts = running_sum(docs.select("id", n_words(F.col("text")).alias("words")), "id", "words", "before").select("id", "before")
+    words = docs.join(starts, "id").select("id", "before", F.split("text", " ").alias("w"))
+    # explode would filter by the array first, and so split twice
+    parts = F.explode_outer(F.sequence(F.lit(0), F.ceil(F.size("w") / piece).cast("int") - 1))
+    each = words.select("id", "before", "w", parts.alias("part"))
     each = each.withColumn("w", F.slice("w", F.col("part") * piece + 1, F.lit(piece)))
     batch = F.floor((F.col("before") + F.col("part") * piece) / (budget - piece))
     return each.select("id", "part", F.size("w").alias("n"), F.array_join("w", " ").alias("piece"), batch.alias("batch"))
 
 
-RESULT = "batch long, id long, part int, n int, state string, error string, vector array<double>"
+RESULT = "batch long, id long, n long, state string, error string, vector array<double>, part array<int>, piece array<string>"
 
 
-def _attempted(embed, attempt: int, last: bool):
-    """What becomes of one batch at an attempt."""
+def whole(frames: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Groups of rows with equal `by`, which follow each other, from frames that
+    may end inside a group."""
+    rest = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        keys = frame[by].to_numpy()
+        ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        if rest and rest[0][by].iat[0] != keys[0]:
+            yield pd.concat(rest)
+            rest = []
+        start = 0
+        for end in ends[:-1]:
+            part = frame.iloc[start:end]
+            yield pd.concat([*rest, part]) if rest else part
+            rest, start = [], end
+        rest.append(frame.iloc[start:])
+    if rest:
+        yield pd.concat(rest)
+
+
+#: Rows that a task gives back at a time: vectors of two kilobytes.
+AT_ONCE = 1000
 
-    def run(batch):
-        batch = batch.sort_values(["id", "part"])
-        state, error, vectors = "done", None, [None] * len(batch)
+
+def _attempted(embed, attempt: int, last: bool):
+    """What becomes of the batches of a task at an attempt: a row for each
+    document of a batch, with the sum of its pieces' vectors by words, or with
+    the pieces, if the batch stays pending."""
+
+    def attempted(batch: pd.DataFrame) -> list[tuple]:
+        number, pieces, n = int(batch["batch"].iat[0]), batch["piece"].tolist(), batch["n"].to_numpy()
+        ids, parts = batch["id"].to_numpy(), batch["part"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ends = [*starts[1:], len(ids)]
+        state, error, sums = "done", None, [None] * len(starts)
         try:
-            vectors = list(embed(batch["piece"].tolist(), attempt))
+            vectors = np.asarray(embed(pieces, attempt), float)
+            sums = list(np.add.reduceat(vectors * n[:, None], starts))
         except Busy as e:
             state, error = "failed" if last else "pending", str(e)[:200]
         except BadInput as e:
             state, error = "failed", str(e)[:200]
-        return batch[["batch", "id", "part", "n"]].assign(state=state, error=error, vector=vectors)
+        held = state == "pending"
+        words = np.add.reduceat(n, starts)
+        return [(number, ids[i], w, state, error, x, parts[i:j] if held else None, pieces[i:j] if held else None) for i, j, w, x in zip(starts, ends, words, sums, strict=True)]
+
+    def run(frames):
+        out = []
+        for batch in whole(frames, "batch"):
+            out += attempted(batch)
+            if len(out) >= AT_ONCE:
+                yield pd.DataFrame(out, columns=COLUMNS)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     return run
 
 
+COLUMNS = [c.split(" ")[0] for c in RESULT.split(", ")]
+
+
 def embed_in_batches(docs: DataFrame, embed: Callable[[list[str], int], np.ndarray], budget: int = 2048, piece: int = 256, most: int = 3, least_chars: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, status, words, batches, attempts, waited, error, vector) of each
     document with an id; ids must be unique.
@@ -111,22 +167,28 @@ def embed_in_batches(docs: DataFrame, embed: Callable[[list[str], int], np.ndarr
     text = collapse(F.col(text_col))
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     long_enough = F.coalesce(F.length("text") >= least_chars, F.lit(False))
-    pending = cut(packed(rows.filter(long_enough), budget, piece))
+    sizes = running_sum(rows.select("id", F.when(long_enough, n_words(F.col("text"))).otherwise(0).alias("size")), "id", "size", "before")
+    pieces = packed(rows, budget, piece, sizes.filter("size > 0").select("id", "before"))
+    pending = pieces.repartition("batch").sortWithinPartitions("batch", "id", "part")
     finished = None
     for attempt in range(1, most + 1):
-        ran = cut(pending.groupBy("batch").applyInPandas(_attempted(embed, attempt, attempt == most), RESULT)).withColumn("attempts", F.lit(attempt))
-        over = ran.filter("state <> 'pending'")
+        ran = cut(pending.mapInPandas(_attempted(embed, attempt, attempt == most), RESULT))
+        over = ran.filter("state <> 'pending'").select("batch", "id", "n", "state", "error", "vector", F.lit(attempt).alias("attempts"))
         finished = over if finished is None else finished.unionByName(over)
-        pending = pending.join(ran.filter("state = 'pending'").select("batch").distinct(), "batch", "left_semi")
+        # what is pending stays where it is, in order: batches are gathered once
+        left = ran.filter("state = 'pending'").select("batch", "id", F.explode_outer(F.arrays_zip("part", "piece")).alias("p"))
+        pending = left.select("batch", "id", "p.part", n_words(F.col("p.piece")).alias("n"), "p.piece")
     waited = F.pow(F.lit(2.0), F.col("attempts")) - 2  # 2 + 4 + ... for all attempts but the last
-    by_batch = finished.groupBy("id", "batch").agg(F.max("attempts").alias("attempts"), F.sum("n").alias("words"), F.max("error").alias("error"), F.max((F.col("state") == "failed").cast("int")).alias("bad"))
-    of_doc = by_batch.groupBy("id").agg(F.max("bad").alias("bad"), F.sum("words").alias("words"), F.count("*").alias("batches"), F.max("attempts").alias("attempts"), F.sum(waited).cast("long").alias("waited"), F.max(F.when(F.col("bad") == 1, F.col("error"))).alias("error"))
-    places = finished.filter("vector is not null").select("id", "n", F.posexplode("vector").alias("i", "x"))
-    means = places.groupBy("id", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-    vectors = means.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
-    vectors = vectors.join(of_doc.filter("bad = 0").select("id"), "id", "left_semi")
-    out = rows.select("id", long_enough.alias("_long")).join(of_doc, "id", "left").join(vectors, "id", "left")
-    status = F.when(~F.col("_long"), "skipped").when(F.col("bad") == 1, "failed").otherwise("done")
+    bad = F.col("state") == "failed"
+    of_doc = finished.groupBy("id").agg(
+        F.max(bad).alias("bad"), F.sum("n").alias("words"), F.count("*").alias("batches"), F.max("attempts").alias("attempts"), F.sum(waited).cast("long").alias("waited"), F.max(F.when(bad, F.col("error"))).alias("error"),
+        F.array_sort(F.collect_list(F.when(~bad, F.struct("batch", "vector")))).alias("sums"),
+    )
+    # most documents lie in one batch
+    sum_ = F.when(F.size("sums") == 1, F.col("sums")[0]["vector"]).otherwise(F.aggregate(F.slice("sums", 2, F.greatest(F.size("sums") - 1, F.lit(0))), F.col("sums")[0]["vector"], lambda s, x: F.zip_with(s, x["vector"], lambda a, b: a + b)))
+    of_doc = of_doc.withColumn("vector", F.when(~F.col("bad"), F.transform(sum_, lambda x: x / F.col("words")))).drop("sums")
+    out = sizes.select("id", "size").join(of_doc, "id", "left")
+    status = F.when(F.col("size") == 0, "skipped").when(F.col("bad"), "failed").otherwise("done")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select("id", status.alias("status"), zero("words"), zero("batches"), zero("attempts"), zero("waited"), "error", "vector")
 

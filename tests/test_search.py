@@ -3,9 +3,11 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import text as X
 from docloom.operators import embedding as B
 from docloom.operators import hybrid as H
 from docloom.operators import vectors as V
@@ -130,6 +132,32 @@ def test_no_documents(spark):
     assert B.embed_in_batches(spark.createDataFrame([], "id long, text string"), recorded(100)).count() == 0
 
 
+def test_vectors_stay_whole(spark):
+    """No row for each number of a vector; later rounds do not gather batches again."""
+    docs = spark.createDataFrame([(i, f"w{i} x y z " * 9) for i in range(40)], "id long, text string")
+    out = B.embed_in_batches(docs, recorded(50, 1), 50, 10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Aggregate" in plan
+    for r in out.collect():
+        parts = [" ".join((f"w{r.id} x y z " * 9).split()[j : j + 10]) for j in range(0, 36, 10)]
+        want = sum(len(p.split()) * B.hash_embed([p])[0] for p in parts) / 36
+        assert (r.status, r.words, r.attempts) == ("done", 36, 2) and np.allclose(r.vector, want)
+
+
+def test_groups_across_frames():
+    keys = [3, 3, 5, 5, 5, 2, 7, 7]
+    for size in range(1, 9):
+        frames = [pd.DataFrame({"k": keys[i : i + size], "i": range(i, min(8, i + size))}) for i in range(0, 8, size)]
+        assert [g["i"].tolist() for g in B.whole(iter([*frames, frames[0].iloc[:0]]), "k")] == [[0, 1], [2, 3, 4], [5], [6, 7]]
+
+
+def test_white_space(spark):
+    texts = ["", " ", "a b", "a  b", "a \n b", "\n\ta\r\nb \x0b c\t", "  a   b c\u00a0 d  ", "a\n", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for r in df.select(X.collapse("t").alias("got"), F.trim(F.regexp_replace("t", r"\s+", " ")).alias("want")).collect():
+        assert r.got == r.want
+
+
 def test_running_sum(spark):
     rows = [(i, (i * 37) % 11) for i in range(500)]
     got = {r.i: r.before for r in B.running_sum(spark.createDataFrame(rows, "i long, v long").repartition(7), "i", "v", "before").collect()}
