@@ -27,25 +27,25 @@ def asked(t):
     return t.benchmark.select(C("item_id").alias("query_id"), F.explode(X.content_tokens(C("text"))).alias("term")).distinct()
 
 
-def hits(t):
-    return R.bm25(t.documents, asked(t), "doc_id", "text").withColumn("score", F.round("score", 6))
+def hits(t, k=None, *by, share=0.0):
+    """All hits; with k, what can be among the k best in one of the orders."""
+    return R.bm25(t.documents, asked(t), "doc_id", "text", k=k, by=by or ("score",), share=share).withColumn("score", F.round("score", 6))
 
 
 @query("R01_bm25", f"{BM25} SELECT query_id, id, rank, round(round(score, 6), 4) AS score FROM r WHERE rank <= 10")
 def bm25(t):
-    return R.top_k(hits(t), 10).select("query_id", "id", C("rank").cast("long"), F.round("score", 4).alias("score"))
+    return R.top_k(hits(t, 10), 10).select("query_id", "id", C("rank").cast("long"), F.round("score", 4).alias("score"))
 
 
 @query("R02_best_field", f"{BM25}, l AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 1.5 ELSE 1.0 END::DOUBLE AS boost FROM documents) SELECT query_id, id, round(max(score * boost), 3) AS score FROM r JOIN l USING (id) WHERE rank <= 10 GROUP BY ALL")
 def best_field(t):
     boost = t.documents.select(C("doc_id").alias("id"), F.when(C("lang") == "en", 1.5).otherwise(1.0).alias("boost"))
-    return R.top_k(hits(t), 10).join(boost, "id").groupBy("query_id", "id").agg(F.round(F.max(C("score") * C("boost")), 3).alias("score"))
+    return R.top_k(hits(t, 10), 10).join(boost, "id").groupBy("query_id", "id").agg(F.round(F.max(C("score") * C("boost")), 3).alias("score"))
 
 
 @query("R03_minimum_should_match", f"{BM25}, n AS (SELECT query_id, count(*) asked FROM q GROUP BY 1) SELECT query_id, count(*) AS found FROM h JOIN n USING (query_id) WHERE matched >= ceil(0.6 * asked) GROUP BY 1")
 def should_match(t):
-    n = asked(t).groupBy("query_id").agg(F.count("*").alias("asked"))
-    return hits(t).join(n, "query_id").filter(C("matched") >= F.ceil(0.6 * C("asked"))).groupBy("query_id").agg(F.count("*").alias("found"))
+    return hits(t, share=0.6).groupBy("query_id").agg(F.count("*").alias("found"))
 
 
 @query("R04_phrase", f"WITH p AS (SELECT item_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS phrase FROM benchmark WHERE len({TOK}) > 0), d AS (SELECT doc_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS words FROM documents) SELECT DISTINCT item_id, doc_id FROM p JOIN d ON contains(words, phrase)")
@@ -96,7 +96,7 @@ BY_LENGTH = "l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id
 
 
 def fused(t):
-    h = hits(t)
+    h = hits(t, 100, "score", "matched")
     return R.fuse(R.top_k(h, 100), R.top_k(h, 100, "matched")).withColumn("score", F.round("score", 6))
 
 
@@ -113,7 +113,7 @@ def fusion_page(t):
 @query("R09_rerank", f"{BM25}, m AS (SELECT query_id, max(round(score, 6)) top FROM r GROUP BY 1), n AS (SELECT query_id, count(*) asked FROM q GROUP BY 1) SELECT query_id, id, round(0.5 * round(score, 6) / top + 0.5 * matched / asked, 4) AS score FROM r JOIN m USING (query_id) JOIN n USING (query_id) WHERE rank <= 10")
 def reranked(t):
     n = asked(t).groupBy("query_id").agg(F.count("*").alias("asked"))
-    top = R.top_k(hits(t), 10).join(n, "query_id")
+    top = R.top_k(hits(t, 10), 10).join(n, "query_id")
     best = F.max("score").over(W.partitionBy("query_id"))
     return top.select("query_id", "id", F.round(0.5 * C("score") / best + 0.5 * C("matched") / C("asked"), 4).alias("score"))
 
