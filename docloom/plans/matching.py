@@ -53,20 +53,11 @@ c AS (SELECT query_id, count(*) asked FROM q GROUP BY 1)
 SELECT query_id, id, matched = asked AS all_terms, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched = asked DESC, score DESC, id) AS rank FROM h JOIN c USING (query_id)) WHERE rank <= 10""",
 )
 def bm25_fields(t):
-    """Fields weigh 1.2, 0.5 and 1; documents with every term come first. The
-    texts are read once: the short fields travel with a document's terms."""
+    """Fields weigh 1.2, 0.5 and 1; documents with every term come first."""
     q = asked(t)
-    d = t.documents.select(C("doc_id").alias("id"), X.tokens(C("source")).alias("s"), X.tokens(C("lang")).alias("l"), X.tokens(C("text")).alias("t"))
-    size = F.size("s") + F.size("l") + F.size("t")
-    total = t.documents.agg(F.count("*").alias("n"), F.avg(X.n_tokens(C("text")) + X.n_tokens(C("source")) + X.n_tokens(C("lang"))).alias("mean"))
-    found = R.of_asked(d.select("id", "s", "l", size.alias("size"), F.concat("t", "s", "l").alias("w")), q, "id", "size", "s", "l")
-    found = found.groupBy("id", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in ("size", "s", "l")])
-    times = lambda c: F.size(F.filter(c, lambda x: x == C("term")))
-    found = found.select("id", "term", "size", (C("tf") + 0.2 * times("s") - 0.5 * times("l")).alias("tf"))
-    each = found.join(found.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(total))  # one row
-    idf = F.greatest(F.lit(1e-6), F.log((C("n") - C("df") + 0.5) / (C("df") + 0.5)))
-    part = idf * C("tf") * 2.2 / (C("tf") + 1.2 * (0.25 + 0.75 * C("size") / C("mean")))
-    h = q.join(each.select("id", "term", part.alias("part")), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("sum"), F.count("*").alias("matched"))
+    idf = lambda n, df: F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5)))
+    h = R.bm25(t.documents, q, "doc_id", {"text": 1.0, "source": 1.2, "lang": 0.5}, k=10, by=("all_terms",), idf=idf)
+    h = h.select("query_id", "id", F.round("score", 6).alias("sum"), "matched")
     h = h.join(q.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").withColumn("all_terms", C("matched") == C("asked"))
     top = R.top_k(h.withColumn("order", F.struct("all_terms", "sum")), 10, "order")
     return top.select("query_id", "id", "all_terms", C("rank").cast("long"), F.round("sum", 3).alias("score"))
