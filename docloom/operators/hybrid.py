@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.lineage import cut
 from docloom.operators.retrieval import fuse, top_k
 
 STAGES = ("lexical", "semantic")
@@ -27,11 +28,11 @@ def staged(asked: DataFrame, lexical: DataFrame, semantic: Callable[[DataFrame],
     stage; semantic: takes the query ids of the second stage, gives its hits.
     """
     first = lexical.join(asked.filter("mode <> 'semantic'").select("query_id"), "query_id", "left_semi")
-    first = top_k(first, candidates).select("query_id", "id", "rank", "score")
+    first = cut(top_k(first, candidates).select("query_id", "id", "rank", "score"))  # read three times
     served = first.groupBy("query_id").count().filter(F.col("count") >= enough)
     short = asked.filter("mode <> 'lexical'").join(served, "query_id", "left_anti").select("query_id")
     second = top_k(semantic(short), candidates).select("query_id", "id", "rank", "score")
-    return first.withColumn("stage", F.lit("lexical")).unionByName(second.withColumn("stage", F.lit("semantic")))
+    return cut(first.withColumn("stage", F.lit("lexical")).unionByName(second.withColumn("stage", F.lit("semantic"))))
 
 
 def orchestrated(asked: DataFrame, hits: DataFrame, facts: DataFrame, weights: dict[str, float], k: int, candidates: int) -> DataFrame:

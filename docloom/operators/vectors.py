@@ -11,18 +11,23 @@ once, whatever the number of queries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.embedding import vectors_of
 from docloom.operators.lineage import cut
-from docloom.operators.retrieval import top_k
+from docloom.operators.retrieval import Best, top_k
 
 #: Vectors and queries in a block.
 LIST, ASKED = 4096, 1024
 #: Queries of a block whose scores are held at once.
 ROWS = 128
+#: Queries that every task holds; texts that are embedded at a time.
+MOST_QUERIES, STRIP = 4096, 500
 #: Scores have six decimals.
 CLOSE = 1e-6
 
@@ -123,6 +128,33 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
     return top_k(meet(lists, _rows(queries, "query_id", "q", "query_id", "q").withColumn("cell", F.lit(0).cast("long")), k), k)
 
 
+def nearest_texts(docs: DataFrame, embed: Callable[[list[str], int], np.ndarray], queries: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """nearest_in_blocks of texts that are embedded on the way. Up to MOST_QUERIES
+    queries are with every task, which gives its k best of each: no vector of a
+    document leaves the task that it is made in. More meet in blocks."""
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "q").dropna().limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        return nearest_in_blocks(vectors_of(docs, embed, id_col, text_col), queries, k, "id", "v")
+    names = np.array([r.query_id for r in asked], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(unit([r.q for r in asked]))
+
+    def run(batches):
+        q, best = shared.value, Best(len(names), k)
+        for b in batches if len(names) else ():
+            for start in range(0, len(b), STRIP):
+                part = b.iloc[start : start + STRIP]
+                own = part["id"].to_numpy()
+                s = np.round(q @ unit(np.asarray(embed(part["text"].fillna("").tolist(), 1), float)).T, 6)
+                i, j = np.nonzero(names[:, None] != own[None, :])
+                best.add(i, np.rint(s[i, j] * 1e6).astype(np.int64), own[j], s[i, j], s[i, j])
+        found = best.all()
+        if found:
+            yield pd.DataFrame({"query_id": names[found[0]], "id": found[1], "score": found[2]})
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return top_k(rows.mapInPandas(run, "query_id long, id long, score double"), k)
+
+
 def nearest_in_cells(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, probes: int | None = None, exact: bool = True, cells: int | None = None, recall: float = 0.95) -> DataFrame:
     """As nearest_in_blocks, by way of cells. exact: cells beyond the `probes`
     nearest are searched too, if they could hold a vector that belongs to the

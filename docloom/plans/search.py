@@ -64,26 +64,25 @@ def staged_search(t):
     fewer than five hits go on to vectors of a hashing embedder."""
     kind = C("item_id") % 5
     modes = t.benchmark.select(C("item_id").alias("query_id"), F.when(kind == 0, "lexical").when(kind == 1, "semantic").otherwise("hybrid").alias("mode"))
-    n = asked(t).groupBy("query_id").agg(F.count("*").alias("asked"))
-    lexical = hits(t).join(n, "query_id").filter(C("matched") >= F.ceil(SHARE * C("asked"))).select("query_id", "id", "score")
+    lexical = hits(t, CANDIDATES, share=SHARE).select("query_id", "id", "score")
 
     def semantic(short):
         """Ids of passages and documents are told apart by their sign."""
         texts = t.benchmark.join(short.select(C("query_id").alias("item_id")), "item_id", "left_semi").select((-1 - C("item_id")).alias("id"), "text")
         q = B.vectors_of(texts, B.hash_embed, "id", "text").select(C("id").alias("query_id"), C("v").alias("q"))
-        d = B.vectors_of(t.documents, B.hash_embed, "doc_id", "text")
-        found = V.nearest_in_blocks(d, q, CANDIDATES, "id", "v").filter("score > 0")
+        found = V.nearest_texts(t.documents, B.hash_embed, q, CANDIDATES, "doc_id", "text").filter("score > 0")
         return found.select((-1 - C("query_id")).alias("query_id"), "id", "score")
 
+    found = H.staged(modes, lexical, semantic, LEAST, CANDIDATES)
+    ids = found.select(C("id").alias("doc_id")).distinct()  # at most 2 * CANDIDATES a query
     words, numbers = F.size(X.tokens(C("text"))), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0))
-    facts = t.documents.select(
+    facts = t.documents.join(F.broadcast(ids), "doc_id", "left_semi").select(
         C("doc_id").alias("id"),
         F.when(C("source") == "src0", 1.0).otherwise(0.5).alias("authority"),
         F.when(words == 0, 0.0).otherwise(F.least(F.lit(1.0), 25 * numbers / words)).alias("density"),
         F.when(C("lang") == "en", 1.1).when(C("lang") == "de", 0.9).otherwise(0.85).alias("multiplier"),
         C("text").contains("%%%").alias("barred"),
     )
-    found = H.staged(modes, lexical, semantic, LEAST, CANDIDATES)
     out = H.orchestrated(modes, found, facts, WEIGHTS, 8, CANDIDATES)
     return out.select("query_id", "id", "mode", "stages", F.round("bm25", 4).alias("bm25"), F.round("vector", 4).alias("vector"), "score", C("rank").cast("long"))
 

@@ -62,6 +62,20 @@ def test_nearest(vectors, spark, way, monkeypatch):
         assert [r["rank"] for r in part] == list(range(1, 11)) and [(-r.score, r.id) for r in part] == sorted((-r.score, r.id) for r in part)
 
 
+@pytest.mark.parametrize("most,strip", [(4096, 7), (4096, 500), (2, 500)])
+def test_nearest_texts(spark, most, strip, monkeypatch):
+    monkeypatch.setattr(V, "MOST_QUERIES", most)
+    monkeypatch.setattr(V, "STRIP", strip)
+    words = ["red", "fox", "hen", "blue", "cat"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 5] for j in range(1, i % 6))) for i in range(90)] + [(None, "red"), (91, None)], "doc long, text string").repartition(3)
+    q = B.vectors_of(docs.filter("doc in (5, 6, 9, 10)"), B.hash_embed, "doc", "text").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    want = V.nearest_in_blocks(B.vectors_of(docs, B.hash_embed, "doc", "text"), q, 5, "id", "v").select("query_id", "id", "score", "rank")
+    df = V.nearest_texts(docs, B.hash_embed, q, 5, "doc", "text").select("query_id", "id", "score", "rank")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+    assert V.nearest_texts(docs, B.hash_embed, q.limit(0), 5, "doc", "text").count() == 0
+    assert ("FlatMapCoGroups" in df._jdf.queryExecution().optimizedPlan().toString()) == (most == 2)
+
+
 def test_one_scan_for_any_number_of_queries(vectors, spark):
     """The plan reads the vectors once, and so often the queries."""
     few = V.nearest_in_blocks(vectors, asked_of(vectors, spark).limit(1), 3, "vec", "e")
