@@ -15,6 +15,9 @@ SYMBOL = r"^\s*(?:async\s+def|def|class|function|fn|struct)\s+([A-Za-z_][A-Za-z0
 #: Words of code and of statements; their share among all words is a chunk's importance.
 TELLING = r"\b(?:def|class|function|import|return|const|await|must|shall|because|therefore)\b|[0-9]{3,}"
 
+#: Bytes of text in a task: its sorts hold some multiples of it, whatever the input.
+TASK = 8_000_000
+
 
 def outline_chunks(docs: DataFrame, id_col: str, text_col: str, target: int = 4000, least: int = 400, most: int = 64) -> DataFrame:
     """(id, seq, path, symbol, start, end, text, importance) of each document's
@@ -26,7 +29,11 @@ def outline_chunks(docs: DataFrame, id_col: str, text_col: str, target: int = 40
     until they are longer. Of more than `most` chunks the first, the last and
     the most important of the others stay. Null and blank texts give nothing.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("p", "line"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("size")).first().size or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK))
+    # everything below is by document, so this is the only shuffle
+    lines = texts.repartition(tasks, "id").select("id", F.posexplode(F.split("_text", "\n")).alias("p", "line"))
     level = F.length(F.regexp_extract("line", HEADING, 1))
     lines = lines.withColumn("level", level).withColumn("symbol", F.nullif(F.regexp_extract("line", SYMBOL, 1), F.lit("")))
     so_far = Window.partitionBy("id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)

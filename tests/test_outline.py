@@ -1,3 +1,4 @@
+from docloom.operators import outline
 from docloom.operators.outline import outline_chunks
 
 TEXT = """intro line
@@ -48,3 +49,17 @@ def test_sizes(spark):
     assert [r.seq for r in few] == [0, 1, 2] and few[0].text == rows[0].text and few[-1].text == rows[-1].text
     inner = max(rows[1:-1], key=lambda r: (r.importance, -r.start))
     assert few[1].text == inner.text
+
+
+def test_tasks_follow_the_text(spark, monkeypatch):
+    """A task gets a bounded part of the text, in the only shuffle, and the chunks
+    are the same in any number of tasks."""
+    docs = spark.createDataFrame([(i, f"# A{i}\n" + "line of text\n" * 20) for i in range(40)], "doc long, text string")
+    want = sorted(map(tuple, outline.outline_chunks(docs, "doc", "text", 100, 20, 5).collect()))
+    monkeypatch.setattr(outline, "TASK", 500)
+    out = outline.outline_chunks(docs, "doc", "text", 100, 20, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 == plan.count("Exchange ") and "REPARTITION_BY_NUM" in plan
+    size = sum(len(r.text) for r in docs.collect())
+    assert f", {-(-size // 500)})" in plan
+    assert sorted(map(tuple, out.collect())) == want
