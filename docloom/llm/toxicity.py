@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -246,7 +247,7 @@ def lexicon(sample: DataFrame, most: int = 20_000) -> set[str]:
     return set(bad) - implied
 
 
-def windows(sample: DataFrame, words: set[str], most: int) -> tuple[list[list[str]], list[list[int]]]:
+def windows(sample: DataFrame, words: set[str], most: int) -> tuple[list[list[str]], list[bytes]]:
     """Training windows with token labels: of all windows that hold labelled
     tokens of toxic documents, and of all of the other documents, at most `most`
     each, by hash. Other windows of toxic documents say nothing for sure."""
@@ -263,11 +264,28 @@ def windows(sample: DataFrame, words: set[str], most: int) -> tuple[list[list[st
             yield pd.DataFrame(out, columns=["tokens", "y", "toxic"])
 
     found = sample.mapInPandas(cuts, "tokens array<string>, y array<int>, toxic boolean")
-    rows = [r for q in (True, False) for r in found.filter(F.col("toxic") == q).orderBy(F.xxhash64("tokens")).limit(most).collect()]
-    return [list(r.tokens) for r in rows], [list(r.y) for r in rows]
+    tokens, y, known = [], [], {}
+    for q in (True, False):
+        for r in found.filter(F.col("toxic") == q).orderBy(F.xxhash64("tokens")).limit(most).collect():
+            tokens.append([known.setdefault(w, w) for w in r.tokens])  # a word is held once
+            y.append(bytes(r.y))
+    return tokens, y
 
 
-def train(tokens: list[list[str]], y: list[list[int]], steps: int = 60, ridge: float = 1e-4) -> Tagger:
+#: Pairs of token and feature that are added at a time.
+PAIRS = 1 << 19
+
+
+def added(to: np.ndarray, values: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """Sums of values[of] by `to`, without a number for each pair at once: the
+    driver holds millions of pairs."""
+    out = np.zeros(size)
+    for i in range(0, len(to), PAIRS):
+        out += np.bincount(to[i : i + PAIRS], values[of[i : i + PAIRS]], size)
+    return out
+
+
+def train(tokens: list[list[str]], y: list[Sequence[int]], steps: int = 60, ridge: float = 1e-4) -> Tagger:
     """Conditional likelihood by adaptive gradient steps; numpy, on windows
     whose number is bounded."""
     tagger = Tagger()
@@ -277,7 +295,7 @@ def train(tokens: list[list[str]], y: list[list[int]], steps: int = 60, ridge: f
     lengths = np.array(list(map(len, tokens)))
     on = np.arange(WINDOW) < lengths[:, None]
     gold = np.zeros((n, WINDOW))
-    gold[on] = np.concatenate(y)
+    gold[on] = np.concatenate([np.array(list(x), np.uint8) for x in y])
     names, which = np.unique(np.array([w for ws in tokens for w in ws], object), return_inverse=True)
     own, ahead, behind = features(list(names))
     word = np.zeros((n, WINDOW), int)
@@ -299,9 +317,9 @@ def train(tokens: list[list[str]], y: list[list[int]], steps: int = 60, ridge: f
     w, trans = np.zeros(len(used)), np.zeros((2, 2))
     w2, t2 = np.full(len(used), 1e-8), np.full((2, 2), 1e-8)
     for i in range(steps):
-        u = np.bincount(where, w[which], n * WINDOW).reshape(n, WINDOW)
+        u = added(where, w, which, n * WINDOW).reshape(n, WINDOW)
         p, moves = expectations(np.ascontiguousarray(u.T), on.T, trans)
-        gw = np.bincount(which, (p.T - gold).reshape(-1)[where], len(used)) / total + ridge * w / (1 << 10)
+        gw = added(which, (p.T - gold).reshape(-1), where, len(used)) / total + ridge * w / (1 << 10)
         gt = (moves - seen) / total + ridge * trans
         w2, t2 = 0.9 * w2 + 0.1 * gw * gw, 0.9 * t2 + 0.1 * gt * gt
         rate = 0.3 / (1 + i / 20)

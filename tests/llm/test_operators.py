@@ -844,3 +844,15 @@ def test_image_copies_of_pictures(spark):
                     want.add((i, j))
         assert {(g.query_id, g.media_id) for g in got} == want and {(i, i) for i in range(6)} <= want
         assert all(g.n_same == 1 + (g.media_id == 2) for g in got)
+
+
+def test_sums_in_parts(monkeypatch):
+    """Training adds pairs in parts, with the sums that all at once give."""
+    from docloom.llm import toxicity as T
+
+    r = np.random.default_rng(3)
+    to, of, values = r.integers(0, 50, 1000), r.integers(0, 80, 1000), r.standard_normal(80)
+    for pairs in (7, 1000, 5000):
+        monkeypatch.setattr(T, "PAIRS", pairs)
+        assert np.allclose(T.added(to, values, of, 60), np.bincount(to, values[of], 60))
+    assert not T.added(to[:0], values, of[:0], 4).any()
