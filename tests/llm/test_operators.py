@@ -846,6 +846,35 @@ def test_image_copies_of_pictures(spark):
         assert all(g.n_same == 1 + (g.media_id == 2) for g in got)
 
 
+def test_image_copies_pairing_tasks(spark):
+    """Pictures and queries that were described in many partitions are paired
+    in few tasks, as many as their corners ask for, with the same results."""
+    from docloom.llm import image_copies as I
+
+    r = np.random.default_rng(8)
+    media = spark.createDataFrame([(i, [float(x) for x in r.normal(size=64)]) for i in range(48)], "media long, image array<float>")
+    drawn = lambda v, _: I.draw(np.asarray(v, np.float32))
+    found = []
+    for n in (1, 24):
+        points = I.cut(I.described(media.repartition(n), drawn))
+        asked = I.cut(I.described(media.repartition(n), lambda v, key: I.edit(drawn(v, key), key), I.PYRAMID))
+        got = I.matched(points, asked, 40, 5)
+        assert got.rdd.getNumPartitions() == 1
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1] and sum(x[0] == x[1] for x in found[0]) >= 45
+    # bundles that are full stay as they are; of smaller ones no corner is lost, and pictures stay whole
+    corners = I.opened(*points.agg(*[F.expr(f"unhex(array_join(collect_list(hex({c})), ''))") for c in points.columns]).first())
+    for most, together in ((500, 1), (500, 3), (1 << 14, 4)):
+        parts = [I.opened(*x) for x in I.gathered(points, most, together).collect()]
+        assert sum(len(x[0]) >= most for x in parts) <= len(corners[0]) // most
+        of = np.concatenate([x[0] for x in parts])
+        assert np.array_equal(np.bincount(of), np.bincount(corners[0])) and sum(len(set(x[0])) for x in parts) == len(set(of))
+        assert {tuple(x) for x in np.concatenate([x[2] for x in parts], 1).T} == {tuple(x) for x in corners[2].T}
+        full = -(-len(of) // most)
+        assert I.gathered(points, most, together).rdd.getNumPartitions() == min(24, -(-full // together))
+    assert I.gathered(points.limit(0)).count() == 0
+
+
 def test_sums_in_parts(monkeypatch):
     """Training adds pairs in parts, with the sums that all at once give."""
     from docloom.llm import toxicity as T
