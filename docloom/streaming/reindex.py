@@ -12,16 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import tokens
 from docloom.operators.lineage import cut
-from docloom.operators.retrieval import postings
-from docloom.sources.sets import create_sets, replace_sets
+from docloom.sources.sets import create_sets, remake_sets
 
 LEDGER = "seq long, path string, op string"
 
 
 def index_of(files: DataFrame) -> DataFrame:
-    """(path, term, tf, len) of files (path, text)."""
-    return postings(files, "path", "text").withColumnRenamed("id", "path")
+    """(path, term, tf, len) of files (path, text), path by path: the postings of
+    `postings`, counted in a file's sorted words, so that where texts are dealt
+    by path, rows that take more than the texts are neither shuffled nor held.
+    Texts of equal paths are one file's."""
+    whole = files.groupBy("path").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    # a term's last place, and how far it is from the last place of the term before
+    lasts = lambda w: F.filter(F.transform(w, lambda x, i: F.when(~x.eqNullSafe(F.get(w, i + 1)), i + 1)), F.isnotnull)
+    counted = lambda w: once(lasts(w), lambda at: F.transform(at, lambda x, i: F.struct(F.get(w, x - 1).alias("term"), (x - F.coalesce(F.get(at, i - 1), F.lit(0))).cast("long").alias("tf"), F.size(w).alias("len"))))
+    # inline would filter by the array first, and so count twice
+    return whole.select("path", F.inline_outer(once(F.sort_array(tokens(F.col("text"))), counted))).filter("term is not null")
 
 
 def create_index(spark: SparkSession, index: str) -> None:
@@ -38,16 +47,21 @@ def changes(listing: DataFrame, known: DataFrame) -> DataFrame:
 
 def follow(spark: SparkSession, ledger: str, index: str, checkpoint: str, load: Callable[[DataFrame], DataFrame], files_a_batch: int | None = None) -> None:
     """Bring the index up to all that the ledger has; what an earlier call has
-    seen is not taken again. load: gives (path, text) for paths; a path that it
-    does not give is treated as deleted. files_a_batch: files of the ledger that
+    seen is not taken again. load: gives (path, text) for paths, and for no others;
+    a path that it does not give is treated as deleted. It may be called several
+    times a batch, for parts of its paths. files_a_batch: files of the ledger that
     are taken at once; all that have landed, if not given. A batch with changes
     all over writes the whole index again, so many small ones of a long ledger
     cost their number times the index."""
 
+    def rows(last: DataFrame, few: bool) -> DataFrame:
+        paths = last.filter("op <> 'delete'").select("path")
+        # texts are dealt by path, by us or by a join of many paths
+        return index_of(load(F.broadcast(paths)).repartition("path") if few else load(paths))
+
     def each(batch: DataFrame, number: int) -> None:
         last = cut(batch.groupBy("path").agg(F.max_by("op", "seq").alias("op")))
-        files = load(last.filter("op <> 'delete'").select("path"))
-        replace_sets(index_of(files), index, ["path"], [], gone=last.select("path"))
+        remake_sets(last, rows, index, ["path"])
 
     stream = spark.readStream.schema(LEDGER).options(**({"maxFilesPerTrigger": files_a_batch} if files_a_batch else {})).json(ledger)
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
